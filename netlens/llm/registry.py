@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, simhash
+from netlens.llm import decontaminate, pieces, simhash, tokencount
 from netlens.llm.common import table
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document as the library of word_bpe_49k.json counts them."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a ten-word window of a benchmark item."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -20,5 +25,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op9_simhash_near_dedup)}
+def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded merge-dropout segmentation of every document, with its round trip."""
+    return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op5_token_counts, op6_benchmark_decontamination, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.ORACLE}

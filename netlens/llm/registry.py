@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, langid, pieces, simhash, tokencount
+from netlens.llm import decontaminate, langid, pieces, simhash, tokencount, toxicity
 from netlens.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -36,5 +42,5 @@ def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_token_counts, op6_benchmark_decontamination, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_language_id, op5_token_counts, op6_benchmark_decontamination, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.ORACLE}

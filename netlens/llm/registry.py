@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, langid, pieces, simhash, tokencount, toxicity
+from netlens.llm import audio, decontaminate, htmlmain, langid, pieces, simhash, tokencount, toxicity
 from netlens.llm.common import table
 
 
@@ -31,6 +31,16 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes as a medium, with digests and audio features of what is read back."""
+    return audio.media(table(spark, sf_dir, "documents"), outputs=False)
+
+
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies for every document: 3-word shingles, links at two bits or fewer."""
     found = simhash.classes(table(spark, sf_dir, "documents"))
@@ -42,5 +52,5 @@ def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_language_id, op5_token_counts, op6_benchmark_decontamination, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_language_id, op5_token_counts, op6_benchmark_decontamination, op7_audio_features, op8_html_main_text, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import audio, decontaminate, htmlmain, langid, pieces, simhash, tokencount, toxicity
+from netlens.llm import audio, decontaminate, htmlmain, langid, pieces, pii, simhash, tokencount, toxicity
 from netlens.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of personal data in every document, and the terms that reveal them."""
+    return pii.report(pii.found_spans(table(spark, sf_dir, "documents")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -52,5 +57,5 @@ def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_language_id, op5_token_counts, op6_benchmark_decontamination, op7_audio_features, op8_html_main_text, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_pii_sanitisation, op4_language_id, op5_token_counts, op6_benchmark_decontamination, op7_audio_features, op8_html_main_text, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.ORACLE}

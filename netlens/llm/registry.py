@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import audio, decontaminate, htmlmain, langid, pieces, pii, simhash, tokencount, toxicity
+from netlens.llm import audio, decontaminate, htmlmain, langid, pieces, pii, simhash, tokencount, toolcalls, toxicity
 from netlens.llm.common import table
 
 
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations`` as a call or a result, linked, ordered, validated and serialised."""
+    return toolcalls.link(table(spark, sf_dir, "conversations"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -57,5 +62,5 @@ def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_pii_sanitisation, op4_language_id, op5_token_counts, op6_benchmark_decontamination, op7_audio_features, op8_html_main_text, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
-ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_toxicity, op3_pii_sanitisation, op4_language_id, op5_token_counts, op6_benchmark_decontamination, op7_audio_features, op8_html_main_text, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
+ORACLE_SQL: dict[str, str] = {"op1_tool_call_linking": toolcalls.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE}

@@ -10,7 +10,6 @@ text columns are read, so further columns cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -143,13 +142,5 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """The input rows whose id names their class, once each; rows without an id stay. Columns are unchanged."""
-    found = classes(docs, doc_id, text, words, radius)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-    return reduce(DataFrame.unionByName, [named.select(docs.columns), docs.where(F.col(doc_id).isNull())])
-
-
 def as_hex(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")

@@ -22,7 +22,6 @@ the three named columns are read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -302,10 +301,6 @@ def main_text(html: str, reference: Folded | None, template: dict[str, tuple[int
     return " ".join(_blocks(root, skip))
 
 
-def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-
 def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -315,7 +310,7 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.rtrim(host).alias("host"))
 
 
-def references(pages: DataFrame) -> DataFrame:
+def references(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(host, html): one page of each host that has two or more, with its most usual skeleton."""
 
     def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,8 +322,9 @@ def references(pages: DataFrame) -> DataFrame:
     seen = pages.select("host", "page_id", "html").mapInArrow(skeletons, f"host string, page_id {kind}, skeleton long")
     usual = seen.groupBy("host", "skeleton").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id"))
     chosen = usual.groupBy("host").agg(F.sum("n").alias("pages"), F.max(F.struct("n", F.col("skeleton"), "page_id")).alias("top")).where("pages > 1")
-    chosen = chosen.select("host", F.col("top.page_id").alias("page_id"))
-    return pages.select("host", "page_id", "html").join(chosen, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("reference"))
+    chosen = checkpointed(chosen.select("host", F.col("top.page_id").alias("page_id")))
+    few = _small(chosen, F.octet_length("host") + 32, broadcast_bytes)
+    return pages.select("host", "page_id", "html").join(few, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("reference"))
 
 
 def _small(df: DataFrame, size, most: int) -> DataFrame:
@@ -359,17 +355,20 @@ def templates(pages: DataFrame, refs: DataFrame) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _References()
         for batch in by_bytes(batches, "html"):
-            rows = []
+            hosts, pages_, found = [], [], []
             for host, html, ref in zip(*(_column(batch, c) for c in ("host", "html", "reference")), strict=True):
                 page = Folded([parse(html)])
                 align(known.get(ref), page)
-                rows += [(host, f.path, text_hash(t)) for f in page.walk() if f.path is not None and not f.nodes[0].dropped and (t := f.text())]
-            added = Counter(rows)
-            yield _batch([(*k, n) for k, n in added.items()], [pa.string(), pa.string(), pa.int64(), pa.int64()], ["host", "path", "hash", "n"])
-
-    different = pages.select("host", "html", F.xxhash64("html").alias("h")).dropDuplicates(["host", "h"]).drop("h")
-    met = different.join(refs, "host").mapInArrow(texts, "host string, path string, hash long, n long")
-    by_text = met.groupBy("host", "path", "hash").agg(F.sum("n").alias("n"))
+                hosts.append(host)
+                pages_.append(text_hash(html))
+                found.append([{"path": f.path, "hash": text_hash(t)} for f in page.walk() if f.path is not None and not f.nodes[0].dropped and (t := f.text())])
+            kind = pa.list_(pa.struct([("path", pa.string()), ("hash", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.array(found, kind)], ["host", "page", "texts"])
+
+    # copies of a page say nothing new: one of each counts, and only digests of texts are moved
+    met = pages.select("host", "html").join(refs, "host").mapInArrow(texts, "host string, page long, texts array<struct<path:string,hash:long>>")
+    met = met.dropDuplicates(["host", "page"]).select("host", F.explode("texts").alias("t")).select("host", "t.path", "t.hash")
+    by_text = met.groupBy("host", "path", "hash").agg(F.count("*").alias("n"))
     by_node = by_text.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "hash")).alias("top"))
     steady = by_node.where((F.col("pages") >= LEAST_PAGES) & (F.col("top.n") >= STEADY * F.col("pages")))
     one = F.struct("path", F.col("top.hash").alias("hash"), "pages", F.col("top.n").alias("same"))
@@ -379,7 +378,7 @@ def templates(pages: DataFrame, refs: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars: one row per page."""
     own = _with_host(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
-    refs = checkpointed(references(own))
+    refs = checkpointed(references(own, broadcast_bytes))
     few = _small(refs, F.octet_length("reference") + F.octet_length("host") + 32, broadcast_bytes)
     known = checkpointed(refs.join(templates(own, few), "host"))
     few = _small(known, F.octet_length("reference") + F.octet_length("host") + 32 + 64 * F.size("template"), broadcast_bytes)

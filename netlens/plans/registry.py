@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+for _name in ("dims", "headers", "flows"):
+    _part = importlib.import_module(f"netlens.plans.q_{_name}")
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL

@@ -83,5 +83,5 @@ def payload_packets(rows: DataFrame, payload: Column) -> DataFrame:
     seq = F.col("seq") if "seq" in rows.columns else None
     ack = F.col("ack") if "ack" in rows.columns else None
     whole = ethernet_hex(ipv4_hex(l4_hex(F.hex(payload), size, seq, ack), l4_size(size), F.col("proto")))
-    keep = [c for c in rows.columns if c not in ("src", "dst", "sport", "dport", "proto", "flags", "win", "seq", "ack", "dlt", "pkt")]
+    keep = [c for c in rows.columns if c not in ("src", "dst", "sport", "dport", "proto", "flags", "win", "seq", "ack", "dlt", "pkt", "payload")]
     return rows.select(*keep, F.lit("EN10MB").alias("dlt"), as_packet(whole).alias("pkt"))

@@ -26,7 +26,7 @@ r AS (SELECT *, CASE WHEN src = fsrc AND sport = fport THEN 0 ELSE 1 END AS d FR
 
 
 def _rows(spark, sf_dir):
-    return flows.sessionize(headers.ethernet_ip(fx.packets(spark, sf_dir)).where("status = 0"))
+    return flows.sessionize(headers.dissect(fx.packets(spark, sf_dir)).where("status = 0"))
 
 
 def flow_key(spark, sf_dir):
@@ -117,7 +117,7 @@ FROM ({fx.PACKETS_SQL}) WHERE proto = 6
 
 def flow_cap(strategy):
     def run(spark, sf_dir):
-        rows = headers.ethernet_ip(fx.packets(spark, sf_dir)).where("status = 0").withColumn("flow_key", flows.flow_key())
+        rows = headers.dissect(fx.packets(spark, sf_dir)).where("status = 0").withColumn("flow_key", flows.flow_key())
         found = flows.cap(rows, 1000, strategy)
         return found.agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"), F.count("evicted").alias("evicted"))
 
@@ -130,7 +130,7 @@ for _k in ("flow_cap_skip", "flow_cap_evict"):
 
 
 def top_talkers(spark, sf_dir):
-    rows = headers.ethernet_ip(fx.packets(spark, sf_dir)).where("status = 0")
+    rows = headers.dissect(fx.packets(spark, sf_dir)).where("status = 0")
     return rows.groupBy(names.ip_text(F.col("src")).alias("src")).agg(F.sum(F.col("l3_length") + F.col("l4_bytes")).alias("bytes"), F.count("*").alias("packets")).orderBy(F.desc("bytes"), "src").limit(5)
 
 
@@ -139,7 +139,7 @@ ORACLE_SQL["top_talkers"] = f"WITH {_KEYED} SELECT {_ADDR.format('src')} AS src,
 
 
 def rollup(spark, sf_dir):
-    rows = headers.ethernet_ip(fx.packets(spark, sf_dir)).where("status = 0")
+    rows = headers.dissect(fx.packets(spark, sf_dir)).where("status = 0")
     l7 = names.l7_display(names.port_guess(F.col("proto"), F.col("sport"), F.col("dport")))
     rows = rows.select(F.lit("IPv4").alias("l3"), names.l4_name(F.col("proto")).alias("l4"), l7.alias("l7"), "payload_length")
     return rows.rollup("l3", "l4", "l7").agg(F.count("*").alias("packets"), F.sum("payload_length").alias("bytes"))
@@ -153,7 +153,7 @@ SELECT l3, l4, l7, count(*) AS packets, sum(plen)::BIGINT AS bytes FROM (SELECT
 
 
 def per_minute(spark, sf_dir):
-    rows = headers.ethernet_ip(fx.packets(spark, sf_dir)).where("status = 0")
+    rows = headers.dissect(fx.packets(spark, sf_dir)).where("status = 0")
     return rows.groupBy(F.floor(F.col("ts_us") / 60_000_000).alias("minute")).agg(F.count("*").alias("packets"), F.sum("payload_length").alias("bytes"))
 
 
@@ -179,7 +179,7 @@ SELECT a.ord, q.ord AS request, a.ts_us - q.ts_us AS wait_us FROM (SELECT * FROM
 
 
 def light_termination(spark, sf_dir):
-    rows = headers.ethernet_ip(fx.packets(spark, sf_dir)).where("status = 0 AND proto = 6")
+    rows = headers.dissect(fx.packets(spark, sf_dir)).where("status = 0 AND proto = 6")
     return flows.sessionize(rows, fin_closes=True).groupBy("flow_id").agg(F.count("*").alias("packets"))
 
 

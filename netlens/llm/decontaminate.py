@@ -270,21 +270,39 @@ def _join(docs: DataFrame, items: DataFrame, doc_id: str) -> DataFrame:
     )
 
 
+def _index(items: DataFrame, broadcast_bytes: int) -> Index | None:
+    """The benchmark's index, unless it is too large to broadcast."""
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id") + 32)).first()[0] or 0
+    return None if size > broadcast_bytes else Index([(r.item_id, r.text) for r in items.collect()])  # at most broadcast_bytes
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    docs = docs.select(F.col(doc_id), F.col(text).alias("text"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id") + 32)).first()[0] or 0
-    if size > broadcast_bytes:
+    docs, items = docs.select(F.col(doc_id), F.col(text).alias("text")), _items(benchmark)
+    if (index := _index(items, broadcast_bytes)) is None:
         return _join(docs, items, doc_id)
-    index = Index([(r.item_id, r.text) for r in items.collect()])  # at most broadcast_bytes
     return _scan(docs, docs.sparkSession.sparkContext.broadcast(index), doc_id)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of which no word lies in a benchmark span; columns are unchanged and null ids stay."""
-    found = contamination(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(found, doc_id, "left_anti").select(docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of which no word lies in a benchmark span; columns are unchanged. Rows without an id are judged like any other where the index is broadcast, and else stay."""
+    items = _items(benchmark)
+    if (index := _index(items, broadcast_bytes)) is None:
+        found = contamination(docs, benchmark, doc_id, text, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias(doc_id)).distinct()
+        return docs.join(found, doc_id, "left_anti").select(docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, text, 2 << 20):
+            words = words_of(*utf8_view(batch.column(batch.schema.get_field_index(text))))
+            n_hit, _ = _marked(words, shared.value.hits(words))
+            yield batch.filter(pa.array(n_hit == 0, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 #: DuckDB: every window of ten words, matched by text.

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from netlens.llm.common import by_bytes, texts_of, vocabulary_file
 
 VARIANTS, DROPOUT, SEED = 4, 0.1, 20_240_601
-REMEMBERED, LONG_WORD = 1_500_000, 96
+REMEMBERED, LONG_WORD = 1_000_000, 96
 _LOADED: dict[tuple, Pieces] = {}
 _SEGMENT = re.compile(r" +[^ ]*")
 
@@ -216,6 +216,11 @@ class Pieces:
             out.append(b"".join(found))
         return out
 
+    def forget(self) -> None:
+        """Workers live on after a task; what they remember of it should not."""
+        for seen in self.seen:
+            seen.clear()
+
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids; the leading space that encoding adds is taken off."""
         raw = b"".join(map(self.spelled.__getitem__, ids))
@@ -247,6 +252,7 @@ def encode(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", seed: int =
             ]
             columns += [pa.array(flat, pa.list_(pa.int32()))] * with_ids
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+        model.forget()
 
     return kept.mapInArrow(run, T.StructType(schema))
 

@@ -39,7 +39,7 @@ THRESHOLD = 0.7
 #: Most labelled documents of a class that the regression is fitted on; passes over them.
 PER_CLASS, EPOCHS = {1: 1500, 0: 3000}, 4
 ORDER, BUCKETS = 4, 1 << 20
-REMEMBERED, CHUNK = 1_000_000, 48
+REMEMBERED, CHUNK = 400_000, 48
 #: Letters that a symbol may stand for.
 READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -206,6 +206,11 @@ class Scorer:
             found = [f for r in self.readings(w) for f in _features(r) if f in known]
             self.seen[w] = tuple(dict.fromkeys(found)) if found else ()
 
+    def forget(self) -> None:
+        """Workers live on after a task; what they remember of it should not."""
+        self.seen.clear()
+        self.reader.model.known.clear()
+
     def found(self, text: str) -> tuple[Counter, int]:
         """How often each known feature occurs in the restored text, and the number of words."""
         text = text.lower()
@@ -319,6 +324,7 @@ def scores(docs: DataFrame, scorer: Scorer | None, doc_id: str = "doc_id", text:
         for batch in by_bytes(batches, "text"):
             found = [model.score(t) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64()), pa.array([int(s >= THRESHOLD) for s in found], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+        model.forget()
 
     schema = [kept.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     return kept.mapInArrow(run, T.StructType(schema))
@@ -334,5 +340,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, text):
             yield batch.filter(pa.array([shared.value.score(t) < THRESHOLD for t in texts_of(batch, text)], pa.bool_()))
+        shared.value.forget()
 
     return docs.mapInArrow(run, docs.schema)

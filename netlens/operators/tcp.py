@@ -90,3 +90,24 @@ class Tracker:
             out.append(part)
             self.expected[way] = (self.expected[way] + len(part)) % _M
         return b"".join(out)
+
+
+def streams(rows):
+    """ord, flow_id, dir, status, data of TCP packets in sessionized rows; ``data`` is what is now in order."""
+    import pyarrow as pa
+
+    ordered = rows.where("proto = 6").sortWithinPartitions("flow_key", "seg", "ord").select("ord", "flow_id", "dir", "seq", "ack", "tcp_flags", "payload")
+
+    def run(batches):
+        current, tracker = None, Tracker()
+        for batch in batches:
+            statuses, data = [], []
+            for _, flow, way, seq, ack, flags, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if flow != current:
+                    current, tracker = flow, Tracker()
+                status, fresh = tracker.take(way, seq, ack, flags, payload or b"")
+                statuses.append(status)
+                data.append(fresh)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(statuses, pa.string()), pa.array(data, pa.binary())], ["ord", "flow_id", "dir", "status", "data"])
+
+    return ordered.mapInArrow(run, "ord long, flow_id long, dir int, status string, data binary")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from netlens import catalog
 
@@ -128,28 +128,27 @@ class _Reader(DataSourceReader):
                 yield from _batches(f.read(), partition.first)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """New files of a folder, in order of their names."""
+class _Stream(DataSourceStreamReader):
+    """New files of a folder, in order of their names; each is a partition."""
 
     def __init__(self, path: str):
         self.path = path
 
+    def _names(self) -> list[str]:
+        return sorted(glob.glob(os.path.join(self.path, "*")))
+
     def initialOffset(self):
         return {"files": 0}
 
-    def _rows(self, lo: int, hi: int):
-        names = sorted(glob.glob(os.path.join(self.path, "*")))
-        for i in range(lo, min(hi, len(names))):
-            with open(names[i], "rb") as f:
-                for n, r in enumerate(parse(f.read())):
-                    yield ((i << 40) + n, *r)
+    def latestOffset(self):
+        return {"files": len(self._names())}
 
-    def read(self, start):
-        end = len(glob.glob(os.path.join(self.path, "*")))
-        return self._rows(start["files"], end), {"files": end}
+    def partitions(self, start, end):
+        return [_File(n, i << 40) for i, n in enumerate(self._names())][start["files"] : end["files"]]
 
-    def readBetweenOffsets(self, start, end):
-        return self._rows(start["files"], end["files"])
+    def read(self, partition):
+        with open(partition.path, "rb") as f:
+            yield from _batches(f.read(), partition.first)
 
     def commit(self, end):
         pass
@@ -166,7 +165,7 @@ class PcapSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options["path"])
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _Stream(self.options["path"])
 
 

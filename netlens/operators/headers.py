@@ -287,3 +287,15 @@ def ethernet_ip(packets: DataFrame) -> DataFrame:
         "l3_length": F.col("ihl"), "payload_length": (F.col("l4_bytes") - F.col("l4_length")).cast("int"),
         "payload": F.substring(p, at + F.col("l4_length") + 1, F.col("l4_bytes") - F.col("l4_length")),
     }).drop("ihl")
+
+
+def dissect_segments(segments: DataFrame) -> DataFrame:
+    """Dissection that begins at L4: ``pkt`` is a segment, and src, dst (4 or 16 bytes) and proto are given as columns."""
+    size = F.length("pkt")
+    two = lambda n: F.unhex(F.lpad(F.hex(n), 4, "0"))
+    one = F.unhex(F.lpad(F.hex(F.col("proto")), 2, "0"))
+    v4 = F.concat(F.unhex(F.lit("4500")), two(size + 20), F.unhex(F.lit("0000000040")), one, F.unhex(F.lit("0000")), "src", "dst", "pkt")
+    v6 = F.concat(F.unhex(F.lit("60000000")), two(size), one, F.unhex(F.lit("40")), "src", "dst", "pkt")
+    keep = [c for c in segments.columns if c not in ("src", "dst", "proto", "pkt", "dlt")]
+    whole = segments.select(*keep, F.lit("RAW").alias("dlt"), F.when(F.length("src") == 4, v4).when(F.length("src") == 16, v6).alias("pkt"))
+    return dissect(whole, "L3")

@@ -145,3 +145,20 @@ def protocol_counts(classified: DataFrame) -> DataFrame:
     """Packets per protocol of the stack; those of flows without one count as unknown."""
     shown = F.when(F.size("protocols") > 0, F.col("protocols")).otherwise(F.array(F.lit(catalog.UNKNOWN)))
     return classified.select(F.explode(shown).alias("protocol")).groupBy("protocol").agg(F.count("*").alias("packets"))
+
+
+def header(name: str):
+    """First value of an HTTP header of ``http_headers``, whatever the case of its name."""
+    return F.get(F.filter("http_headers", lambda h: F.lower(h["key"]) == name.lower()), 0)["value"]
+
+
+def has_protocol(name: str):
+    """Whether the stack of a packet holds a protocol, by either of its names."""
+    i = catalog.l7_id(name)
+    return F.array_contains("protocols", catalog.L7[i][1] if i < len(catalog.L7) else name)
+
+
+def bodies(classified: DataFrame, content_type: str) -> DataFrame:
+    """ord, flow_id and body (BINARY) of HTTP messages of a content type; needs the fields HTTP_BODY and HTTP_HEADERS."""
+    found = classified.where(F.lower(header("content-type")).startswith(content_type.lower()))
+    return found.select("ord", "flow_id", F.encode(F.col("fields")["HTTP_BODY"], "ISO-8859-1").alias("body")).where(F.col("body").isNotNull())

@@ -76,6 +76,7 @@ STACKS = {
     name: {"ETHEREUM": "HTTP,JSON-RPC,Ethereum", "ZCASH": "JSON-RPC,Zcash", "MONERO": "JSON-RPC,Monero", "STRATUM": "JSON-RPC,Stratum"}.get(name, catalog.DISPLAY[name]) for name in CONVERSATIONS
 }
 _KINDS = len(CONVERSATIONS) + 1
+_ID_NAMES = _IDS
 
 
 def conversations(spark, sf_dir, only: int | None = None):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, utf8_view
+from netlens.llm.common import by_bytes, tidied, utf8_view
 
 RATE, UP, DOWN, TAPS = 12_000, 2, 3, 12
 NEW_RATE = RATE * UP // DOWN
@@ -186,7 +186,7 @@ def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", outputs:
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [f.name for f in schema])
 
-    return kept.mapInArrow(run, T.StructType(schema))
+    return kept.mapInArrow(tidied(run), T.StructType(schema))
 
 
 

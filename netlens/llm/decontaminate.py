@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, utf8_view
+from netlens.llm.common import by_bytes, tidied, utf8_view
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
@@ -218,7 +218,7 @@ def _scan(docs: DataFrame, index, doc_id: str) -> DataFrame:
                 [batch.column(0), *(pa.array(c, t) for c, (_, _, t) in zip(columns, _SCHEMA, strict=True))], ["doc_id", *(n for n, *_ in _SCHEMA)]
             )
 
-    return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], *(T.StructField(n, t) for n, t, _ in _SCHEMA)]))
+    return kept.mapInArrow(tidied(run), T.StructType([kept.schema["doc_id"], *(T.StructField(n, t) for n, t, _ in _SCHEMA)]))
 
 
 def _fingerprint_rows(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -237,7 +237,7 @@ def _fingerprint_rows(df: DataFrame, keep: list[str]) -> DataFrame:
             row = pa.array(rows[:, 0])
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)).take(row) for k in keep), pa.array(rows[:, 1]), pa.array(rows[:, 2])], [*keep, "kind", "fp"])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema[k] for k in keep), T.StructField("kind", T.LongType()), T.StructField("fp", T.LongType())]))
+    return df.mapInArrow(tidied(run), T.StructType([*(df.schema[k] for k in keep), T.StructField("kind", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def _join(docs: DataFrame, items: DataFrame, doc_id: str) -> DataFrame:
@@ -259,7 +259,7 @@ def _join(docs: DataFrame, items: DataFrame, doc_id: str) -> DataFrame:
                 out += [(rid, item, i, i + n) for i, n, _ in Index([(item, item_text)]).hits(words)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["rid", "item_id", "lo", "hi"])
 
-    hits = met.mapInArrow(extend, "rid long, item_id string, lo long, hi long")
+    hits = met.mapInArrow(tidied(extend), "rid long, item_id string, lo long, hi long")
     covered = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.lo, s.hi - 1)))))")
     by_row = hits.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("ids"))
     by_row = by_row.select("rid", covered.cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("joined"))
@@ -302,7 +302,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
             n_hit, _ = _marked(words, shared.value.hits(words))
             yield batch.filter(pa.array(n_hit == 0, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 #: DuckDB: every window of ten words, matched by text.

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, checkpointed
+from netlens.llm.common import by_bytes, checkpointed, tidied
 
 #: Bytes of reference pages and templates up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -319,7 +319,7 @@ def references(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("host")), batch.column(batch.schema.get_field_index("page_id")), pa.array(found, pa.int64())], ["host", "page_id", "skeleton"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    seen = pages.select("host", "page_id", "html").mapInArrow(skeletons, f"host string, page_id {kind}, skeleton long")
+    seen = pages.select("host", "page_id", "html").mapInArrow(tidied(skeletons), f"host string, page_id {kind}, skeleton long")
     usual = seen.groupBy("host", "skeleton").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id"))
     chosen = usual.groupBy("host").agg(F.sum("n").alias("pages"), F.max(F.struct("n", F.col("skeleton"), "page_id")).alias("top")).where("pages > 1")
     chosen = checkpointed(chosen.select("host", F.col("top.page_id").alias("page_id")))
@@ -366,7 +366,7 @@ def templates(pages: DataFrame, refs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.array(found, kind)], ["host", "page", "texts"])
 
     # copies of a page say nothing new: one of each counts, and only digests of texts are moved
-    met = pages.select("host", "html").join(refs, "host").mapInArrow(texts, "host string, page long, texts array<struct<path:string,hash:long>>")
+    met = pages.select("host", "html").join(refs, "host").mapInArrow(tidied(texts), "host string, page long, texts array<struct<path:string,hash:long>>")
     met = met.dropDuplicates(["host", "page"]).select("host", F.explode("texts").alias("t")).select("host", "t.path", "t.hash")
     by_text = met.groupBy("host", "path", "hash").agg(F.count("*").alias("n"))
     by_node = by_text.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "hash")).alias("top"))
@@ -392,4 +392,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url")), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = [own.schema["page_id"], own.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return own.join(few, "host", "left").mapInArrow(read, T.StructType(schema))
+    return own.join(few, "host", "left").mapInArrow(tidied(read), T.StructType(schema))

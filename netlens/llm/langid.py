@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, held_out, texts_of
+from netlens.llm.common import by_bytes, held_out, texts_of, tidied
 from netlens.llm.ftrl import Ftrl, softmax, temperature
 
 BUCKETS, ORDERS, SCALE = 1 << 17, 3, 20.0
@@ -97,7 +97,7 @@ def _document_frequency(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["bucket", "df"])
 
     total = np.zeros(BUCKETS + 1, np.int64)
-    for r in texts.mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():  # BUCKETS + 1 rows at most
+    for r in texts.mapInArrow(tidied(run), "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():  # BUCKETS + 1 rows at most
         total[r.bucket] = r.df
     return total
 
@@ -120,7 +120,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             both = [np.unique(found[:, lo:hi], return_counts=True) for lo, hi in zip(at, np.append(at[1:], found.shape[1]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b.astype(np.int32).tobytes() for b, _ in both]), pa.array([n.astype(np.int32).tobytes() for _, n in both])], ["lang", "bucket", "n"])
 
-    rows = chosen.mapInArrow(vectors, "lang string, bucket binary, n binary").collect()  # about per_language rows of each language
+    rows = chosen.mapInArrow(tidied(vectors), "lang string, bucket binary, n binary").collect()  # about per_language rows of each language
     data = []
     for r in rows:
         b, n = np.frombuffer(r.bucket, np.int32), np.frombuffer(r.n, np.int32)
@@ -149,4 +149,4 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(best, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     schema = [kept.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return kept.mapInArrow(run, T.StructType(schema))
+    return kept.mapInArrow(tidied(run), T.StructType(schema))

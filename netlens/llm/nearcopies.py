@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, checkpointed, texts_of
+from netlens.llm.common import by_bytes, checkpointed, texts_of, tidied
 from netlens.llm.simhash import SEED, components
 
 WORDS, SIMILARITY, LANES, BLOCKS = 5, 0.8, 16, 32
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 2 << 20):
             node, wide, keys = [], [], []
             for t in texts_of(batch, "text"):
                 hashes, whole = shingles(t, words)
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "wide", "keys"])
 
     schema = [kept.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    return kept.mapInArrow(run, T.StructType(schema))
+    return kept.mapInArrow(tidied(run), T.StructType(schema))
 
 
 def _compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
@@ -123,7 +123,7 @@ def _compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, t
     met = pairs.join(texts, "node").join(texts.select(F.col("node").alias("head"), F.col("text").alias("other")), "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 2 << 20):
             known: dict[str, np.ndarray] = {}
             like = []
             for a, b in zip(texts_of(batch, "text"), texts_of(batch, "other"), strict=True):
@@ -135,7 +135,7 @@ def _compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, t
                 like.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("node", "head")], ["node", "head"]).filter(pa.array(like, pa.bool_()))
 
-    return met.mapInArrow(run, "node long, head long")
+    return met.mapInArrow(tidied(run), "node long, head long")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, texts_of, vocabulary_file
+from netlens.llm.common import by_bytes, texts_of, tidied, vocabulary_file
 
 VARIANTS, DROPOUT, SEED = 4, 0.1, 20_240_601
-REMEMBERED, LONG_WORD = 1_000_000, 96
+REMEMBERED, LONG_WORD = 160_000, 96
 _LOADED: dict[tuple, Pieces] = {}
 _SEGMENT = re.compile(r" +[^ ]*")
 
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(vocabulary, seed, dropout, variants)
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             texts = texts_of(batch, "text")
             raw = model.encode(texts, ["null" if i is None else str(i) for i in batch.column(0).to_pylist()])
             flat = [np.frombuffer(r, "<u4").tolist() for r in raw]
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", seed: int =
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
         model.forget()
 
-    return kept.mapInArrow(run, T.StructType(schema))
+    return kept.mapInArrow(tidied(run), T.StructType(schema))
 
 
 def decode(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
@@ -267,4 +267,4 @@ def decode(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataF
             found = [None if i is None else model.decode(i) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "text"])
 
-    return kept.mapInArrow(run, T.StructType([kept.schema["doc_id"], T.StructField("text", T.StringType())]))
+    return kept.mapInArrow(tidied(run), T.StructType([kept.schema["doc_id"], T.StructField("text", T.StringType())]))

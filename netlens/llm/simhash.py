@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, checkpointed, texts_of
+from netlens.llm.common import by_bytes, checkpointed, texts_of, tidied
 
 SEED = 42
 #: Blocks of a fingerprint. Pairs at 2 bits or fewer leave two of four blocks untouched.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
     schema = T.StructType([kept.schema["doc_id"], T.StructField("fp", T.LongType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def _bits_apart(a, b):

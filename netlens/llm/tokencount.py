@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, texts_of, vocabulary_file
+from netlens.llm.common import by_bytes, texts_of, tidied, vocabulary_file
 
 LIMIT = 2048
 #: Pieces whose counts a worker remembers, and bytes of text handed to the encoder at once.
-REMEMBERED, BATCH_BYTES = 1_000_000, 1 << 20
+REMEMBERED, BATCH_BYTES = 400_000, 1 << 20
 _SPACES = "\t\n\x0b\x0c\r "
 _LOADED: dict[str, Encoder] = {}
 
@@ -89,10 +89,10 @@ def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", split:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = encoder(vocabulary_file(vocabulary), split)
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 2 << 20):
             n = pa.array(counter.counts(texts_of(batch, "text")), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], ["doc_id", "n_bytes", "n_tokens"])
         counter.seen.clear()  # workers live on after a task
 
     schema = T.StructType([kept.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return kept.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return kept.mapInArrow(tidied(run), schema).withColumn("over_limit", F.col("n_tokens") > limit)

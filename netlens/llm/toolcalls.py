@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import by_bytes, checkpointed, texts_of
+from netlens.llm.common import by_bytes, checkpointed, texts_of, tidied
 
 _TURN = {"type": "integer", "minimum": 0}
 SCHEMAS = {
@@ -157,7 +157,7 @@ def parse(messages: DataFrame, plain: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1).take(pa.array([r[0] for r in rows], pa.int64()))], ["conv", "turn", "place", "kind", "id", "name", "body", "depends", "conv_id"])
 
     kind = messages.schema["conv_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"conv string, turn long, place long, kind string, id string, name string, body string, depends array<string>, conv_id {kind}")
+    return kept.mapInArrow(tidied(run), f"conv string, turn long, place long, kind string, id string, name string, body string, depends array<string>, conv_id {kind}")
 
 
 def _rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def link(messages: DataFrame, schemas: dict[str, dict] | None = None, plain: boo
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(valid, pa.bool_()), pa.array(errors, pa.string()), pa.array(written, pa.string())], [*keep, "valid", "errors", "canonical"])
 
     kind = messages.schema["conv_id"].dataType.simpleString()
-    return linked.mapInArrow(serialise, f"conv_id {kind}, call_id string, kind string, name string, turn long, place long, round int, result_turn long, copies long, valid boolean, errors string, canonical string")
+    return linked.mapInArrow(tidied(serialise), f"conv_id {kind}, call_id string, kind string, name string, turn long, place long, round int, result_turn long, copies long, valid boolean, errors string, canonical string")
 
 
 #: DuckDB, for tables without tool messages: exchanges joined by turn.

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, held_out, texts_of
+from netlens.llm.common import by_bytes, held_out, texts_of, tidied
 from netlens.llm.ftrl import Ftrl, temperature
 from netlens.llm.langid import _letters
 
@@ -39,7 +39,7 @@ THRESHOLD = 0.7
 #: Most labelled documents of a class that the regression is fitted on; passes over them.
 PER_CLASS, EPOCHS = {1: 1500, 0: 3000}, 4
 ORDER, BUCKETS = 4, 1 << 20
-REMEMBERED, CHUNK = 400_000, 48
+REMEMBERED, CHUNK = 150_000, 48
 #: Letters that a symbol may stand for.
 READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -102,7 +102,7 @@ def count_characters(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(ORDER * BUCKETS, np.int64)
-        for batch in by_bytes(batches, "text", 1 << 20):
+        for batch in by_bytes(batches, "text", 1 << 18):
             joined = (" " + " ".join(texts_of(batch, "text")).lower() + " ").encode("utf-32-le")
             c = np.frombuffer(joined, np.uint32)
             c = np.where(_letters()[c], c, 32).astype(np.int64)
@@ -122,7 +122,7 @@ def count_characters(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["cell", "n"])
 
     total = np.zeros(ORDER * BUCKETS, np.float32)
-    cells = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = texts.mapInArrow(tidied(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     for r in cells.toLocalIterator(prefetchPartitions=True):  # ORDER * BUCKETS cells at most
         total[r.cell] = r.n
     return total.reshape(ORDER, BUCKETS)
@@ -321,13 +321,13 @@ def scores(docs: DataFrame, scorer: Scorer | None, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 2 << 20):
             found = [model.score(t) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64()), pa.array([int(s >= THRESHOLD) for s in found], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
         model.forget()
 
     schema = [kept.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return kept.mapInArrow(run, T.StructType(schema))
+    return kept.mapInArrow(tidied(run), T.StructType(schema))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,8 +338,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text):
+        for batch in by_bytes(batches, text, 2 << 20):
             yield batch.filter(pa.array([shared.value.score(t) < THRESHOLD for t in texts_of(batch, text)], pa.bool_()))
         shared.value.forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

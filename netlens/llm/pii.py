@@ -159,9 +159,8 @@ def disclosing(whole: DataFrame, bases: DataFrame, near: DataFrame, support: int
     counted = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support)
     entities = bases.where(F.size("base") > 0).select(F.explode(F.expr(f"array_distinct(transform(base, b -> {_entity('b')}))")).alias("entity"))
     entities = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = bases.agg(F.count("*").alias("n_all"))  # one row
-    rated = best.join(counted, "term").join(entities, "entity").join(F.broadcast(total))
-    given, alone = F.col("n") / F.greatest("n_term", "n"), F.col("n_entity") / F.col("n_all")
+    rated = best.join(counted, "term").join(entities, "entity")
+    given, alone = F.col("n") / F.greatest("n_term", "n"), F.col("n_entity") / F.lit(max(1, bases.count()))
     revealed = F.when(alone >= 1, 0.0).otherwise(F.log(given / alone) / -F.log(alone))
     return rated.withColumn("revealed", revealed).where((given > 0.5) & (F.col("revealed") >= disclosure)).select("term", "entity", "n", "n_term", "revealed")
 

@@ -92,12 +92,11 @@ def conversations(spark, sf_dir, only: int | None = None):
     met = events.join(F.broadcast(table), "kind")
     client, server = F.lit(167772160) + F.col("event_id") % 16777215 + 1, F.when(F.col("kind") == _IDS["MDNS"], F.lit(0xE00000FB)).otherwise(F.lit(3232235777))
     mine, out = F.coalesce(F.col("cport"), 20000 + F.col("event_id") % 9000), F.col("way") == 0
-    before = F.lit(0)
     return fx.payload_packets(
         met.select(
             (F.col("event_id") * 8 + F.col("step")).alias("ord"), (F.col("event_id") * 1000 + F.col("step")).alias("ts_us"), "kind", "event_id", "proto",
             F.when(out, client).otherwise(server).alias("src"), F.when(out, server).otherwise(client).alias("dst"), F.when(out, mine).otherwise(F.col("server_port")).alias("sport"),
-            F.when(out, F.col("server_port")).otherwise(mine).alias("dport"), F.lit(24).alias("flags"), F.lit(8192).alias("win"), (F.lit(1000) + F.col("step")).alias("seq"), before.alias("ack"), "payload",
+            F.when(out, F.col("server_port")).otherwise(mine).alias("dport"), F.lit(24).alias("flags"), F.lit(8192).alias("win"), (F.lit(1000) + F.col("step")).alias("seq"), F.lit(0).alias("ack"), "payload",
         ), F.col("payload"),
     )
 
@@ -165,7 +164,7 @@ ORACLE_SQL["max_trials"] = f"SELECT event_id, 'SMTP' AS stack FROM events WHERE
 # -- fields ------------------------------------------------------------------
 
 
-def _carried(rows, payload, proto: int, port: int, fields: list[str], both_high: bool = False):
+def _carried(rows, payload, proto: int, port: int, fields: list[str]):
     """One packet per row of (n, ...) with a payload, classified with the fields asked for."""
     rows = rows.withColumns({
         "ord": F.col("n"), "ts_us": F.col("n") * 1000, "src": F.lit(167772161) + F.col("n") % 1000000, "dst": F.lit(3232235777), "sport": 20000 + F.col("n") % 9000, "dport": F.lit(port),

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from netlens.llm.common import by_bytes, texts_of, tidied, vocabulary_file
 
 VARIANTS, DROPOUT, SEED = 4, 0.1, 20_240_601
-REMEMBERED, LONG_WORD = 160_000, 96
+REMEMBERED, LONG_WORD = 320_000, 96
 _LOADED: dict[tuple, Pieces] = {}
 _SEGMENT = re.compile(r" +[^ ]*")
 
@@ -138,40 +138,55 @@ class Pieces:
         word_key = np.fromiter((self._word_key(w, variant) for w in words), np.uint64, len(words))
         sym = self.single[code]
         sym = np.where(sym < 0, -1 - code, sym)
-        word = np.repeat(np.arange(len(words)), lens)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lens)
         start = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens)
-        done_word, done_start, done_sym = [], [], []
+        done_word, done_sym = [], []
         big = np.int64(1 << 62)
+        cost, made = np.full(len(sym), big), np.zeros(len(sym), np.int64)
+
+        def price(at: np.ndarray) -> None:
+            """Rank and place of the merge of each of these symbols with the next one; none where there is no merge or it is skipped."""
+            cost[at] = big
+            at = at[at + 1 < len(sym)]
+            at = at[word[at] == word[at + 1]]
+            a, b = sym[at], sym[at + 1]
+            known = (a >= 0) & (b >= 0)
+            at, key = at[known], a[known] << 20 | b[known]
+            found = np.searchsorted(self.keys, key)
+            found[found == len(self.keys)] = 0
+            known = self.keys[found] == key
+            at, found = at[known], found[known]
+            if self.rate:
+                after = np.minimum(at + 2, len(sym) - 1)
+                end = np.where((at + 2 < len(sym)) & (word[after] == word[at]), start[after], lens[word[at]])
+                known = ~self._skipped(word_key[word[at]], start[at], start[at + 1], end)
+                at, found = at[known], found[known]
+            cost[at] = self.rank[found] << 20 | start[at]
+            made[at] = self.merged[found]
+
+        if len(self.keys):
+            price(np.arange(len(sym)))
         while len(sym):
-            inside = word[1:] == word[:-1]
-            a, b = sym[:-1], sym[1:]
-            key = np.where(inside & (a >= 0) & (b >= 0), a << 20 | b, -1)
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            live = np.flatnonzero(self.keys[at] == key) if len(self.keys) else np.zeros(0, np.int64)
-            if self.rate and len(live):
-                end = np.append(start[1:], 0)
-                end[np.append(~inside, True)] = lens[word[np.append(~inside, True)]]
-                live = live[~self._skipped(word_key[word[live]], start[live], start[live + 1], end[live + 1])]
-            cost = np.full(len(sym), big)
-            cost[live] = self.rank[at[live]] << 20 | start[live]
-            first = np.flatnonzero(np.append(True, ~inside))
-            best = np.minimum.reduceat(cost, first)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             size = np.diff(np.append(first, len(sym)))
-            hit = cost == np.repeat(best, size)
-            hit &= cost < big
-            where = np.flatnonzero(hit)
-            rest = np.repeat(best < big, size)
-            if not rest.all():
-                out = ~rest
-                done_word.append(word[out])
-                done_start.append(start[out])
-                done_sym.append(sym[out])
-            sym = sym.copy()
-            sym[where] = self.merged[at[where]]
+            best = np.minimum.reduceat(cost, first)
+            going = best < big
+            if not going.all():
+                rest = np.repeat(going, size)
+                done_word.append(word[~rest])
+                done_sym.append(sym[~rest])
+                sym, word, start, cost, made = sym[rest], word[rest], start[rest], cost[rest], made[rest]
+                best, size = best[going], size[going]
+                if not len(sym):
+                    break
+            where = np.flatnonzero(cost == np.repeat(best, size))
+            sym[where] = made[where]
+            rest = np.ones(len(sym), bool)
             rest[where + 1] = False
-            sym, word, start = sym[rest], word[rest], start[rest]
-        sym, word, start = map(np.concatenate, (done_sym, done_word, done_start))
+            new = where - np.arange(len(where))  # one symbol of each word before has gone
+            sym, word, start, cost, made = sym[rest], word[rest], start[rest], cost[rest], made[rest]
+            price(np.concatenate([new, new[new > 0] - 1]))
+        sym, word = map(np.concatenate, (done_sym, done_word))
         order = np.argsort(word, kind="stable")
         sym, word = sym[order], word[order]
         odd = np.flatnonzero(sym < 0)

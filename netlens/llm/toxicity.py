@@ -39,7 +39,7 @@ THRESHOLD = 0.7
 #: Most labelled documents of a class that the regression is fitted on; passes over them.
 PER_CLASS, EPOCHS = {1: 1500, 0: 3000}, 4
 ORDER, BUCKETS = 4, 1 << 20
-REMEMBERED, CHUNK = 150_000, 48
+REMEMBERED, CHUNK = 300_000, 48
 #: Letters that a symbol may stand for.
 READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -102,7 +102,7 @@ def count_characters(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(ORDER * BUCKETS, np.int64)
-        for batch in by_bytes(batches, "text", 1 << 18):
+        for batch in by_bytes(batches, "text", 1 << 20):
             joined = (" " + " ".join(texts_of(batch, "text")).lower() + " ").encode("utf-32-le")
             c = np.frombuffer(joined, np.uint32)
             c = np.where(_letters()[c], c, 32).astype(np.int64)
@@ -117,7 +117,7 @@ def count_characters(texts: DataFrame) -> np.ndarray:
                     h = np.full(len(c), start, np.int64)
                     for x in part:
                         h = (h * 1000003 ^ x) & 0xFFFFFFFF
-                    table[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(h % BUCKETS, minlength=BUCKETS)
+                    table[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(h & (BUCKETS - 1), minlength=BUCKETS)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["cell", "n"])
 

@@ -13,8 +13,15 @@ six is shared with probability 0.26 or more, and at least one of 32 with more th
 Members of a block are joined with one representative, chosen by a hash that differs from
 block to block, and verified by Hamming distance, at the angle that belongs to the
 similarity. Within ``DOUBT`` bits of that angle (four deviations of the estimate) the
-shingles of the two texts are compared themselves. Groups are never collected and pairs
-within groups never formed; classes are the connected components of verified links.
+shingles of the two texts are compared themselves.
+
+A member that does not verify against the representative of a block may still be a copy of
+another member. Such leftovers and the members of their blocks are compared by an exact
+prefix filter: shingles are put into one order for all (rarest first, by a count sketch of
+these documents), and two sets of the stated similarity share one of the first
+n - ceil(similarity * n) + 1. Keys whose documents are linked already are dropped, pairs are
+formed only between documents not yet linked, and they are verified as above. Classes are
+the connected components of verified links.
 
 Defined results for odd input: as for ``simhash``; texts whose lower-case words agree are
 exact copies; texts without words are copies of each other; a null id is never dropped.
@@ -40,6 +47,8 @@ _ODD = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: Differing bits about the expected number among which the estimate is not trusted.
 DOUBT = 46
 _STEP = 1 << 15
+#: Cells of the sketch that orders shingles by how many documents have them.
+CELLS = 1 << 20
 
 
 def radius(similarity: float, bits: int = 64 * LANES) -> int:
@@ -138,26 +147,95 @@ def _compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, t
     return met.mapInArrow(tidied(run), "node long, head long")
 
 
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The rarest shingles of a document, one of which it shares with every set of this similarity."""
+    n = len(hashes)
+    kept = n - math.ceil(similarity * n - 1e-9) + 1
+    order = np.lexsort((hashes, counts[(_mix(hashes) % np.uint64(CELLS)).astype(np.int64)]))
+    return hashes[order[:kept]].view(np.int64)
+
+
+def _leftover_pairs(parts: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """(node, head) of documents not linked yet that may have this similarity, where at least one is a leftover.
+
+    ``parts`` has node, rep, root, left: leftovers and the members of their blocks.
+    """
+    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(parts, "rep")
+    texts = checkpointed(texts.groupBy("node").agg(F.min("text").alias("text"), F.min("root").alias("root"), F.max("left").alias("left")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(CELLS, np.int64)
+        for batch in by_bytes(batches, "text", 2 << 20):
+            for t in texts_of(batch, "text"):
+                np.add.at(table, (_mix(shingles(t, words)[0]) % np.uint64(CELLS)).astype(np.int64), 1)
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], ["cell", "n"])
+
+    counts = np.zeros(CELLS, np.int64)
+    sums = texts.select("text").mapInArrow(tidied(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 2 << 20):
+            size, keys = [], []
+            for t in texts_of(batch, "text"):
+                hashes = shingles(t, words)[0]
+                size.append(len(hashes))
+                keys.append(prefix(hashes, shared.value, similarity) if len(hashes) else np.zeros(0, np.int64))
+            own = [batch.column(batch.schema.get_field_index(c)) for c in ("node", "root", "left")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "root", "left", "size", "keys"])
+
+    found = texts.mapInArrow(tidied(run), "node long, root long, left boolean, size long, keys array<long>")
+    found = checkpointed(found.select("node", "root", "left", "size", F.explode("keys").alias("key")))
+    # a key without a leftover, or whose documents are linked already, has nothing to add
+    open_keys = found.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("left").alias("left")).where("a <> b AND left").select("key")
+    found = found.join(open_keys, "key")
+    a, b = (found.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "left", "size")]) for x in "ab")
+    fits = (F.col("size_a") >= similarity * F.col("size_b") - 1e-6) & (F.col("size_b") >= similarity * F.col("size_a") - 1e-6)
+    once = F.col("left_a") & (~F.col("left_b") | (F.col("node_a") > F.col("node_b")))
+    met = a.join(b, "key").where((F.col("root_a") != F.col("root_b")) & once & fits)
+    return met.select(F.col("node_a").alias("node"), F.col("node_b").alias("head")).distinct()
+
+
+def _named(distinct: DataFrame, root: DataFrame) -> DataFrame:
+    return distinct.select("node", "rep").join(root, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id), one row per input row: the smallest id of its class."""
     rows = checkpointed(signatures(docs, doc_id, text, words, similarity))
     lanes = [F.expr(f"cast(conv(hex(substring(wide, {8 * i + 1}, 8)), 16, -10) as bigint)") for i in range(LANES)]
     distinct = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("wide").alias("wide"), F.min("keys").alias("keys"))
     distinct = checkpointed(distinct.select("node", "rep", F.array(*lanes).alias("wide"), "keys"))
-    entries = distinct.select("node", F.explode("keys").alias("key"))
-    heads = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = entries.join(heads.select("key", F.col("head.node").alias("head")), "key").where(F.col("node") != F.col("head"))
-    pairs = met.select("node", "head").distinct()
     wide = distinct.select("node", "wide")
-    both = pairs.join(wide, "node").join(wide.select(F.col("node").alias("head"), F.col("wide").alias("other")), "head")
     far = F.expr(" + ".join(f"bit_count(wide[{i}] ^ other[{i}])" for i in range(LANES)))
-    both = checkpointed(both.select("node", "head", far.alias("far")).where(F.col("far") <= radius(similarity) + DOUBT))
-    sure = both.where(F.col("far") <= radius(similarity) - DOUBT).select("node", "head")
-    doubted = both.where(F.col("far") > radius(similarity) - DOUBT).select("node", "head")
-    agreed = sure.unionByName(_compared(doubted, distinct.select("node", "rep"), docs, doc_id, text, words, similarity))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those (node, head) that have the similarity."""
+        both = pairs.join(wide, "node").join(wide.select(F.col("node").alias("head"), F.col("wide").alias("other")), "head")
+        both = checkpointed(both.select("node", "head", far.alias("far")).where(F.col("far") <= radius(similarity) + DOUBT))
+        sure = both.where(F.col("far") <= radius(similarity) - DOUBT).select("node", "head")
+        doubted = both.where(F.col("far") > radius(similarity) - DOUBT).select("node", "head")
+        return checkpointed(sure.unionByName(_compared(doubted, distinct.select("node", "rep"), docs, doc_id, text, words, similarity)))
+
+    entries = distinct.select("node", F.explode("keys").alias("key"))
+    heads = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    met = entries.join(heads.select("key", F.col("head.node").alias("head"), "n"), "key").where(F.col("node") != F.col("head"))
+    agreed = verified(met.select("node", "head").distinct())
     edges = agreed.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct()
-    root = components(edges)
-    named = distinct.select("node", "rep").join(root, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    named = checkpointed(_named(distinct, components(edges)))
+    # members of blocks of three or more, where one of them did not verify against the head
+    members = met.where("n > 2").select("node", "head", "key").join(agreed.withColumn("ok", F.lit(True)), ["node", "head"], "left")
+    members = checkpointed(members.select("node", "key", F.col("ok").isNull().alias("left")))
+    parts = members.join(members.where("left").select("key").distinct(), "key", "left_semi").groupBy("node").agg(F.max("left").alias("left"))
+    parts = checkpointed(parts.join(named, "node"))
+    if not parts.isEmpty():
+        more = verified(_leftover_pairs(parts, docs, doc_id, text, words, similarity))
+        linked = more.join(named.select("node", "root"), "node").join(named.select(F.col("node").alias("head"), F.col("root").alias("to")), "head")
+        again = components(linked.select(F.greatest("root", "to").alias("u"), F.least("root", "to").alias("v")).where("u <> v").distinct())
+        again = again.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        named = named.join(again, "root", "left").select("node", "rep", F.coalesce("top", "root").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_node = checkpointed(named.join(least, "root").select("node", "component_id"))
     return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")

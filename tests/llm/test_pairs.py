@@ -109,6 +109,19 @@ def test_near_copies_match_jaccard(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(got.values())) and None in ids
 
 
+def test_copies_around_a_shared_passage_match_jaccard(spark):
+    r = random.Random(4)
+    own = lambda n: " ".join(f"o{r.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for hub in range(6):  # short additions are near copies of each other, longer ones of nothing
+        passage = " ".join(f"h{hub}x{i}" for i in range(124))
+        rows += [passage + " " + own(n) for n in (5, 5, 6, *[55] * 150)]
+    rows = list(enumerate(rows))
+    sets = {i: shingle_set(t) for i, t in rows}
+    got = {x.doc_id: x.component_id for x in nearcopies.classes(docs(spark, rows)).collect()}
+    assert got == reachable(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
 def brute_contamination(text, items):
     import hashlib
     import re

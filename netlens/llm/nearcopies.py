@@ -4,16 +4,18 @@ For corpora where near copies share, say, four fifths of their five-word shingle
 and two differing bits are too narrow. Here a document has a SimHash of 1024 bits over its
 distinct shingles, and its blocks are made of the shingles themselves: shingles are dealt
 into buckets by their hash, so copies that differ in few shingles differ in few buckets
-and agree in all others. The number of buckets follows the size of a document (about
-three to six shingles a bucket, or one shingle where there are few); ``BLOCKS`` buckets
-are kept. A document near the edge of a size class emits the blocks of both classes, so
-sizes that differ within the similarity still meet. With a similarity of 0.8 a block of
-six is shared with probability 0.26 or more, and at least one of 32 with more than 0.9999.
+and agree in all others. The number of buckets follows the size of a document: a bucket
+for each shingle up to ``BLOCKS``, then ``BLOCKS`` buckets up to 191 shingles, then three
+to six shingles a bucket, of which ``BLOCKS`` buckets are kept. A document near the edge
+of a size class emits the blocks of both classes, so sizes that differ within the
+similarity still meet. This is hashing, not a pigeonhole guarantee over the fingerprint: a
+pair at the similarity may share no block, which the tests measure by size.
 
 Members of a block are joined with one representative, chosen by a hash that differs from
 block to block, and verified by Hamming distance, at the angle that belongs to the
-similarity. Within ``DOUBT`` bits of that angle (four deviations of the estimate) the
-shingles of the two texts are compared themselves.
+similarity. Within ``DOUBT`` bits of that angle (four deviations of the estimate), and
+where one text has ``SMALL`` shingles or fewer, whatever their distance, the shingles of
+the two texts are compared themselves.
 
 A member that does not verify against the representative of a block may still be a copy of
 another member. Such leftovers and the members of their blocks are compared by an exact
@@ -46,6 +48,8 @@ WORDS, SIMILARITY, LANES, BLOCKS = 5, 0.8, 16, 32
 _ODD = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Differing bits about the expected number among which the estimate is not trusted.
 DOUBT = 46
+#: Shingles up to which the estimate is not trusted at all.
+SMALL = 200
 _STEP = 1 << 15
 #: Cells of the sketch that orders shingles by how many documents have them.
 CELLS = 1 << 20
@@ -84,7 +88,7 @@ def wide_simhash(hashes: np.ndarray) -> bytes:
 
 
 def _size_class(n: float) -> int:
-    return -1 if n <= BLOCKS else int(math.log2(n / 3))
+    return -1 if n <= BLOCKS else max(BLOCKS.bit_length() - 1, int(math.log2(n / 3)))
 
 
 def blocks(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -107,20 +111,21 @@ def blocks(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (hash of the words), wide (SimHash), keys (blocks): one row per input row."""
+    """doc_id, node (hash of the words), size (shingles), wide (SimHash), keys (blocks): one row per input row."""
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 2 << 20):
-            node, wide, keys = [], [], []
+            node, size, wide, keys = [], [], [], []
             for t in texts_of(batch, "text"):
                 hashes, whole = shingles(t, words)
                 node.append(whole - (1 << 63))
+                size.append(len(hashes))
                 wide.append(wide_simhash(hashes))
                 keys.append(blocks(hashes, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "size", "wide", "keys"])
 
-    schema = [kept.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    schema = [kept.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     return kept.mapInArrow(tidied(run), T.StructType(schema))
 
 
@@ -206,17 +211,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """(doc_id, component_id), one row per input row: the smallest id of its class."""
     rows = checkpointed(signatures(docs, doc_id, text, words, similarity))
     lanes = [F.expr(f"cast(conv(hex(substring(wide, {8 * i + 1}, 8)), 16, -10) as bigint)") for i in range(LANES)]
-    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("wide").alias("wide"), F.min("keys").alias("keys"))
-    distinct = checkpointed(distinct.select("node", "rep", F.array(*lanes).alias("wide"), "keys"))
-    wide = distinct.select("node", "wide")
+    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("wide").alias("wide"), F.min("keys").alias("keys"))
+    distinct = checkpointed(distinct.select("node", "rep", "size", F.array(*lanes).alias("wide"), "keys"))
+    wide = distinct.select("node", "size", "wide")
     far = F.expr(" + ".join(f"bit_count(wide[{i}] ^ other[{i}])" for i in range(LANES)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those (node, head) that have the similarity."""
-        both = pairs.join(wide, "node").join(wide.select(F.col("node").alias("head"), F.col("wide").alias("other")), "head")
-        both = checkpointed(both.select("node", "head", far.alias("far")).where(F.col("far") <= radius(similarity) + DOUBT))
-        sure = both.where(F.col("far") <= radius(similarity) - DOUBT).select("node", "head")
-        doubted = both.where(F.col("far") > radius(similarity) - DOUBT).select("node", "head")
+        both = pairs.join(wide, "node").join(wide.select(F.col("node").alias("head"), F.col("size").alias("size_o"), F.col("wide").alias("other")), "head")
+        least, most = F.least("size", "size_o"), F.greatest("size", "size_o")
+        both = both.where(least >= similarity * most - 1e-6).select("node", "head", far.alias("far"), (least <= SMALL).alias("small"))
+        both = checkpointed(both.where(F.col("small") | (F.col("far") <= radius(similarity) + DOUBT)))
+        sure = ~F.col("small") & (F.col("far") <= radius(similarity) - DOUBT)
+        sure, doubted = both.where(sure).select("node", "head"), both.where(~sure).select("node", "head")
         return checkpointed(sure.unionByName(_compared(doubted, distinct.select("node", "rep"), docs, doc_id, text, words, similarity)))
 
     entries = distinct.select("node", F.explode("keys").alias("key"))

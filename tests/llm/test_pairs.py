@@ -109,6 +109,31 @@ def test_near_copies_match_jaccard(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(got.values())) and None in ids
 
 
+@pytest.mark.parametrize("common", [32, 36, 40, 48, 64, 80, 120, 160, 168, 176, 240, 320])
+def test_copies_at_the_similarity_share_a_block(common):
+    import numpy as np
+
+    rng, missed = np.random.default_rng(common), 0
+    for _ in range(2000):
+        x = rng.integers(1, 1 << 63, common + common // 4, dtype=np.uint64)
+        a, b = x[: common + common // 8], np.concatenate([x[:common], x[common + common // 8 :]])
+        missed += not np.intersect1d(nearcopies.blocks(a), nearcopies.blocks(b)).size
+    assert missed <= 1
+
+
+def test_small_texts_match_jaccard(spark):
+    r = random.Random(8)
+    rows = []
+    for n in (9, 37, 60):  # a word less, a fifth less: similarity 0.8 exactly for the first
+        for _ in range(60):
+            w = [f"s{r.randrange(10**9)}" for _ in range(n)]
+            rows += [" ".join(w), " ".join(w[: n - (n - 4) // 5])]
+    rows = list(enumerate(rows))
+    sets = {i: shingle_set(t) for i, t in rows}
+    got = {x.doc_id: x.component_id for x in nearcopies.classes(docs(spark, rows)).collect()}
+    assert got == reachable(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
 def test_copies_around_a_shared_passage_match_jaccard(spark):
     r = random.Random(4)
     own = lambda n: " ".join(f"o{r.randrange(10**9)}" for _ in range(n))

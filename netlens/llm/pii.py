@@ -11,9 +11,9 @@ at least ``SUPPORT`` documents with e that reach the disclosure threshold are sp
 A base span is generalised to its kind; a disclosing term is generalised to a
 placeholder or removed.
 
-Only one entity can reach a threshold above one half with a term, so every term keeps
-one candidate after an aggregation that combines before it shuffles: neither terms nor
-entities are paired with each other beyond their contexts, and no group is collected.
+Every pair of a term and an entity with that support is rated, after an aggregation that
+combines before it shuffles: neither terms nor entities are paired with each other beyond
+their contexts, and no group is collected.
 
 Base rules, leftmost and without overlap within a kind: see ``KINDS``. The expressions
 used here are equivalent to those rules but scan a text once, whatever it holds: runs are
@@ -151,18 +151,15 @@ def disclosing(whole: DataFrame, bases: DataFrame, near: DataFrame, support: int
 
     ``whole`` has the text of every document, ``bases`` (row, base) of every document, ``near`` the contexts.
     """
-    pairs = near.select("row", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n"))
-    # p(e | t) can exceed one half for the most frequent entity of a term only
-    best = pairs.groupBy("term").agg(F.max(F.struct("n", "entity")).alias("top"))
-    best = best.select("term", F.col("top.entity").alias("entity"), F.col("top.n").alias("n")).where(F.col("n") >= support)
+    pairs = near.select("row", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     words = whole.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(text), {_sql(_WORD)}, 0))")).alias("term"))
     counted = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support)
     entities = bases.where(F.size("base") > 0).select(F.explode(F.expr(f"array_distinct(transform(base, b -> {_entity('b')}))")).alias("entity"))
     entities = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    rated = best.join(counted, "term").join(entities, "entity")
+    rated = pairs.join(counted, "term").join(entities, "entity")
     given, alone = F.col("n") / F.greatest("n_term", "n"), F.col("n_entity") / F.lit(max(1, bases.count()))
     revealed = F.when(alone >= 1, 0.0).otherwise(F.log(given / alone) / -F.log(alone))
-    return rated.withColumn("revealed", revealed).where((given > 0.5) & (F.col("revealed") >= disclosure)).select("term", "entity", "n", "n_term", "revealed")
+    return rated.withColumn("revealed", revealed).where(F.col("revealed") >= disclosure).select("term", "entity", "n", "n_term", "revealed")
 
 
 def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:

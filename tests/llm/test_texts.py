@@ -115,6 +115,18 @@ def test_disclosing_terms(spark):
     assert pii.report(pii.found_spans(df.where("false"))).count() == 0
 
 
+def test_every_entity_of_a_term_is_rated(spark):
+    # half the documents with the term have the entity, which is in 2 of 4,000: 0.91 of its information
+    texts = ["see Quill at q@r.st", "the Quill wrote q@r.st", "Quill once", "Quill twice", *["filler text"] * 3996]
+    found = {r.doc_id: r for r in pii.report(pii.found_spans(table(spark, texts))).collect()}
+    assert [found[i].n_terms for i in (0, 1)] == [1, 1]
+    # the telephone is in every document and reveals nothing; it must not hide the address
+    phone = "+1 456 555 2186"
+    texts = [f"ask Bobster a@b.cd or {phone}", f"told Bobster a@b.cd or {phone}", *[f"text {i} {phone}" for i in range(6)]]
+    found = {r.doc_id: r for r in pii.report(pii.found_spans(table(spark, texts))).collect()}
+    assert [found[i].n_terms for i in (0, 1)] == [1, 1]
+
+
 def test_resampling_is_a_convolution():
     x = np.random.default_rng(0).normal(size=700).astype(np.float32)
     taps = np.zeros(audio.TAPS * audio.UP)

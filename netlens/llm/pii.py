@@ -1,19 +1,21 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Base spans (email, ip, card, phone) are the protected entities. Words within
-``CONTEXT`` words of an entity are its terms. Over the whole corpus, a term t reveals an
+Base spans (email, ip, card, phone) are the protected entities. The words of a document,
+outside its base spans, are the terms of its entities. Over the whole corpus, a term t reveals an
 entity e as far as
 
     PMI(t; e) / IC(e),   PMI = log p(e | t) / p(e),   IC(e) = -log p(e)
 
 that is, as the share of e's information that is known once t is read. Terms found in
-at least ``SUPPORT`` documents with e that reach the disclosure threshold are spans too.
+at least ``SUPPORT`` documents with e that reach the disclosure threshold are spans too,
+wherever they stand, in documents with and without base spans.
 A base span is generalised to its kind; a disclosing term is generalised to a
 placeholder or removed.
 
-Every pair of a term and an entity with that support is rated, after an aggregation that
-combines before it shuffles: neither terms nor entities are paired with each other beyond
-their contexts, and no group is collected.
+Every pair of a term and an entity with that support is rated. Reaching the threshold
+needs n(t) <= n(e) / p(e) ** (1 - threshold), so terms that are too frequent for an entity
+are never paired with it. Disclosing terms meet the words of all documents in an equi-join,
+and only documents with a match are read again for the places.
 
 Base rules, leftmost and without overlap within a kind: see ``KINDS``. The expressions
 used here are equivalent to those rules but scan a text once, whatever it holds: runs are
@@ -39,9 +41,11 @@ KINDS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CONTEXT, SUPPORT, DISCLOSURE = 4, 2, 0.9
-#: Characters before and after an entity among which its context words are sought.
-REACH = 120
+SUPPORT, DISCLOSURE = 2, 0.9
+#: Bytes of disclosing terms up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 4 << 20
+#: A term in more than this share of documents is hot: there are few of them, and they are kept out of shuffles.
+HOT = 0.001
 
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,}+"
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -98,6 +102,10 @@ def _spans(kind: str) -> str:
 
 
 _WORD = r"[\p{L}\p{N}_'-]++"
+#: Stands for a base span in a text whose other words are read: a word that it touches is not one.
+_MASK = "\ue000"
+_MASKED = r"[\p{L}\p{N}_'\x{E000}-]++"
+_USABLE = "length(t) > 2 and t rlike '[a-zA-Z]|[^\\\\x00-\\\\x7F]'"
 _NONE = "cast(array() as array<struct<s:int,k:int,e:int,v:string>>)"
 
 
@@ -106,59 +114,51 @@ def _entity(b: str) -> str:
     return f"concat({b}.k, ':', case when {b}.k < 2 then lower({b}.v) else {_digits(f'{b}.v')} end)"
 
 
-def _words(side: str, start: str) -> str:
-    """SQL: the words of a piece of text that begins at code point ``start``."""
-    return (
-        f"aggregate(zip_with(regexp_extract_all({side}, {_sql(_WORD)}, 0), split({side}, {_sql(_WORD)}, -1), (x, g) -> struct(x, length(g) as g)), "
-        f"named_struct('at', {start}, 'out', cast(array() as array<struct<s:int,e:int,t:string>>)), "
-        f"(a, p) -> named_struct('at', a.at + p.g + coalesce(length(p.x), 0), 'out', case when p.x is null then a.out else array_append(a.out, named_struct('s', a.at + p.g, 'e', a.at + p.g + length(p.x), 't', lower(p.x))) end), a -> a.out)"
-    )
-
-
 def base_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, base: array of (s, k, e, v) by start, then kind; code points, end exclusive."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return own.withColumn("base", F.expr(f"array_sort(concat({', '.join(map(_spans, KINDS))}))"))
 
 
-def contexts(spans: DataFrame) -> DataFrame:
-    """row, entity, term, s, e: words near an entity, of three letters or more and outside base spans.
+def _distinct_words(docs: DataFrame, *keys: str) -> DataFrame:
+    """The given columns and term: each word of a text once."""
+    words = docs.select(*keys, F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(text), {_sql(_WORD)}, 0))")).alias("t"))
+    return words.where(F.expr(_USABLE)).select(*keys, F.col("t").alias("term"))
 
-    Entities are exploded, so a document with very many is no larger a row for it.
-    """
-    near = spans.where(F.size("base") > 0).select("row", "text", "base", F.posexplode("base").alias("i", "b"))
-    near = near.select(
-        "row",
-        F.expr(_entity("b")).alias("entity"),
-        F.expr("slice(base, greatest(1, i - 63), 128)").alias("beside"),  # more than fit within reach
-        F.expr(f"greatest(0, b.s - {REACH})").alias("lo"),
-        F.expr("b.e").alias("be"),
-        F.expr(f"substring(text, greatest(0, b.s - {REACH}) + 1, least(b.s, {REACH}))").alias("before"),
-        F.expr(f"substring(text, b.e + 1, {REACH})").alias("after"),
+
+def terms_beside(spans: DataFrame) -> DataFrame:
+    """row, term: the words of documents with entities, of three letters or more and outside base spans."""
+    masked = (
+        "aggregate(base, named_struct('at', 0, 'out', ''), (a, b) -> named_struct('at', greatest(a.at, b.e), "
+        f"'out', concat(a.out, substring(text, a.at + 1, greatest(0, b.s - a.at)), '{_MASK}')), a -> concat(a.out, substring(text, a.at + 1)))"
     )
-    head, tail = _sql("^" + _WORD), _sql(_WORD + "$")
-    # a word that the edge of the reach may cut is not taken
-    near = near.withColumn("before", F.expr(f"case when lo > 0 then concat(repeat(' ', length(regexp_extract(before, {head}, 0))), regexp_replace(before, {head}, '')) else before end"))
-    near = near.withColumn("after", F.expr(f"case when length(after) = {REACH} then regexp_replace(after, {tail}, '') else after end"))
-    near = near.withColumn("l", F.expr(_words("before", "lo"))).withColumn("r", F.expr(_words("after", "be")))
-    near = near.withColumn("w", F.explode(F.expr(f"concat(slice(l, greatest(1, size(l) - {CONTEXT - 1}), {CONTEXT}), slice(r, 1, {CONTEXT}))")))
-    usable = "length(w.t) > 2 and w.t rlike '[a-zA-Z]|[^\\\\x00-\\\\x7F]' and not exists(beside, b -> b.s < w.e and w.s < b.e)"
-    return near.where(F.expr(usable)).select("row", "entity", F.col("w.t").alias("term"), F.col("w.s").alias("s"), F.col("w.e").alias("e"))
+    words = spans.select("row", F.explode(F.expr(f"array_distinct(regexp_extract_all(lower({masked}), {_sql(_MASKED)}, 0))")).alias("t"))
+    return words.where(F.expr(f"not contains(t, '{_MASK}') and {_USABLE}")).select("row", F.col("t").alias("term"))
 
 
-def disclosing(whole: DataFrame, bases: DataFrame, near: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing(whole: DataFrame, scanned: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(term, entity, n, n_term, revealed): terms that reveal an entity, by co-occurrence over all documents.
 
-    ``whole`` has the text of every document, ``bases`` (row, base) of every document, ``near`` the contexts.
+    ``whole`` has the text of every document, ``scanned`` (row, base) of every document and the text of those with spans.
     """
-    pairs = near.select("row", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    words = whole.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(text), {_sql(_WORD)}, 0))")).alias("term"))
-    counted = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support)
-    entities = bases.where(F.size("base") > 0).select(F.explode(F.expr(f"array_distinct(transform(base, b -> {_entity('b')}))")).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    rated = pairs.join(counted, "term").join(entities, "entity")
-    given, alone = F.col("n") / F.greatest("n_term", "n"), F.col("n_entity") / F.lit(max(1, bases.count()))
-    revealed = F.when(alone >= 1, 0.0).otherwise(F.log(given / alone) / -F.log(alone))
+    total = max(1, scanned.count())
+    with_spans = scanned.where(F.size("base") > 0)
+    held = with_spans.select("row", F.explode(F.expr(f"array_distinct(transform(base, b -> {_entity('b')}))")).alias("entity"))
+    held = held.groupBy("row", "entity").agg(F.count("*").alias("copies"))  # repeated rows count as often as they are there
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < total))
+    # n <= n_entity, so no term in more documents than this can reach the threshold
+    most = F.col("n_entity") / F.pow(F.col("n_entity") / F.lit(total), F.lit(1 - disclosure)) * 1.000001
+    entities = checkpointed(entities.withColumn("most", most))
+    limit = entities.agg(F.max("most")).first()[0] or 0.0
+    counted = checkpointed(_distinct_words(whole).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support))
+    hot = counted.where((F.col("n_term") > limit) & (F.col("n_term") > HOT * total)).select("term")
+    named = held.join(entities, "entity")
+    near = terms_beside(with_spans.dropDuplicates(["row"]).join(named.select("row").distinct(), "row", "left_semi"))
+    near = near.join(F.broadcast(hot), "term", "left_anti").join(counted.where(F.col("n_term") <= limit), "term")
+    pairs = near.join(named, "row").where(F.col("n_term") <= F.col("most"))
+    rated = pairs.groupBy("term", "entity").agg(F.sum("copies").alias("n"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).where(F.col("n") >= support)
+    given, alone = F.col("n") / F.greatest("n_term", "n"), F.col("n_entity") / F.lit(total)
+    revealed = F.log(given / alone) / -F.log(alone)
     return rated.withColumn("revealed", revealed).where(F.col("revealed") >= disclosure).select("term", "entity", "n", "n_term", "revealed")
 
 
@@ -167,10 +167,20 @@ def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sup
     whole = base_spans(docs, doc_id, text).withColumn("row", F.xxhash64("doc_id", "text"))
     # one scan keeps the spans of every document, and the text of those that have any
     scanned = checkpointed(whole.select("doc_id", "row", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
-    near = checkpointed(contexts(scanned.where(F.size("base") > 0).dropDuplicates(["row"])))
-    terms = disclosing(docs.select(F.col(text).alias("text")), scanned.select("row", "base"), near, support, disclosure)
-    added = near.join(terms.select("term", "entity"), ["term", "entity"]).groupBy("row")
-    added = added.agg(F.array_sort(F.collect_set(F.struct("s", "e", F.col("term").alias("t")))).alias("added"))  # those of one document
+    texts = whole.select("row", "text")
+    terms = checkpointed(disclosing(texts, scanned, support, disclosure).select("term").distinct())
+    size = terms.agg(F.sum(F.length("term") + 16)).first()[0] or 0
+    if not size:
+        return scanned.select("doc_id", "row", "base", F.expr("cast(null as array<struct<s:int,e:int,t:string>>)").alias("added"))
+    hits = _distinct_words(texts, "row").join(F.broadcast(terms) if size <= BROADCAST_BYTES else terms, "term").groupBy("row").agg(F.collect_set("term").alias("terms"))  # those of one document
+    met = texts.join(hits, "row").dropDuplicates(["row"]).join(scanned.select("row", "base").dropDuplicates(["row"]), "row")
+    places = (
+        f"aggregate(zip_with(regexp_extract_all(text, {_sql(_WORD)}, 0), split(text, {_sql(_WORD)}, -1), (x, g) -> struct(x, length(g) as g)), "
+        "named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,t:string>>)), "
+        "(a, p) -> named_struct('at', a.at + p.g + coalesce(length(p.x), 0), 'out', case when p.x is not null and array_contains(terms, lower(p.x)) "
+        "then array_append(a.out, named_struct('s', a.at + p.g, 'e', a.at + p.g + length(p.x), 't', lower(p.x))) else a.out end), a -> a.out)"
+    )
+    added = met.select("row", F.expr(f"filter({places}, w -> not exists(base, b -> b.s < w.e and w.s < b.e))").alias("added"))
     return scanned.select("doc_id", "row", "base").join(added, "row", "left")
 
 
@@ -197,7 +207,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", suppor
 
     A changed text also renews ``n_chars`` where that column exists; other columns are as they were.
     """
-    found = found_spans(docs, doc_id, text, support, disclosure).where(F.size("base") > 0)
+    found = found_spans(docs, doc_id, text, support, disclosure).where("size(base) > 0 or size(added) > 0")
     merged = (
         f"aggregate({_ALL}, cast(array() as array<struct<s:int,k:int,e:int>>), (a, x) -> case when size(a) > 0 and x.s < element_at(a, -1).e "
         "then concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'k', least(element_at(a, -1).k, x.k), 'e', greatest(element_at(a, -1).e, x.e)))) "

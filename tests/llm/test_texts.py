@@ -127,6 +127,22 @@ def test_every_entity_of_a_term_is_rated(spark):
     assert [found[i].n_terms for i in (0, 1)] == [1, 1]
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    far = "one two three four five six seven eight nine ten"
+    texts = [f"Bobster {far} bob@corp.example {far} bobster", f"mail bob@corp.example {far} Bobster", f"Bobster, and not bobsters. {far}", *[f"filler {far}"] * 200]
+    clean = {r.doc_id: r.text for r in pii.sanitise(table(spark, texts)).collect()}
+    assert clean[0] == f"[TERM] {far} [EMAIL] {far} [TERM]" and clean[1] == f"mail [EMAIL] {far} [TERM]"
+    assert clean[2] == f"[TERM], and not bobsters. {far}" and clean[3] == texts[3]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_terms_by_broadcast_and_by_shuffle_are_the_same(spark, monkeypatch, limit):
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
+    texts = ["Quill q@r.st", "Quill, q@r.st", "the Quill", *["filler text"] * 2500]
+    found = {r.doc_id: r.n_terms for r in pii.report(pii.found_spans(table(spark, texts))).collect()}
+    assert [found[i] for i in range(4)] == [1, 1, 1, 0]
+
+
 def test_resampling_is_a_convolution():
     x = np.random.default_rng(0).normal(size=700).astype(np.float32)
     taps = np.zeros(audio.TAPS * audio.UP)

@@ -15,8 +15,9 @@ third of all pages is spread over all tasks.
 
 Defined results for odd input: a null html is empty and has no text; a null or
 unreadable url belongs to the host of no name; a host with one page has no template;
-repeated rows give equal texts; broken or cut markup is read as far as it goes. Only
-the three named columns are read.
+repeated rows give equal texts; broken or cut markup is read to the end of the html: an
+unknown marked section is a comment up to the next ``>``, a character number too long to
+read is U+FFFD. Only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -52,6 +53,9 @@ _NAMES = re.compile(
 #: Names that say nothing against an element inside an article.
 _TITLES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])")
 
+#: Character references that the parser cannot turn into a number.
+_LONG_NUMBER = re.compile(r"&#[0-9]{4000,};?")
+
 
 class Node:
     __slots__ = ("article", "dropped", "parts", "sign", "tag")
@@ -101,6 +105,12 @@ class _Builder(HTMLParser):
         if tag not in _VOID and len(self.stack) > 1 and tag in ("svg", "path", "script"):
             self.handle_endtag(tag)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # as in a browser, a comment up to the next ">"
+            return self.rawdata.find(">", i) + 1 or -1
+
     def _close_implied(self, tag: str) -> None:
         """An open paragraph ends where a block begins; list and table items end at the next one."""
         ends = {"p"} | ({tag} if tag in ("li", "td", "th", "tr", "option") else {"dt", "dd"} if tag in ("dt", "dd") else set())
@@ -126,11 +136,8 @@ class _Builder(HTMLParser):
 
 def parse(html: str) -> Node:
     builder = _Builder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except (AssertionError, ValueError):  # markup that the parser gives up on is read up to there
-        pass
+    builder.feed(_LONG_NUMBER.sub("\ufffd", html))
+    builder.close()
     return builder.root
 
 

@@ -201,6 +201,12 @@ def test_templates_go_and_slots_stay(spark, limit):
     assert got[10].text == got[0].text and htmlmain.extract(pages(spark, rows).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["<![foo bar]>", "<![ x]>", "<![foo[x]]>", "<!x>", "&#" + "9" * 5000 + ";", '<i title="&#' + "9" * 5000 + ';"></i>'])
+def test_pages_are_read_to_their_end(mark):
+    text = htmlmain.parse(f"<p>before</p>{mark}<p>after</p>")
+    assert [k.own() for k in text.kids() if k.tag == "p"] == ["before", "after"]
+
+
 def test_simple_tree_matching_counts_nodes():
     a = htmlmain.Folded([htmlmain.parse("<div><ul><li>1<li>2</ul><p>x</p><section><p>y</p></section></div>")])
     b = htmlmain.Folded([htmlmain.parse("<div><ul><li>1</ul><section><p>y</p></section><p>z</p></div>")])

@@ -1,6 +1,7 @@
 """Operators that read each text by itself: tokens, pieces, personal data, audio, pages."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -203,11 +204,87 @@ def test_templates_go_and_slots_stay(spark, limit):
 
 @pytest.mark.parametrize("mark", ["<![foo bar]>", "<![ x]>", "<![foo[x]]>", "<!x>", "&#" + "9" * 5000 + ";", '<i title="&#' + "9" * 5000 + ';"></i>'])
 def test_pages_are_read_to_their_end(mark):
-    text = htmlmain.parse(f"<p>before</p>{mark}<p>after</p>")
-    assert [k.own() for k in text.kids() if k.tag == "p"] == ["before", "after"]
+    texts = [t.strip("\ufffd ") for _, t, _ in htmlmain.Page(f"<p>before</p>{mark}<p>after</p>").segments]
+    assert [t for t in texts if t] == ["before", "after"]
+
+
+def shape(html):
+    return htmlmain.Shape(htmlmain.Page(html).folded()[0])
+
+
+def brute_match(a, b, x=0, y=0):
+    """The largest match by trying every order-preserving choice of pairs of children."""
+    if a.sign[x] != b.sign[y]:
+        return 0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        here = brute_match(a, b, xs[0], ys[0])
+        return max(best(xs[1:], ys), best(xs, ys[1:]), here + best(xs[1:], ys[1:]) if here else 0)
+
+    return 1 + best(a.kids[x], b.kids[y])
 
 
 def test_simple_tree_matching_counts_nodes():
-    a = htmlmain.Folded([htmlmain.parse("<div><ul><li>1<li>2</ul><p>x</p><section><p>y</p></section></div>")])
-    b = htmlmain.Folded([htmlmain.parse("<div><ul><li>1</ul><section><p>y</p></section><p>z</p></div>")])
-    assert htmlmain.match(a, a) == a.size and htmlmain.match(a, b) == a.size - 1
+    a = shape("<div><ul><li>1<li>2</ul><p>x</p><section><p>y</p></section></div>")
+    b = shape("<div><ul><li>1</ul><section><p>y</p></section><p>z</p></div>")
+    assert htmlmain.Alignment(a, a).weight() == a.size[0] and htmlmain.Alignment(a, b).weight() == a.size[0] - 1
+
+
+@pytest.mark.parametrize("cells", [0, 6, 1 << 22])
+def test_alignment_matches_brute_force(cells, monkeypatch):
+    monkeypatch.setattr(htmlmain.Alignment, "CELLS", cells)
+    r = random.Random(9)
+
+    def tree(depth):
+        tags = [r.choice(["div", "section", "article", "h1"]) for _ in range(r.randrange(5))] if depth else []
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in tags)
+
+    for _ in range(300):
+        a, b = shape(f"<body>{tree(3)}</body>"), shape(f"<body>{tree(3)}</body>")
+        made = htmlmain.Alignment(a, b)
+        places = made.places()
+        pairs = [(x, y) for y, x in enumerate(places) if x >= 0]
+        assert made.weight() == brute_match(a, b) == len(pairs) == len({x for x, _ in pairs})
+        assert all(a.sign[x] == b.sign[y] and (y == 0 or places[b.parent[y]] == a.parent[x]) for x, y in pairs)
+
+
+def test_pages_of_any_depth_and_width(spark):
+    deep = "<div>" * 10_000 + "deep text" + "</div>" * 10_000 + "<span>" * 10_000 + "flat" + "</span>" * 10_000
+    wide = lambda n: "".join(f"<{t}>w{i} of {n}</{t}>" for i, t in enumerate(["p", "div"] * 1500))
+    rows = [("https://d.example/1", deep), *[("https://d.example/2", wide(n)) for n in range(4)], ("https://e.example/1", "<p>" + "long words " * 200_000)]
+    got = {r.page_id: r for r in htmlmain.extract(pages(spark, rows)).collect()}
+    assert got[0].text == "deep text flat" and got[1].text.endswith("w2999 of 0") and got[5].n_chars == 11 * 200_000 - 1
+
+
+def site(i, body, names=("sidebar-page", "content", "x1")):
+    """A page without marked articles, whose content has the name of a sidebar and whose menu that of the content."""
+    outer, menu, note = names
+    return (
+        f"<body><div class={menu}><ul><li><a href=/a>All of {i}</a><li><a href=/b>More of {i}</a></ul></div><div class={note}>Buy number {i} today</div>"
+        f"<h1>Title {i}</h1><div class={outer}><div><p>Read by all.</p>{body}<p>Thanks for reading.</p></div></div><div>Made in the year {i}</div><p>All rights reserved.</p></body>"
+    )
+
+
+def test_slots_decide_where_the_content_is(spark):
+    body = lambda i: "".join(f"<p>Paragraph {k} of story {i} with words of its own number {i * k}.</p>" for k in range(3 + i % 3))
+    want = lambda i: " ".join([f"Title {i}", *(f"Paragraph {k} of story {i} with words of its own number {i * k}." for k in range(3 + i % 3))])
+    rows = [("https://s.example/", site(i, body(i))) for i in range(12)]
+    got = {r.page_id: r.text for r in htmlmain.extract(pages(spark, rows)).collect()}
+    assert got == {i: want(i) for i in range(12)}
+    assert all(htmlmain.main_text(h) != got[i] for i, (_, h) in enumerate(rows))  # induction changes each of them
+
+
+def test_copies_of_an_article_do_not_become_template(spark):
+    story = "<article><h1>One</h1><p>The same story on every page.</p></article>"
+    rows = [("https://k.example/", f"<body><nav>n{i}</nav><div class=ad>ad {i}</div>{story}</body>") for i in range(20)]
+    rows += [("https://k.example/", f"<body><nav>n{i}</nav><div class=ad>ad {i}</div><article><h1>T{i}</h1><p>Other story {i}.</p></article></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in htmlmain.extract(pages(spark, rows)).collect()}
+    assert {got[i] for i in range(20)} == {"One The same story on every page."} and got[20] == "T0 Other story 0."
+
+
+def test_steady_text_in_a_marked_article_goes(spark):
+    rows = [("https://m.example/", f"<body><article><p>Share this.</p><p>Story {i} has its own words.</p><div class=comments>me {i}</div></article></body>") for i in range(9)]
+    got = {r.page_id: r.text for r in htmlmain.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Story {i} has its own words." for i in range(9)}

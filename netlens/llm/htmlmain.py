@@ -193,7 +193,8 @@ class Page:
     def folded(self) -> tuple[str, list[int]]:
         """Its shape as text (a line per node: parent, flags, sign), and the node of the shape that each block belongs to.
 
-        Like siblings in a row are one node; so are the nth runs of like children of merged parents.
+        Like siblings in a row are one node: of one sign, and with at least half of the signs of their children in common.
+        So are the nth runs of like children of merged parents.
         """
         kids: list[list[int]] = [[] for _ in self.sign]
         for i, p in enumerate(self.parent):
@@ -204,11 +205,12 @@ class Page:
         while at < len(groups):
             found: dict[tuple[str, int], int] = {}
             for member in groups[at]:
-                runs, before = defaultdict(int), None
+                runs, before, inner = defaultdict(int), None, frozenset()
                 for k in kids[member]:
-                    sign = self.sign[k]
-                    if sign != before:
-                        runs[sign], before = runs[sign] + 1, sign
+                    sign, own = self.sign[k], frozenset(self.sign[x] for x in kids[k])
+                    if sign != before or 2 * len(own & inner) < len(own | inner):
+                        runs[sign] += 1
+                    before, inner = sign, own
                     key = (sign, runs[sign])
                     if key not in found:
                         found[key] = len(groups)

@@ -8,6 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from netlens.llm import audio, htmlmain, pieces, pii, tokencount
 from netlens.llm.common import vocabulary_file
 
@@ -288,3 +290,16 @@ def test_steady_text_in_a_marked_article_goes(spark):
     rows = [("https://m.example/", f"<body><article><p>Share this.</p><p>Story {i} has its own words.</p><div class=comments>me {i}</div></article></body>") for i in range(9)]
     got = {r.page_id: r.text for r in htmlmain.extract(pages(spark, rows)).collect()}
     assert got == {i: f"Story {i} has its own words." for i in range(9)}
+
+
+def test_content_is_found_without_marks(spark):
+    own = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = F.col("html")
+    for a, b in ((' class="ad"', ""), ("<article>", "<div>"), ("</article>", "</div>"), ("<nav>", "<div>"), ("</nav>", "</div>"), ("<footer>", "<div>"), ("</footer>", "</div>")):
+        html = F.replace(html, F.lit(a), F.lit(b))
+    host = F.regexp_extract("url", "//([^/?#]+)", 1)
+    many = own.groupBy(host.alias("host")).agg(F.countDistinct("html").alias("n")).where("n >= 3")
+    marked = htmlmain.extract(own).select("page_id", F.col("text").alias("want"))
+    got = htmlmain.extract(own.withColumn("html", html)).join(marked, "page_id").withColumn("host", host).join(many, "host").select("text", "want").collect()
+    assert len(got) > 150 and sum(r.text == r.want for r in got) >= 0.98 * len(got)
+    assert sum(r.text == r.want for r in got) > 10 * sum(htmlmain.main_text(r.html) == r.want for r in own.withColumn("html", html).join(marked, "page_id").collect())

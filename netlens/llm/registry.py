@@ -14,6 +14,13 @@ def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.link(table(spark, sf_dir, "conversations"))
 
 
+def tool_calls_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exchanges of ``conversations`` as tool messages of which each call waits for the next one: sorted, linked and validated."""
+    found = toolcalls.link(toolcalls.as_tool_messages(table(spark, sf_dir, "conversations")), plain=False)
+    result = F.regexp_extract("canonical", r'(?s)"result":(.*)\}$', 1)
+    return found.select("conv_id", "call_id", "kind", "name", "turn", "round", "result_turn", "valid", F.when(F.col("result_turn").isNotNull(), result).alias("result"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -62,5 +69,5 @@ def op10_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_toxicity, op3_pii_sanitisation, op4_language_id, op5_token_counts, op6_benchmark_decontamination, op7_audio_features, op8_html_main_text, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
-ORACLE_SQL: dict[str, str] = {"op1_tool_call_linking": toolcalls.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, tool_calls_out_of_order, op2_toxicity, op3_pii_sanitisation, op4_language_id, op5_token_counts, op6_benchmark_decontamination, op7_audio_features, op8_html_main_text, op9_simhash_near_dedup, op10_sentencepiece_dropout)}
+ORACLE_SQL: dict[str, str] = {"op1_tool_call_linking": toolcalls.ORACLE, "tool_calls_out_of_order": toolcalls.ORDER_ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE}

@@ -3,19 +3,25 @@
 A character language model is counted over every document. A written word is read as
 a lattice: each symbol may stand for itself or for the letters it imitates, runs of a
 letter may be one or two of it, separators inside a word may be nothing, and the gaps
-of a row of single characters may or may not be blanks. The likeliest reading under
-channel and language model is found by Viterbi search. A word whose lattice has one
-path only is its own reading, so only words with such marks are searched.
+of a row of fragments of one or two characters, whatever white space they are, may or may
+not be blanks. The likeliest reading under channel and language model is found by Viterbi
+search over the whole word or row, however long. A word whose lattice has one path only is
+its own reading, so only words with such marks are searched; words without any letter are
+searched like others, and the language model decides whether a number stays one.
 
 The score is a logistic regression on the presence and the density of restored words,
 their beginnings and their inner strings, fitted by follow-the-regularised-leader with elastic-net
 penalties on at most ``PER_CLASS`` labelled documents of each class (those with the
-least hash of their id).
+least hash of their id). Features are found and counted in tasks; the driver gets the counts
+of features that several toxic documents of the sample have, and the examples in these.
 
 Defined results for odd input: a null or empty text has the score of a text without
 features; without labels of both classes every score is 0; a document labelled twice
-counts as toxic if one label says so; labels other than 0 and 1 are ignored; equal
-texts get equal scores. Labels, languages, sources and ids are never inputs of a score.
+counts as toxic if one label says so, and so does a text that several documents share; a
+labelled id that several documents have counts with its least text; labels other than 0 and
+1 are ignored; equal texts get equal scores; of readings that are equally likely the one whose
+symbols stand first in the lattice is taken; an empty table gives an empty result. Labels,
+languages, sources and ids are never inputs of a score, and only id and text are read.
 """
 
 from __future__ import annotations
@@ -31,15 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, held_out, texts_of, tidied
+from netlens.llm.common import by_bytes, checkpointed, held_out, texts_of, tidied
 from netlens.llm.ftrl import Ftrl, temperature
 from netlens.llm.langid import _letters
 
 THRESHOLD = 0.7
 #: Most labelled documents of a class that the regression is fitted on; passes over them.
 PER_CLASS, EPOCHS = {1: 1500, 0: 3000}, 4
+#: Toxic documents of the sample that must have a feature; tasks over which the sample is spread.
+LEAST_TOXIC, SPREAD = 3, 16
 ORDER, BUCKETS = 4, 1 << 20
-REMEMBERED, CHUNK = 300_000, 48
+REMEMBERED = 300_000
 #: Letters that a symbol may stand for.
 READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -49,7 +57,8 @@ READINGS = {
 }
 _SEPARATORS = ".-_*~'’·"
 _ODD = re.compile("[" + re.escape("".join(READINGS)) + r"]|(.)\1\1|[^\W\d_][" + re.escape(_SEPARATORS) + r"]+[^\W\d_]")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
+#: A row of fragments of one or two characters.
+_SPACED = re.compile(r"(?<!\S)\S{1,2}+(?:\s++\S{1,2}+(?!\S))+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -119,12 +128,12 @@ def count_characters(texts: DataFrame) -> np.ndarray:
                         h = (h * 1000003 ^ x) & 0xFFFFFFFF
                     table[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(h & (BUCKETS - 1), minlength=BUCKETS)
         at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], ["cell", "n"])
 
     total = np.zeros(ORDER * BUCKETS, np.float32)
-    cells = texts.mapInArrow(tidied(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    for r in cells.toLocalIterator(prefetchPartitions=True):  # ORDER * BUCKETS cells at most
-        total[r.cell] = r.n
+    cells = texts.mapInArrow(tidied(run), "cell int, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n"))
+    found = cells.toArrow()  # ORDER * BUCKETS cells at most
+    total[found["cell"].to_numpy()] = found["n"].to_numpy()
     return total.reshape(ORDER, BUCKETS)
 
 
@@ -153,27 +162,46 @@ class Reader:
             i = j
         return out
 
+    def step(self, score: float, context: str, read: str, cost: float) -> tuple[float, str]:
+        """Score and context after one more reading of a symbol."""
+        score += cost
+        for c in read:
+            if c.isalpha():
+                score += self.model.log(context, c)
+                context = context[1:] + c
+            else:
+                score += self.model.log(context, " ") if context[-1] != " " else 0.0
+                context = "   "
+        return score, context
+
     def read(self, word: str, spaced: bool = False) -> str:
-        """The likeliest reading of a lower-case word, or of a row of single characters."""
-        if len(word) > CHUNK:
-            return "".join(self.read(word[i : i + CHUNK], spaced) for i in range(0, len(word), CHUNK))
-        states: dict[str, tuple[float, str]] = {"   ": (0.0, "")}
+        """The likeliest reading of a lower-case word, or of a row of fragments between single blanks."""
+        done: list[str] = []
+        # by context: score and text, as a chain of (the one before, reading); what all paths share is put away
+        states: dict[str, tuple[float, tuple | None]] = {"   ": (0.0, None)}
         for options in self._options(word, spaced):
-            after: dict[str, tuple[float, str]] = {}
-            for context, (score, text) in states.items():
+            after: dict[str, tuple[float, tuple | None]] = {}
+            for context, (score, chain) in states.items():
                 for read, cost in options:
-                    s, ctx = score + cost, context
-                    for c in read:
-                        if c.isalpha():
-                            s += self.model.log(ctx, c)
-                            ctx = ctx[1:] + c
-                        else:
-                            s += self.model.log(ctx, " ") if ctx[-1] != " " else 0.0
-                            ctx = "   "
+                    s, ctx = self.step(score, context, read, cost)
                     if ctx not in after or s > after[ctx][0]:
-                        after[ctx] = (s, text + read)
+                        after[ctx] = (s, (chain, read))
+            if len(after) == 1:
+                (ctx, (s, chain)), *_ = after.items()
+                done.append(_text(chain))
+                after = {ctx: (s, None)}
             states = after
-        return max((s + (self.model.log(ctx, " ") if ctx[-1] != " " else 0.0), text) for ctx, (s, text) in states.items())[1]
+        ends = (self.step(s, ctx, " " if ctx[-1] != " " else "", 0.0)[0] for ctx, (s, _) in states.items())
+        best = max((end, _text(chain)) for end, (_, chain) in zip(ends, states.values(), strict=True))
+        return "".join(done) + best[1]
+
+
+def _text(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        chain, read = chain
+        out.append(read)
+    return "".join(reversed(out))
 
 
 def _features(word: str) -> Iterator[str]:
@@ -190,46 +218,57 @@ class Scorer:
         self.counts, self.weights, self.bias, self.heat = counts, weights, bias, heat
         self.reader = Reader(CharacterModel(counts))
         self.seen: dict[str, tuple[str, ...]] = {}
+        self.rows: dict[str, tuple[str, ...]] = {}
 
     def __reduce__(self):
         return Scorer, (self.counts, self.weights, self.bias, self.heat)
 
     def readings(self, word: str, spaced: bool = False) -> tuple[str, ...]:
-        """The restored word, and the word as written if it is another; numbers and the like stay as they are."""
-        if not spaced and (not any(map(str.isalpha, word)) or not _ODD.search(word)):
+        """The word as written and, where its lattice has more than one path, as restored."""
+        if not spaced and not _ODD.search(word):
             return (word,)
         return (word, self.reader.read(word, spaced))
 
-    def _learn(self, words) -> None:
-        known = self.weights
-        for w in words:
-            found = [f for r in self.readings(w) for f in _features(r) if f in known]
-            self.seen[w] = tuple(dict.fromkeys(found)) if found else ()
+    def joined(self, row: str) -> list[str]:
+        """The words that a row of fragments was made of, without those that are written so."""
+        row = " ".join(row.split())
+        written = set(row.split())
+        return [w for w in self.reader.read(row, True).split() if w not in written]
 
     def forget(self) -> None:
         """Workers live on after a task; what they remember of it should not."""
         self.seen.clear()
+        self.rows.clear()
         self.reader.model.known.clear()
 
-    def found(self, text: str) -> tuple[Counter, int]:
-        """How often each known feature occurs in the restored text, and the number of words."""
+    def _known(self, readings, only) -> tuple[str, ...]:
+        found = dict.fromkeys(f for r in readings for f in _features(r))
+        return tuple(found if only is None else [f for f in found if f in only])
+
+    def found(self, text: str, only=()) -> tuple[Counter, int]:
+        """How often each feature occurs in the restored text (those in ``only``; None: all), and the number of words."""
         text = text.lower()
         words = Counter(text.split())
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) + 4 * len(self.rows) > (REMEMBERED if only is not None else REMEMBERED // 10):
             self.seen.clear()
-        seen = self.seen
-        if new := [w for w in words if w not in seen]:
-            self._learn(new)
-        counts: Counter = Counter()
-        for w in words:
-            for f in seen[w]:
-                counts[f] += words[w]
-        for m in _SPACED.finditer(text):
-            counts.update(f for r in self.readings(m[0], True) for f in _features(r) if f in self.weights)
+            self.rows.clear()
+        seen, rows, counts = self.seen, self.rows, Counter()
+        for w, n in words.items():
+            if (own := seen.get(w)) is None:
+                own = seen[w] = self._known(self.readings(w), only)
+            for f in own:
+                counts[f] += n
+        for row in _SPACED.findall(text):
+            if (own := rows.get(row)) is None:
+                own = self._known(self.joined(row), only)
+                if len(row) <= 64:
+                    rows[row] = own
+            for f in own:
+                counts[f] += 1
         return counts, sum(words.values())
 
     def score(self, text: str) -> float:
-        counts, n = self.found(text)
+        counts, n = self.found(text, self.weights)
         x = self.bias
         for f in sorted(counts):
             there, dense = self.weights[f]
@@ -243,63 +282,66 @@ def _density(count: int, words: int) -> float:
     return min(2.0, 80 * count / max(words, 40))
 
 
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, per_class: dict[int, int]) -> DataFrame:
+    """(text, toxic): different texts of at most ``per_class`` labelled documents of each class that may be learnt from."""
+    named = labels.select(F.col("doc_id"), F.col("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+    named = named.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    least = lambda k: named.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(per_class[k])
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = own.join(F.broadcast(least(0).unionByName(least(1))), "doc_id")  # bounded by per_class
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return checkpointed(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(SPREAD, F.xxhash64("text")))
+
+
+def _count_features(rows: DataFrame, scorer: Scorer, only: frozenset[str] | None, least: int) -> dict[str, int]:
+    """In how many of the texts each feature occurs, counted in tasks; those in ``least`` texts or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in by_bytes(batches, "text", 1 << 20):
+            for t in texts_of(batch, "text"):
+                counts.update(scorer.found(t, only)[0].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["feature", "n"])
+
+    found = rows.select("text").mapInArrow(tidied(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    return dict(zip(found["feature"].to_pylist(), found["n"].to_pylist(), strict=True))
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: dict[int, int] | None = None) -> Scorer | None:
     """None where labels of one class are missing."""
-    per_class = per_class or PER_CLASS
-    named = labels.select(F.col("doc_id"), F.col("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
-    named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r.toxic: r.n for r in named.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if set(sizes) != {0, 1}:
+    rows = sample(docs, labels, doc_id, text, per_class or PER_CLASS)
+    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    if set(n) != {0, 1}:
         return None
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class[1] / sizes[1]))).otherwise(F.lit(min(1.0, per_class[0] / sizes[0])))
-    chosen = named.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    counts_of_letters = count_characters(own.select("text"))
-    rows = own.join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect()  # about per_class rows of each class
-    plain = Scorer(counts_of_letters, {}, 0.0, 1.0)
-    texts: dict[str, int] = {}
-    for r in rows:
-        texts[r.text or ""] = max(texts.get(r.text or "", 0), r.toxic)
-    n = Counter(texts.values())
-    if not (n[0] and n[1]):
-        return None
-
-    def counted(only: set[str] | None, label: int | None = None) -> Iterator[tuple[Counter, int, int]]:
-        """Feature counts, number of words and label of each example; only known features are held."""
-        memory: dict[str, tuple[str, ...]] = {}
-        for t, y in sorted(texts.items()):
-            if label not in (None, y):
-                continue
-            low, counts = t.lower(), Counter()
-            words = Counter(low.split())
-            for w, k in words.items():
-                if w not in memory:
-                    memory[w] = tuple({f for r in plain.readings(w) for f in _features(r) if only is None or f in only})
-                for f in memory[w]:
-                    counts[f] += k
-            for m in _SPACED.finditer(low):
-                counts.update(f for r in plain.readings(m[0], True) for f in _features(r) if only is None or f in only)
-            if only is None:
-                memory.clear()
-            yield counts, sum(words.values()), y
-
-    bad: Counter = Counter()
-    for counts, *_ in counted(None, 1):
-        bad.update(counts.keys())
-    bad = Counter({f: k for f, k in bad.items() if k >= 3})
-    good: Counter = Counter()
-    for counts, *_ in counted(set(bad), 0):
-        good.update(counts.keys())
+    counts_of_letters = count_characters(docs.select(F.col(text).alias("text")))
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(counts_of_letters, {}, 0.0, 1.0))
+    plain = _Shared(shared)
+    bad = _count_features(rows.where("toxic = 1"), plain, None, LEAST_TOXIC)
+    good = _count_features(rows.where("toxic = 0"), plain, frozenset(bad), 1)
     # a feature of few toxic documents, or about as usual in clean ones, tells nothing
-    kept = sorted(f for f, k in bad.items() if k / n[1] > 4 * (good[f] + 0.5) / n[0])
+    kept = sorted(f for f, k in bad.items() if k / n[1] > 4 * (good.get(f, 0) + 0.5) / n[0])
     number = {f: i for i, f in enumerate(kept)}
-    examples = list(counted(set(kept)))
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 1 << 20):
+            at, times, size = [], [], []
+            for t in texts_of(batch, "text"):
+                counts, words = plain.found(t, number)
+                own = sorted((number[f], k) for f, k in counts.items())
+                at.append([i for i, _ in own])
+                times.append([k for _, k in own])
+                size.append(words)
+            ints = pa.list_(pa.int32())
+            made = [pa.array(at, ints), pa.array(times, ints), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), *made], ["toxic", "at", "times", "size"])
+
+    made = rows.mapInArrow(tidied(examples), "toxic int, at array<int>, times array<int>, size long").toArrow().to_pylist()  # per_class rows at most of each class
+    made.sort(key=lambda r: (r["toxic"], r["size"], r["at"], r["times"]))
     model = Ftrl(2 * len(kept) + 1, 2, alpha=0.3, l1=0.3, l2=0.01)
     data = []
-    for counts, size, y in examples:
-        own = sorted((number[f], k) for f, k in counts.items() if f in number)
-        at = [i for i, _ in own] + [len(kept) + i for i, _ in own] + [2 * len(kept)]
-        data.append((np.array(at), np.array([1.0] * len(own) + [_density(k, size) for _, k in own] + [1.0]), y))
+    for r in made:
+        at = r["at"] + [len(kept) + i for i in r["at"]] + [2 * len(kept)]
+        data.append((np.array(at), np.array([1.0] * len(r["at"]) + [_density(k, r["size"]) for k in r["times"]] + [1.0]), r["toxic"]))
     order = np.random.default_rng(3).permutation(len(data))
     for _ in range(EPOCHS):
         for i in order:
@@ -312,6 +354,24 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return Scorer(counts_of_letters, weights, float(logit[-1]), max(heat, 0.5))
 
 
+class _Shared:
+    """A broadcast scorer that tasks use for features only; each use with other features forgets what was remembered."""
+
+    def __init__(self, shared):
+        self.shared, self.only = shared, ()
+
+    def __reduce__(self):
+        return _Shared, (self.shared,)
+
+    def found(self, text: str, only) -> tuple[Counter, int]:
+        scorer = self.shared.value
+        if only is not self.only:
+            scorer.seen.clear()
+            scorer.rows.clear()
+            self.only = only
+        return scorer.found(text, only)
+
+
 def scores(docs: DataFrame, scorer: Scorer | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row."""
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out(doc_id).alias("held_out"))

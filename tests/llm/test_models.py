@@ -1,8 +1,11 @@
 """Learnt operators: held-out accuracy, and what they may not look at."""
 
+import itertools
 import json
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from netlens.llm import ftrl, langid, registry, toolcalls, toxicity
@@ -71,9 +74,59 @@ def test_obfuscated_words_are_read(spark):
     assert len(kept) == 6 and toxicity.keep_clean(docs.unionByName(odd), labels).columns == docs.columns
 
 
+def test_reading_is_the_best_path_of_the_lattice(spark):
+    docs, labels = trained(spark)
+    reader = toxicity.train(docs, labels).reader
+    r = random.Random(1)
+
+    def brute(word, spaced):
+        options, best = reader._options(word, spaced), (-1e9, "")
+        for path in itertools.product(*options):
+            score, context = 0.0, "   "
+            for read, cost in path:
+                score, context = reader.step(score, context, read, cost)
+            score = reader.step(score, context, " " if context[-1] != " " else "", 0.0)[0]
+            best = max(best, (score, "".join(read for read, _ in path)))
+        return best
+
+    def score_of(word, spaced, text):
+        found = [-1e9]
+        for path in itertools.product(*reader._options(word, spaced)):
+            if "".join(read for read, _ in path) == text:
+                score, context = 0.0, "   "
+                for read, cost in path:
+                    score, context = reader.step(score, context, read, cost)
+                found.append(reader.step(score, context, " " if context[-1] != " " else "", 0.0)[0])
+        return max(found)
+
+    words = ["$#!7", "455", "s.t.u.p", "1d10t", "stuuupid", "@$$ 1 d", "*#*", "а1е"] + ["".join(r.choices("stupid1$@.*0#aoе", k=7)) for _ in range(60)]
+    for w in words:
+        spaced = " " in w
+        assert abs(score_of(w, spaced, reader.read(w, spaced)) - brute(w, spaced)[0]) < 1e-9, w
+
+
+def test_words_without_letters_and_rows_of_fragments_are_restored(spark):
+    docs, labels = trained(spark)
+    model = toxicity.train(docs, labels)
+    assert model.readings("$7#@1")[1:] and model.joined("st\tu  pi d") == ["stupid"]
+    assert model.readings("57*p1d")[1] == "stupid"
+    for text in ("you 57*p1d 57*p1d 1d10t", "st u  pi d you\ti d i o t, st\nup id", "you " + "." * 200 + "s" + "." * 60 + "t.u.p.i.d 1d10t idiot"):
+        assert model.score(text) > 0.7, text
+    long = "stupid-" * 9000 + "1d10t"
+    assert model.reader.read(long).endswith("idiot") and model.score("2023 455 10.5 100 20 3 4 5") < 0.5
+
+
+def test_the_sample_is_bounded_and_repeated_ids_count_once(spark):
+    docs, labels = trained(spark)
+    many = docs.unionByName(docs.where("doc_id < 40").withColumn("text", F.concat("text", F.lit(" again"))))
+    got = toxicity.sample(many, labels, "doc_id", "text", {1: 10, 0: 20}).groupBy("toxic").count().collect()
+    assert {r.toxic: r["count"] for r in got} == {1: 10, 0: 20}
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = trained(spark, 8)
     assert toxicity.train(docs, labels.where("toxic = 0")) is None
+    assert toxicity.scores(docs.where("false"), toxicity.train(*trained(spark))).count() == 0
     assert {(r.score, r.predicted) for r in toxicity.scores(docs, None).collect()} == {(0.0, 0)}
     assert toxicity.keep_clean(docs.where("false"), labels.where("false")).count() == 0
 
@@ -110,6 +163,53 @@ def test_calls_out_of_order_are_sorted_in_rounds(spark):
     assert got == {"a": 1, "b": 2, "c": 3, "p": None, "q": None, "r": 1, "m": 0, "n": 0}
 
 
+def test_long_chains_run_through_blocks(spark):
+    r = random.Random(6)
+    call = lambda i, deps: {"id": i, "name": "add", "arguments": {"a": 1}, "depends_on": deps}
+    ids = [f"k{i}" for i in range(60)]
+    deps = {i: [ids[k] for k in r.sample(range(n + 1, 60), min(2, 59 - n))] for n, i in enumerate(ids)}
+    deps["k50"].append("loop")
+    rows = [(7, n // 3, "assistant", calls(call(i, deps[i]))) for n, i in enumerate(ids)] + [(7, 99, "assistant", calls(call("loop", ["loop"])))]
+    got = {x.call_id: x.round for x in toolcalls.link(talk(spark, rows), SCHEMAS, plain=False, block=7).collect()}
+
+    def depth(i, seen=()):
+        if i == "loop":
+            return None
+        below = [depth(d) for d in deps[i]]
+        return None if None in below else 1 + max(below, default=0)
+
+    assert got == {i: depth(i) for i in [*ids, "loop"]} and max(x for x in got.values() if x) > 5
+
+
+def test_odd_messages_are_rows_and_not_errors(spark):
+    big = str(10**400)
+    deep = "[" * 3000 + "]" * 3000
+    rows = [
+        (1, 0, "assistant", calls({"id": None, "name": "add", "arguments": {"a": 1}}, {"name": "add", "arguments": {"a": 2}, "depends_on": 5}, {"id": 7, "name": "add", "arguments": {"a": 3}})),
+        (1, 1, "tool", '{"tool_call_id": 7, "content": NaN}'), (1, 2, "tool", '{"tool_call_id": null, "content": 1}'),
+        (1, 3, "assistant", '{"tool_calls": [{"id": "s\\ud800", "name": "add", "arguments": {"a": ' + big + ', "\\udfff": 1e-7}}]}'),
+        (1, 4, "assistant", '{"tool_calls": [{"id": "d", "name": "add", "arguments": {"a": ' + deep + "}}]}"), (1, 5, "assistant", "[" * 200_000),
+        (1, 6, "assistant", calls({"id": "n", "name": "add", "arguments": {"a": 10**21, "b": 2}})), (1, 7, "assistant", '{"tool_calls": [{"id": "m", "name": "add", "arguments": {"a": 1e21, "b": 2.0}}, 3]}'),
+        (1, 8, "assistant", '{"tool_calls": 3}'),
+    ]
+    got = {r.call_id: r for r in toolcalls.link(talk(spark, rows), SCHEMAS, plain=False).collect()}
+    assert got["1:0:0"].valid and got["1:0:1"].valid and got["7"].errors == "result: no JSON" and got["1:2:result"].kind == "orphan"
+    s = got["s\\ud800"]
+    assert s.canonical == '{"arguments":{"a":' + big + ',"\\udfff":1e-7},"id":"s\\\\ud800","name":"add","result":null}', s.canonical
+    assert got["d"].errors in ("$.a: not integer", "$: no JSON") and got["n"].canonical.split('"id"')[0] == got["m"].canonical.split('"id"')[0] and "1:7:1" in got
+
+
+def test_a_conversation_named_null_is_not_the_null_one(spark):
+    rows = [("null", 0, "assistant", calls({"id": "z", "name": "add", "arguments": {"a": 1}})), (None, 1, "tool", json.dumps({"tool_call_id": "z", "content": 2}))]
+    table = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    assert {(r.conv_id, r.kind) for r in toolcalls.link(table, SCHEMAS, plain=False).collect()} == {("null", "call"), (None, "orphan")}
+
+
+@pytest.mark.parametrize(("value", "text"), [(1.0, "1"), (-0.0, "0"), (1e21, "1e+21"), (10**21, "1e+21"), (1e-7, "1e-7"), (1e-5, "0.00001"), (123456789.125, "123456789.125"), (5e-324, "5e-324"), (10**21 + 1, str(10**21 + 1)), (1.5e300, "1.5e+300"), (True, "true")])
+def test_numbers_have_one_spelling(value, text):
+    assert toolcalls.canonical(value) == text and toolcalls.canonical([[value], {"b": None, "a": "x"}]) == f'[[{text}],{{"a":"x","b":null}}]'
+
+
 def test_plain_turns_are_exchanges(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 5, "user", ""), (1, 9, "narrator", "x")]
     got = {r.call_id: r for r in toolcalls.link(talk(spark, rows)).collect()}

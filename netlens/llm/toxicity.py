@@ -56,7 +56,7 @@ READINGS = {
     "*": "aeiou", "#": "aeiou",
 }
 _SEPARATORS = ".-_*~'’·"
-_ODD = re.compile("[" + re.escape("".join(READINGS)) + r"]|(.)\1\1|[^\W\d_][" + re.escape(_SEPARATORS) + r"]+[^\W\d_]")
+_ODD = re.compile("[" + re.escape("".join(READINGS)) + r"]|([^\W\d_])\1\1|[^\W\d_][" + re.escape(_SEPARATORS) + r"]+[^\W\d_]")
 #: A row of fragments of one or two characters.
 _SPACED = re.compile(r"(?<!\S)\S{1,2}+(?:\s++\S{1,2}+(?!\S))+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -177,21 +177,37 @@ class Reader:
     def read(self, word: str, spaced: bool = False) -> str:
         """The likeliest reading of a lower-case word, or of a row of fragments between single blanks."""
         done: list[str] = []
-        # by context: score and text, as a chain of (the one before, reading); what all paths share is put away
-        states: dict[str, tuple[float, tuple | None]] = {"   ": (0.0, None)}
+        known, log, step = self.model.known, self.model.log, self.step
+        # by context: score and text, as a chain of (the one before, reading). Where all paths have one context, what
+        # they share is put away and its score with it, since only differences between paths count
+        context, states = "   ", None
         for options in self._options(word, spaced):
+            if states is None and len(options) == 1:
+                read = options[0][0]
+                done.append(read)
+                context = (context + read)[-3:] if read.isalpha() else "   " if read else context
+                continue
+            if states is None:
+                states = {context: (0.0, None)}
             after: dict[str, tuple[float, tuple | None]] = {}
             for context, (score, chain) in states.items():
                 for read, cost in options:
-                    s, ctx = self.step(score, context, read, cost)
-                    if ctx not in after or s > after[ctx][0]:
+                    if len(read) == 1 and read.isalpha():
+                        if (p := known.get((context, read))) is None:
+                            p = log(context, read)
+                        s, ctx = score + cost + p, context[1:] + read
+                    else:
+                        s, ctx = step(score, context, read, cost)
+                    if (old := after.get(ctx)) is None or s > old[0]:
                         after[ctx] = (s, (chain, read))
+            states = after
             if len(after) == 1:
-                (ctx, (s, chain)), *_ = after.items()
+                ((context, (_, chain)),) = after.items()
                 done.append(_text(chain))
-                after = {ctx: (s, None)}
-            states = after
-        ends = (self.step(s, ctx, " " if ctx[-1] != " " else "", 0.0)[0] for ctx, (s, _) in states.items())
+                states = None
+        if states is None:
+            return "".join(done)
+        ends = (step(s, ctx, " " if ctx[-1] != " " else "", 0.0)[0] for ctx, (s, _) in states.items())
         best = max((end, _text(chain)) for end, (_, chain) in zip(ends, states.values(), strict=True))
         return "".join(done) + best[1]
 
@@ -204,11 +220,14 @@ def _text(chain: tuple | None) -> str:
     return "".join(reversed(out))
 
 
-def _features(word: str) -> Iterator[str]:
+def _features(word: str) -> list[str]:
+    out: list[str] = []
     for part in _WORD.findall(word):
-        yield f"={part}"
-        yield from (f"^{part[:k]}" for k in range(4, min(8, len(part))))
-        yield from (part[i : i + 5] for i in range(len(part) - 4))
+        out.append("=" + part)
+        if (n := len(part)) > 4:
+            out += ["^" + part[:k] for k in range(4, min(8, n))]
+            out += [part[i : i + 5] for i in range(n - 4)]
+    return out
 
 
 class Scorer:
@@ -242,8 +261,10 @@ class Scorer:
         self.reader.model.known.clear()
 
     def _known(self, readings, only) -> tuple[str, ...]:
-        found = dict.fromkeys(f for r in readings for f in _features(r))
-        return tuple(found if only is None else [f for f in found if f in only])
+        found: dict[str, None] = {}
+        for r in readings:
+            found |= dict.fromkeys(_features(r) if only is None else [f for f in _features(r) if f in only])
+        return tuple(found)
 
     def found(self, text: str, only=()) -> tuple[Counter, int]:
         """How often each feature occurs in the restored text (those in ``only``; None: all), and the number of words."""
@@ -258,13 +279,13 @@ class Scorer:
                 own = seen[w] = self._known(self.readings(w), only)
             for f in own:
                 counts[f] += n
-        for row in _SPACED.findall(text):
+        for row, n in Counter(_SPACED.findall(text)).items():
             if (own := rows.get(row)) is None:
                 own = self._known(self.joined(row), only)
                 if len(row) <= 64:
                     rows[row] = own
             for f in own:
-                counts[f] += 1
+                counts[f] += n
         return counts, sum(words.values())
 
     def score(self, text: str) -> float:

@@ -6,10 +6,16 @@ A text is a sequence of words. Every ``gram`` consecutive words get a hash; of e
 documents are joined with those of the benchmark, hits are extended to the whole
 shared span and compared word by word, so the result is exact.
 
+Results depend on texts alone: where the index of the benchmark is small it is sent to the
+tasks that read the documents; otherwise distinct texts and items meet by shuffle, and each
+text moves once for every ``ITEMS`` items that it may hold.
+
 Defined results for odd input: a null text has no words; an item without words
 matches nothing; an item shorter than a span is matched as a whole; repeated rows get
-equal results; an empty benchmark marks nothing; a null item id counts as the text
-``null``. Only ids and texts are read.
+equal results and rows of one id are judged by their own texts, as are rows without an id;
+items of one id are counted once, whichever of them occurs; an empty benchmark marks
+nothing; an empty table gives an empty result; a null item id counts as the text ``null``.
+Only ids and texts are read.
 """
 
 from __future__ import annotations
@@ -25,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, tidied, utf8_view
+from netlens.llm.common import by_bytes, checkpointed, free_name, tidied, utf8_view
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
-#: UTF-8 bytes of benchmark text up to which its index is broadcast; a larger benchmark is joined by shuffle.
-BROADCAST_BYTES = 16 << 20
+#: UTF-8 bytes of benchmark ids and texts up to which its index is made in the driver and broadcast (it takes
+#: about eight times that, see ``Index.nbytes``); a larger benchmark is joined by shuffle.
+BROADCAST_BYTES = 8 << 20
+#: Items that a text is compared with at once where they are joined by shuffle.
+ITEMS = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -137,28 +146,38 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints and spans of benchmark items."""
+    """Fingerprints of benchmark items, and the hash and place of each of their spans."""
 
     def __init__(self, items: list[tuple[str, str | None]]):
-        ids, texts = [i for i, _ in items], [(t or "").encode() for _, t in items]
-        words = words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-        spans: dict[bytes, set[str]] = defaultdict(set)
-        starts: dict[int, list[int]] = defaultdict(list)
-        for k, item in enumerate(ids):
-            lo, hi = int(words.at[k]), int(words.at[k + 1])
-            n = min(SPAN, hi - lo)
-            for i in range(lo, hi - n + 1) if n else ():
-                spans[words.text(i, n)].add(item)
-                starts[n].append(i)
-        self.spans = {k: tuple(sorted(v)) for k, v in spans.items()}
-        self.hashes = {n: np.unique(grams(words, n)[0][v]) for n, v in starts.items()}
-        least, valid = winnowed(words)
+        self.ids = [i for i, _ in items]
+        texts = [(t or "").encode() for _, t in items]
+        self.words = words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        self.item = self.words.doc().astype(np.int32)
+        size = np.diff(self.words.at)[self.item] if len(self.item) else np.zeros(0, np.int64)
+        self.spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(size, SPAN)).tolist():
+            hashes, valid = grams(self.words, n)
+            at = np.flatnonzero(valid & (np.minimum(size, SPAN)[: len(valid)] == n))
+            order = np.argsort(hashes[at], kind="stable")
+            self.spans[n] = hashes[at[order]], at[order].astype(np.int32)
+        least, valid = winnowed(self.words)
         self.kept = np.unique(least[valid])
 
-    def hits(self, words: Words) -> list[tuple[int, int, tuple[str, ...]]]:
+    @property
+    def nbytes(self) -> int:
+        w = self.words
+        arrays = [w.data, w.start, w.end, w.at, w.hash, self.item, self.kept, *(a for pair in self.spans.values() for a in pair)]
+        return sum(a.nbytes for a in arrays) + sum(len(i) + 64 for i in self.ids)
+
+    def _items(self, words: Words, i: int, n: int, lo: int, hi: int) -> set[str]:
+        """Items that have the n words at place i, among the spans lo to hi of like hash."""
+        own, starts = words.text(i, n), self.spans[n][1][lo:hi].tolist()
+        return {self.ids[self.item[k]] for k in starts if self.words.text(k, n) == own}
+
+    def hits(self, words: Words) -> list[tuple[int, int, set[str]]]:
         """(first word, number of words, items) of every occurrence of a benchmark span."""
         found = []
-        for n, known in self.hashes.items():
+        for n, (known, _) in self.spans.items():
             if n == SPAN:
                 least, valid = winnowed(words)
                 if not len(least):
@@ -170,12 +189,16 @@ class Index:
                 hashes = np.zeros(len(at), np.uint64)
                 for i in range(n):
                     hashes = hashes * np.uint64(_Q) + words.hash[at + i]
-                at = at[_among(_mix(hashes), known)]
+                hashes = _mix(hashes)
             else:
                 hashes, valid = grams(words, n)
-                at = np.flatnonzero(_among(hashes, known) & valid)
-            for i in at.tolist():
-                if items := self.spans.get(words.text(i, n)):
+                at = np.flatnonzero(valid)
+                hashes = hashes[at]
+            same = _among(hashes, known)
+            at, hashes = at[same], hashes[same]
+            lo, hi = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+            for i, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                if items := self._items(words, i, n, a, b):
                     found.append((i, n, items))
         return found
 
@@ -221,50 +244,78 @@ def _scan(docs: DataFrame, index, doc_id: str) -> DataFrame:
     return kept.mapInArrow(tidied(run), T.StructType([kept.schema["doc_id"], *(T.StructField(n, t) for n, t, _ in _SCHEMA)]))
 
 
-def _fingerprint_rows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and (kind, fp) for each distinct fingerprint of a row: kind 0 is a kept hash, kind n < SPAN a whole run of n words."""
+def _fingerprint_rows(df: DataFrame, keep: list[str], runs: list[int]) -> DataFrame:
+    """``keep`` and (kind, fp) for each distinct fingerprint of a row: kind 0 is a kept hash, kind n a whole run of n words, for n in ``runs``."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 2 << 20):
             words = words_of(*utf8_view(batch.column(batch.schema.get_field_index("text"))))
             parts = []
             doc = words.doc()
-            for kind in range(SPAN):
+            for kind in (0, *runs):
                 value, valid = grams(words, kind) if kind else winnowed(words)
                 at = np.flatnonzero(valid)
                 parts.append(np.stack([doc[at], np.full(len(at), kind), value[at].view(np.int64)], 1))
             rows = np.unique(np.concatenate(parts), axis=0)
             row = pa.array(rows[:, 0])
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)).take(row) for k in keep), pa.array(rows[:, 1]), pa.array(rows[:, 2])], [*keep, "kind", "fp"])
+            own = [batch.column(batch.schema.get_field_index(k)).take(row) for k in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(rows[:, 1]), pa.array(rows[:, 2])], [*keep, "kind", "fp"])
 
     return df.mapInArrow(tidied(run), T.StructType([*(df.schema[k] for k in keep), T.StructField("kind", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
-def _join(docs: DataFrame, items: DataFrame, doc_id: str) -> DataFrame:
-    """The same result for a benchmark of any size: fingerprints meet in a shuffle join, then each pair is extended."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.struct("doc_id", F.sha2("text", 256).alias("h")))
-    texts = rows.dropDuplicates(["row"]).withColumn("rid", F.xxhash64("doc_id", "row.h"))
-    n_words = F.size(F.expr(r"regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)"))
-    own = items.withColumn("n", n_words).where("n > 0")
-    few = _fingerprint_rows(own, ["item_id", "n"]).where(F.when(F.col("n") < SPAN, F.col("kind") == F.col("n")).otherwise(F.col("kind") == 0))
-    pairs = _fingerprint_rows(texts, ["rid"]).join(few.select("item_id", "kind", "fp"), ["kind", "fp"]).select("rid", "item_id").distinct()
-    met = pairs.join(items.select("item_id", F.col("text").alias("item_text")), "item_id").join(texts.select("rid", "text"), "rid")
-
-    def extend(batches):
+_N_WORDS = r"size(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0))"
+
+
+def _rid(text: str):
+    """128 bits of a digest stand for a text."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), 1, 16)
+
+
+def _by_text(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(rid, n_hit, n_items, joined) of the distinct texts that an item of the benchmark occurs in; docs has ``text``."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), _rid("text").alias("rid")).dropDuplicates(["rid"])
+    own = items.withColumns({"n": F.expr(_N_WORDS), "iid": F.xxhash64("item_id", "text")}).where("n > 0")
+    runs = sorted(r.n for r in own.where(F.col("n") < SPAN).select("n").distinct().collect())  # SPAN - 1 at most
+    few = _fingerprint_rows(own, ["item_id", "iid", "n"], runs).where(F.when(F.col("n") < SPAN, F.col("kind") == F.col("n")).otherwise(F.col("kind") == 0))
+    pairs = _fingerprint_rows(texts, ["rid"], runs).join(few.select("item_id", "iid", "kind", "fp"), ["kind", "fp"]).select("rid", "item_id", "iid").distinct()
+    pairs = checkpointed(pairs)
+    parts = pairs.groupBy("rid").agg(F.ceil(F.count("*") / ITEMS).alias("parts"))
+    dealt = pairs.join(parts, "rid").withColumn("part", F.pmod(F.xxhash64("iid", "item_id"), "parts"))
+    met = dealt.join(own.select("item_id", "iid", F.col("text").alias("item_text")), ["item_id", "iid"])
+    met = met.groupBy("rid", "part").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))  # about ITEMS of them
+    met = met.join(texts, "rid").select("rid", "items", "text")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
         for batch in by_bytes(batches, "text", 2 << 20):
-            out = []
-            for rid, item, item_text, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rid", "item_id", "item_text", "text")), strict=True):
+            ids, covered, found = [], [], []
+            for rid, items, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rid", "items", "text")), strict=True):
                 data = text.encode()
                 words = words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-                out += [(rid, item, i, i + n) for i, n, _ in Index([(item, item_text)]).hits(words)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["rid", "item_id", "lo", "hi"])
-
-    hits = met.mapInArrow(tidied(extend), "rid long, item_id string, lo long, hi long")
-    covered = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.lo, s.hi - 1)))))")
-    by_row = hits.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("ids"))
-    by_row = by_row.select("rid", covered.cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("joined"))
-    counted = rows.withColumn("rid", F.xxhash64("doc_id", "row.h")).withColumn("n_words", n_words.cast("long"))
-    return counted.join(by_row, "rid", "left").select(
+                hits = Index([(x["item_id"], x["item_text"]) for x in items]).hits(words)
+                runs_: list[list[int]] = []
+                for i, n, _ in sorted(hits, key=lambda h: h[:2]):
+                    if runs_ and i <= runs_[-1][1]:
+                        runs_[-1][1] = max(runs_[-1][1], i + n)
+                    else:
+                        runs_.append([i, i + n])
+                ids.append(rid)
+                covered.append([{"lo": a, "hi": b} for a, b in runs_])
+                found.append(sorted(set().union(*(k for *_, k in hits))))
+            columns = [pa.array(ids, pa.binary()), pa.array(covered, spans), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "spans", "ids"])
+
+    hits = met.mapInArrow(tidied(extend), "rid binary, spans array<struct<lo:long,hi:long>>, ids array<string>").where(F.size("ids") > 0)
+    by_row = hits.groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    covered = F.expr("aggregate(spans, named_struct('n', 0L, 'at', 0L), (a, x) -> named_struct('n', a.n + greatest(0, x.hi - greatest(a.at, x.lo)), 'at', greatest(a.at, x.hi)), a -> a.n)")
+    return by_row.select("rid", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("joined"))
+
+
+def _join(docs: DataFrame, items: DataFrame, doc_id: str) -> DataFrame:
+    """The same result for a benchmark of any size: fingerprints meet in a shuffle join, then each text is extended."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _rid("text").alias("rid"), F.expr(_N_WORDS.replace("text", "coalesce(text, '')")).cast("long").alias("n_words"))
+    return rows.join(_by_text(docs, items), "rid", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("joined", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
@@ -289,11 +340,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of which no word lies in a benchmark span; columns are unchanged. Rows without an id are judged like any other where the index is broadcast, and else stay."""
+    """The rows of whose text no word lies in a benchmark span; columns are unchanged."""
     items = _items(benchmark)
     if (index := _index(items, broadcast_bytes)) is None:
-        found = contamination(docs, benchmark, doc_id, text, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias(doc_id)).distinct()
-        return docs.join(found, doc_id, "left_anti").select(docs.columns)
+        key = free_name(docs, "rid")
+        found = _by_text(docs.select(F.col(text).alias("text")), items).select(F.col("rid").alias(key))
+        return docs.withColumn(key, _rid(text)).join(found, key, "left_anti").select(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,10 @@ formed only between documents not yet linked, and they are verified as above. Cl
 the connected components of verified links.
 
 Defined results for odd input: as for ``simhash``; texts whose lower-case words agree are
-exact copies; texts without words are copies of each other; a null id is never dropped.
+exact copies; texts without words are copies of each other; a null id is never dropped. Of a
+class the row with the least id stays, of rows with that id the one with the least digest of
+its text, once: what is kept is a row, so different texts that share an id are judged each for
+itself, and all stay that are not copies of anything.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, checkpointed, texts_of, tidied
-from netlens.llm.simhash import SEED, components
+from netlens.llm.common import by_bytes, checkpointed, free_name, texts_of, tidied
+from netlens.llm.simhash import SEED, components, with_least
 
 WORDS, SIMILARITY, LANES, BLOCKS = 5, 0.8, 16, 32
 _ODD = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -68,13 +71,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, words: int = WORDS) -> tuple[np.ndarray, int]:
     """Distinct shingle hashes of a text, and a hash of its words."""
     tokens = (text or "").encode().lower().split()
-    digest = xxhash.xxh64_intdigest
-    whole = digest(b" ".join(tokens), SEED)
+    hashed = xxhash.xxh64_intdigest
+    whole = hashed(b" ".join(tokens), SEED)
     width, parts = min(words, len(tokens)), []
     for at in range(0, len(tokens) - width + 1 if tokens else 0, _STEP * 8):
         part = tokens[at : at + _STEP * 8 + width - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))
-        parts.append(np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64)))
+        parts.append(np.unique(np.fromiter((hashed(g, SEED) for g in grams), np.uint64)))
     return (np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)), whole
 
 
@@ -110,9 +113,14 @@ def blocks(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def digest(text: str):
+    """128 bits of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (hash of the words), size (shingles), wide (SimHash), keys (blocks): one row per input row."""
-    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """doc_id, digest (of the text), node (hash of the words), size (shingles), wide (SimHash), keys (blocks): one row per input row."""
+    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), digest(text).alias("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 2 << 20):
@@ -123,9 +131,10 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
                 size.append(len(hashes))
                 wide.append(wide_simhash(hashes))
                 keys.append(blocks(hashes, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "size", "wide", "keys"])
+            made = [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], ["doc_id", "digest", "node", "size", "wide", "keys"])
 
-    schema = [kept.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    schema = [kept.schema["doc_id"], kept.schema["digest"], T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     return kept.mapInArrow(tidied(run), T.StructType(schema))
 
 
@@ -208,7 +217,7 @@ def _named(distinct: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id), one row per input row: the smallest id of its class."""
+    """(doc_id, digest, root, component_id), one row per input row: its text, its class and the smallest id of that."""
     rows = checkpointed(signatures(docs, doc_id, text, words, similarity))
     lanes = [F.expr(f"cast(conv(hex(substring(wide, {8 * i + 1}, 8)), 16, -10) as bigint)") for i in range(LANES)]
     distinct = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("wide").alias("wide"), F.min("keys").alias("keys"))
@@ -243,14 +252,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         again = components(linked.select(F.greatest("root", "to").alias("u"), F.least("root", "to").alias("v")).where("u <> v").distinct())
         again = again.select(F.col("node").alias("root"), F.col("root").alias("top"))
         named = named.join(again, "root", "left").select("node", "rep", F.coalesce("top", "root").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_node = checkpointed(named.join(least, "root").select("node", "component_id"))
-    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+    by_node = checkpointed(with_least(named, "root", "rep", "component_id").select("node", "root", "component_id"))
+    return rows.select("doc_id", "digest", "node").join(by_node, "node").select("doc_id", "digest", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The input rows whose id names their class, once each; rows without an id stay. Columns are unchanged."""
-    found = classes(docs, doc_id, text, words, similarity)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
+    """One row of each class, and the rows without an id. Columns are unchanged."""
+    found = classes(docs, doc_id, text, words, similarity).where(F.col("doc_id") == F.col("component_id"))
+    key, mark = free_name(docs, "digest"), free_name(docs, "kept")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias(mark))
+    kept = kept.select(F.col(f"{mark}.doc_id").alias(doc_id), F.col(f"{mark}.digest").alias(key)).distinct()
+    named = docs.where(F.col(doc_id).isNotNull()).withColumn(key, digest(text))
+    named = named.join(kept, [doc_id, key], "left_semi").dropDuplicates([doc_id, key])
     return named.select(docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))

@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, checkpointed, texts_of, tidied
+from netlens.llm.common import by_bytes, checkpointed, free_name, released, texts_of, tidied
 
 SEED = 42
 #: Blocks of a fingerprint. Pairs at 2 bits or fewer leave two of four blocks untouched.
 BLOCKS = 4
 #: A block with more distinct fingerprints than this is linked through common neighbours instead of pairs.
 CROWDED = 32
+#: Parts over which the rows of one key are dealt.
+SALTS = 64
 _STEP = 1 << 16
 
 
@@ -96,21 +98,30 @@ def links(distinct: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataF
     return paired.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def with_least(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """The rows with the least ``value`` of their key as ``name``. A key that holds most rows is dealt over ``SALTS`` parts."""
+    salt = free_name(df, "salt")
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    part = salted.groupBy(key, salt).agg(F.min(value).alias(name))
+    least = part.groupBy(key).agg(F.min(name).alias(name))
+    return salted.join(part.select(key, salt).join(least, key), [key, salt]).drop(salt)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over undirected (u, v) edges, for every node that has an edge.
 
-    Alternates large-star and small-star steps; each keeps one row per edge, aggregates
-    before it shuffles, and is checkpointed.
+    Alternates large-star and small-star steps until nothing changes (a number of rounds that
+    grows with the logarithm of the edges); each keeps one row per edge, aggregates before it
+    shuffles, deals the edges of a hub over many tasks, and is checkpointed.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
+        joined = with_least(both, "u", "v", "m").withColumn("m", F.least("u", "m"))
         if large:
             out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
-            out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+            out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         out = out.where(F.col("a") != F.col("b"))
         return out.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
@@ -119,10 +130,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
     edges = checkpointed(edges)
     before = state(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        edges = checkpointed(star(star(edges, True), False))
+    while before[0]:
+        last, edges = edges, checkpointed(star(star(edges, True), False))
+        released(last)
         if (now := state(edges)) == before:
             break
         before = now
@@ -137,8 +147,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     root = components(links(distinct, radius)).withColumnsRenamed({"node": "fp"})
     named = distinct.join(root, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = checkpointed(named.join(least, "root").select("fp", "component_id"))
+    by_fp = checkpointed(with_least(named, "root", "rep", "component_id").select("fp", "component_id"))
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 

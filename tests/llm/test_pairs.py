@@ -109,6 +109,22 @@ def test_near_copies_match_jaccard(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(got.values())) and None in ids
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    long = " ".join(f"t{i}" for i in range(40))
+    rows = [(5, long), (5, "a text of its own with some words"), (5, long), (7, long), (7, "a text of its own with some words"), (None, long), (9, "third"), (None, None)]
+    kept = nearcopies.keep_one(spark.createDataFrame([(i, t, "k", "d") for i, t in rows], "doc_id long, text string, kept string, digest string"))
+    assert kept.columns == ["doc_id", "text", "kept", "digest"]
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[1], rows[5], rows[6], rows[7]], "doc_id long, text string").collect()))
+    assert nearcopies.keep_one(kept.where("false")).count() == 0
+
+
+def test_a_hub_is_dealt_over_parts(spark):
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 3000)] + [(i, i - 1) for i in range(5000, 5100)], "u long, v long")
+    assert {r.root for r in simhash.components(edges).collect()} == {0, 4999}
+    rows = spark.createDataFrame([(1, i) for i in range(50, 900)] + [(2, 7)], "k long, salt long")
+    assert {tuple(r) for r in simhash.with_least(rows, "k", "salt", "m").select("k", "m").collect()} == {(1, 50), (2, 7)}
+
+
 @pytest.mark.parametrize("common", [32, 36, 40, 48, 64, 80, 120, 160, 168, 176, 240, 320])
 def test_copies_at_the_similarity_share_a_block(common):
     import numpy as np
@@ -184,6 +200,25 @@ def test_contamination_matches_brute_force(spark, limit):
     assert kept == {i for i, t in rows if not brute_contamination(t, items)[4]}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_rows_are_judged_by_their_own_text(spark, limit):
+    """One id with two texts, rows without an id, items that share spans, more items than are compared at once."""
+    text = " ".join(f"w{i}" for i in range(30))
+    items = [(i, f"own{i} " + text) for i in range(150)] + [(None, text)]
+    table = spark.createDataFrame([(1, text, "a"), (1, "clean text", "b"), (None, text, "c"), (None, "other", "d"), (1, "clean text", "b")], "doc_id long, text string, rid string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept = decontaminate.keep_clean(table, bench, broadcast_bytes=limit)
+    assert kept.columns == table.columns and sorted(x["rid"] for x in kept.collect()) == ["b", "b", "d"]
+    got = decontaminate.contamination(table, bench, broadcast_bytes=limit).where("contaminated").collect()
+    assert {(x.doc_id, *tuple(x)[1:]) for x in got} == {(i, *brute_contamination(text, [("null" if k is None else k, t) for k, t in items])) for i in (1, None)}
+
+
+def test_the_index_takes_about_eight_times_its_text():
+    r = random.Random(0)
+    items = [(str(i), " ".join(f"word{r.randrange(50_000)}" for _ in range(200))) for i in range(500)]
+    assert decontaminate.Index(items).nbytes < 9 * sum(len(t) for _, t in items)
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

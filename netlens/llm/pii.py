@@ -22,9 +22,11 @@ used here are equivalent to those rules but scan a text once, whatever it holds:
 possessive and start where a run starts or where the last match ended.
 
 Defined results for odd input: a null text counts as empty; empty texts have no spans;
-repeated rows are counted as the rows they are and get equal spans; spans of several
-kinds may overlap, and overlapping ones are replaced together; a null id is kept but
-takes no part in the corpus counts. Only id and text are read.
+repeated rows are counted as the rows they are, on both sides of every ratio, and get equal
+spans; spans of several kinds may overlap, and overlapping ones are replaced together, under
+the kind that is listed first; a row with a null id is read and sanitised like any other but
+takes no part in the corpus counts; an empty table gives an empty result; texts may be of any
+length. Only id and text are read; a row is known by 128 bits of both.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import checkpointed
+from netlens.llm.common import checkpointed, free_name
 
 #: The base rules as they are stated.
 KINDS = {
@@ -139,8 +141,9 @@ def terms_beside(spans: DataFrame) -> DataFrame:
 def disclosing(whole: DataFrame, scanned: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(term, entity, n, n_term, revealed): terms that reveal an entity, by co-occurrence over all documents.
 
-    ``whole`` has the text of every document, ``scanned`` (row, base) of every document and the text of those with spans.
+    ``whole`` has the id and text of every document, ``scanned`` (doc_id, row, base) of every document and the text of those with spans.
     """
+    whole, scanned = whole.where(F.col("doc_id").isNotNull()), scanned.where(F.col("doc_id").isNotNull())
     total = max(1, scanned.count())
     with_spans = scanned.where(F.size("base") > 0)
     held = with_spans.select("row", F.explode(F.expr(f"array_distinct(transform(base, b -> {_entity('b')}))")).alias("entity"))
@@ -162,12 +165,17 @@ def disclosing(whole: DataFrame, scanned: DataFrame, support: int = SUPPORT, dis
     return rated.withColumn("revealed", revealed).where(F.col("revealed") >= disclosure).select("term", "entity", "n", "n_term", "revealed")
 
 
+def row_key(doc_id: str, text: str):
+    """128 bits of an id and a text: what rows are known by."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))))
+
+
 def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, row, base, added: one row per input row. ``added`` has (s, e, t) of disclosing terms; ``row`` is a hash of id and text."""
-    whole = base_spans(docs, doc_id, text).withColumn("row", F.xxhash64("doc_id", "text"))
+    """doc_id, row, base, added: one row per input row. ``added`` has (s, e, t) of disclosing terms; ``row`` is the key of id and text."""
+    whole = base_spans(docs, doc_id, text).withColumn("row", row_key("doc_id", "text"))
     # one scan keeps the spans of every document, and the text of those that have any
     scanned = checkpointed(whole.select("doc_id", "row", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")))
-    texts = whole.select("row", "text")
+    texts = whole.select("doc_id", "row", "text")
     terms = checkpointed(disclosing(texts, scanned, support, disclosure).select("term").distinct())
     size = terms.agg(F.sum(F.length("term") + 16)).first()[0] or 0
     if not size:
@@ -213,17 +221,17 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", suppor
         "then concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'k', least(element_at(a, -1).k, x.k), 'e', greatest(element_at(a, -1).e, x.e)))) "
         "else array_append(a, x) end)"
     )
+    key, cut, old = (free_name(docs, n) for n in ("row", "cuts", "old"))
     # at most one row for each id and text, so the join adds no rows
-    cuts = found.select(F.col("row").alias("__row"), F.expr(merged).alias("__cuts")).dropDuplicates(["__row"])
+    cuts = found.select(F.col("row").alias(key), F.expr(merged).alias(cut)).dropDuplicates([key])
     marks = ", ".join([*(f"'[{k.upper()}]'" for k in KINDS), "''" if remove_terms else "'[TERM]'"])
     changed = (
-        "aggregate(__cuts, named_struct('at', 0, 'out', ''), "
-        f"(a, x) -> named_struct('at', x.e, 'out', concat(a.out, substring(__text, a.at + 1, x.s - a.at), array({marks})[x.k])), a -> concat(a.out, substring(__text, a.at + 1)))"
+        f"aggregate({cut}, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', x.e, "
+        f"'out', concat(a.out, substring({old}, a.at + 1, x.s - a.at), array({marks})[x.k])), a -> concat(a.out, substring({old}, a.at + 1)))"
     )
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
-    met = keyed.join(cuts, "__row", "left").withColumn("__text", F.col(text))
-    met = met.withColumn(text, F.when(F.col("__cuts").isNull(), F.col("__text")).otherwise(F.expr(changed)))
+    met = docs.withColumn(key, row_key(doc_id, text)).join(cuts, key, "left").withColumn(old, F.col(text))
+    met = met.withColumn(text, F.when(F.col(cut).isNull(), F.col(old)).otherwise(F.expr(changed)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        met = met.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kind)))
+        met = met.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kind)))
     return met.select(docs.columns)

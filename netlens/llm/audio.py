@@ -8,11 +8,15 @@ a feature is a tensor of fixed shape [SPANS, BANDS] whose rows have known times.
 Segments are found on window energy with two thresholds: one opens at the upper and
 closes under the lower one.
 
-All work is in blocks of bounded size, so a long medium needs no more memory than its
-bytes. Values depend on the bytes alone: equal media give equal values.
-
-Defined results for odd input: a null text is an empty payload, padded like any other;
-silence has no segments; repeated rows give equal values. Only id and text are read.
+Resampling, windows and bands are worked through in blocks of ``BLOCK`` samples, so a long
+medium needs little more memory than its bytes and one energy for every window. Values
+depend on the bytes alone: equal media give equal values.
+
+Defined results for odd input: a null text is an empty payload, padded like any other; a
+medium shorter than a window is filled up with silence; silence has no segments; a window
+between the thresholds stays as the one before it, and is out of a segment at the beginning;
+repeated rows give equal values; an empty table gives an empty result. Only id and text are
+read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -35,7 +39,8 @@ RATE, UP, DOWN, TAPS = 12_000, 2, 3, 12
 NEW_RATE = RATE * UP // DOWN
 WINDOW, HOP, BANDS, SPANS = 256, 128, 16, 8
 OPEN, CLOSE = 0.5, 0.25
-_BLOCK = 1 << 18
+#: Resampled values worked on at once.
+BLOCK = 1 << 18
 
 
 def to_wave(samples: bytes, rate: int = RATE) -> bytes:
@@ -72,23 +77,36 @@ def _phases() -> np.ndarray:
     return np.stack([h[p::UP] for p in range(UP)]).astype(np.float32)
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """x at RATE to NEW_RATE: output k is phase (k * DOWN) % UP of the filter at input (k * DOWN) // UP."""
-    n = -(-len(x) * UP // DOWN)
-    out = np.empty(n, np.float32)
-    padded = np.concatenate([np.zeros(TAPS // 2, np.float32), x.astype(np.float32), np.zeros(TAPS, np.float32)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
-    for first in range(UP):
-        k = np.arange(first, n, UP)
-        if len(k):
-            phase, at = (first * DOWN) % UP, k * DOWN // UP
-            h = _phases()[phase][::-1]
-            view = rows[at[0] :: DOWN][: len(k)]
-            total = np.zeros(len(k), np.float32)
+def _resampled(x: np.ndarray) -> Iterator[np.ndarray]:
+    """x at RATE to NEW_RATE, in blocks: output k is phase (k * DOWN) % UP of the filter at input (k * DOWN) // UP.
+
+    Bytes are read as unsigned 8-bit samples.
+    """
+    n, before = -(-len(x) * UP // DOWN), TAPS // 2
+    for a in range(0, n, BLOCK - BLOCK % UP):
+        size = min(BLOCK - BLOCK % UP, n - a)
+        lo = a * DOWN // UP - before
+        hi = (a + size - 1) * DOWN // UP - before + TAPS
+        own = x[max(0, lo) : max(0, hi)]
+        own = (own.astype(np.float32) - 128) / 128 if own.dtype == np.uint8 else own.astype(np.float32)
+        part = np.zeros(hi - lo, np.float32)
+        part[max(0, -lo) : max(0, -lo) + len(own)] = own
+        rows = np.lib.stride_tricks.sliding_window_view(part, TAPS)
+        out = np.empty(size, np.float32)
+        for first in range(min(UP, size)):
+            h = _phases()[first * DOWN % UP][::-1]
+            count = -(-(size - first) // UP)
+            view = rows[first * DOWN // UP :: DOWN][:count]
+            total = np.zeros(count, np.float32)
             for i in range(TAPS):
                 total += view[:, i] * h[i]
             out[first::UP] = total
-    return out
+        yield out
+
+
+def resample(x: np.ndarray) -> np.ndarray:
+    """x at RATE to NEW_RATE."""
+    return np.concatenate([np.zeros(0, np.float32), *_resampled(x)])
 
 
 @cache
@@ -101,20 +119,29 @@ def _mel() -> np.ndarray:
     return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
 
 
-def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over windows of each time span [SPANS, BANDS] with the number of windows, and energies of all windows."""
-    if len(x) < WINDOW:
-        x = np.concatenate([x, np.zeros(WINDOW - len(x), np.float32)])
-    n = 1 + (len(x) - WINDOW) // HOP
-    frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
+def log_mel(blocks: Iterable[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means over the windows of each time span [SPANS, BANDS], and energies of all windows, of a signal that comes in blocks."""
+    n = 1 + max(0, length - WINDOW) // HOP
     shape, sums, energy = np.hanning(WINDOW).astype(np.float32), np.zeros((SPANS, BANDS)), np.empty(n, np.float32)
-    span = np.arange(n) * SPANS // n
-    for at in range(0, n, _BLOCK // WINDOW):
-        part = frames[at : at + _BLOCK // WINDOW]
-        power = np.abs(np.fft.rfft(part * shape)) ** 2
-        mel = np.log(power @ _mel() + 1e-6)
-        np.add.at(sums, span[at : at + len(part)], mel)
-        energy[at : at + len(part)] = np.sqrt((part * part).mean(1))
+    span, at, rest = np.arange(n) * SPANS // n, 0, np.zeros(0, np.float32)
+
+    def take(x: np.ndarray) -> None:
+        nonlocal at
+        frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
+        for i in range(0, len(frames), BLOCK // WINDOW):
+            part = frames[i : i + BLOCK // WINDOW]
+            power = np.abs(np.fft.rfft(part * shape)) ** 2
+            np.add.at(sums, span[at : at + len(part)], np.log(power @ _mel() + 1e-6))
+            energy[at : at + len(part)] = np.sqrt((part * part).mean(1))
+            at += len(part)
+
+    for block in blocks:
+        rest = np.concatenate([rest, block])
+        if len(rest) >= WINDOW:
+            take(rest)
+            rest = rest[(1 + (len(rest) - WINDOW) // HOP) * HOP :]
+    if not at:
+        take(np.concatenate([rest, np.zeros(WINDOW - len(rest), np.float32)]))
     return sums / np.maximum(1, np.bincount(span, minlength=SPANS))[:, None], energy
 
 
@@ -133,11 +160,10 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 
 def features(samples: bytes) -> tuple[np.ndarray, list[tuple[float, float]], np.ndarray]:
     """Tensor [SPANS, BANDS], segments in seconds, and [SPANS, 2] times of the tensor's rows."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    x = resample(x) if len(x) else x
-    tensor, energy = log_mel(x)
+    length = -(-len(samples) * UP // DOWN)
+    tensor, energy = log_mel(_resampled(np.frombuffer(samples, np.uint8)), length)
     found = [(a * HOP / NEW_RATE, (b - 1) * HOP / NEW_RATE + WINDOW / NEW_RATE) for a, b in segments(energy)]
-    edge = np.linspace(0, max(len(x), WINDOW) / NEW_RATE, SPANS + 1)
+    edge = np.linspace(0, max(length, WINDOW) / NEW_RATE, SPANS + 1)
     return np.round(tensor, 3), found, np.stack([edge[:-1], edge[1:]], 1)
 
 
@@ -155,42 +181,40 @@ _SCHEMA = [
 ]
 
 
-def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", outputs: bool = True) -> DataFrame:
+def media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
     """One row per document: digests of payload and stored form, and features.
 
-    With ``outputs``: the stored bytes too, the tensor (row-major, SPANS x BANDS numbers,
-    its shape in the column's metadata), the spans of its rows and the segments.
+    ``feature`` is a digest of the features; these are ``log_mel`` (row-major, SPANS x BANDS
+    numbers, its shape in the column's metadata), the ``spans`` of time of its rows, and the
+    ``segments`` in seconds. With ``stored``, ``media`` has the stored bytes too.
     """
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     pair = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
     schema = [kept.schema["doc_id"], *(T.StructField(n, t) for n, t, _ in _SCHEMA)]
-    if outputs:
-        schema += [
-            T.StructField("media", T.BinaryType()), T.StructField("log_mel", TENSOR, True, {"shape": [SPANS, BANDS]}),
-            T.StructField("spans", pair), T.StructField("segments", pair),
-        ]
+    schema += [T.StructField("log_mel", TENSOR, True, {"shape": [SPANS, BANDS]}), T.StructField("spans", pair), T.StructField("segments", pair)]
+    schema += [T.StructField("media", T.BinaryType())] * stored
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
-        for batch in by_bytes(batches, "text", 4 << 20):
+        kinds = [t for *_, t in _SCHEMA] + [pa.list_(pa.float32()), times, times] + [pa.binary()] * stored
+        for batch in by_bytes(batches, "text", 2 << 20):
             data, ends = utf8_view(batch.column(1))
             rows = []
             for a, b in zip(ends.tolist(), ends.tolist()[1:], strict=False):
                 own = data[a:b].tobytes()
-                stored = to_wave(own + b"\0" * (64 - len(own) % 64 if len(own) % 64 or not own else 0))
-                payload, _ = from_wave(stored)
+                kept_as = to_wave(own + b"\0" * (64 - len(own) % 64 if len(own) % 64 or not own else 0))
+                payload, _ = from_wave(kept_as)
                 tensor, found, spans = features(payload)
-                row = [b - a, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), digest(tensor, found), len(found)]
-                rows.append(row + [stored, tensor.ravel().astype(np.float32), [{"start": x, "end": y} for x, y in spans], [{"start": x, "end": y} for x, y in found]] * outputs)
-            kinds = [t for *_, t in _SCHEMA] + [pa.binary(), pa.list_(pa.float32()), times, times] * outputs
+                row = [b - a, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(kept_as), hashlib.sha256(kept_as).hexdigest()]
+                row += [digest(tensor, found), len(found), tensor.ravel().astype(np.float32)]
+                row += [[{"start": x, "end": y} for x, y in spans], [{"start": x, "end": y} for x, y in found]]
+                rows.append(row + [kept_as] * stored)
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [f.name for f in schema])
 
     return kept.mapInArrow(tidied(run), T.StructType(schema))
 
 
-
-
 def tensor_array(values: pa.Array) -> pa.Array:
     """A ``log_mel`` column read with Arrow, as an array of fixed-shape tensors [SPANS, BANDS]."""
     if isinstance(values, pa.ChunkedArray):

@@ -50,7 +50,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes as a medium, with digests and audio features of what is read back."""
-    return audio.media(table(spark, sf_dir, "documents"), outputs=False)
+    return audio.media(table(spark, sf_dir, "documents"))
 
 
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

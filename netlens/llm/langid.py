@@ -2,13 +2,15 @@
 
 Document frequencies are counted over every document that may be learnt from. The
 regression is fitted by follow-the-regularised-leader with elastic-net penalties on at
-most ``PER_LANGUAGE`` documents of each language (those with the least hash of their
-id), a fifth of which is held back to calibrate the temperature.
+most ``PER_LANGUAGE`` different texts of each language (those with the least hash of
+language and text), a fifth of which is held back to calibrate the temperature.
 
 Defined results for odd input: a text that is null or has no letter is ``und`` with
 score 0; with nothing to learn from, every text is ``und``; equal texts get equal
-results; a null id is never held out and still predicted. Languages, sources and ids
-are never inputs of a prediction.
+results; a text that has several languages is an example of each; of languages that are
+equally likely the one that sorts first is taken; a null id is never held out and still
+predicted; an empty table gives an empty result. Languages, sources and ids are never inputs
+of a prediction, and only id, text and, to learn, language are read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,7 +114,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     df = _document_frequency(own.select("text"))
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1.0
     share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))]), F.col("lang"))
-    chosen = own.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
+    place = F.xxhash64("lang", "text")
+    # about per_language rows of a language come through; copies are one, and the least of the rest are taken
+    chosen = own.where(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(1 << 30)), "text")
+    chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
@@ -120,7 +126,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             both = [np.unique(found[:, lo:hi], return_counts=True) for lo, hi in zip(at, np.append(at[1:], found.shape[1]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b.astype(np.int32).tobytes() for b, _ in both]), pa.array([n.astype(np.int32).tobytes() for _, n in both])], ["lang", "bucket", "n"])
 
-    rows = chosen.mapInArrow(tidied(vectors), "lang string, bucket binary, n binary").collect()  # about per_language rows of each language
+    rows = chosen.mapInArrow(tidied(vectors), "lang string, bucket binary, n binary").collect()  # per_language rows of each language at most
     data = []
     for r in rows:
         b, n = np.frombuffer(r.bucket, np.int32), np.frombuffer(r.n, np.int32)

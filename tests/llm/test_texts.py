@@ -31,11 +31,22 @@ def test_token_counts_are_the_librarys(spark):
     assert tokencount.token_counts(table(spark, ODD).where("false")).count() == 0
 
 
+def test_texts_are_cut_only_where_the_vocabulary_allows(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    assert tokencount.safe_split(vocabulary_file("word_bpe_49k.json")) == "white"
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        assert tokencount.safe_split(vocabulary_file(name)) is None
+    whole = Tokenizer.from_file(vocabulary_file("byte_bpe_50k.json"))
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(table(spark, ODD), "byte_bpe_50k.json").collect()}
+    assert got == {i: len(whole.encode(t or "").ids) for i, t in enumerate(ODD)}
+
+
 def test_token_counts_of_whole_texts(spark):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file("piece_bpe_32k.model"))
-    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(table(spark, ODD[:9]), "piece_bpe_32k.model", None).collect()}
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(table(spark, ODD[:9]), "piece_bpe_32k.model").collect()}
     assert got == {i: len(model.encode(t or "")) for i, t in enumerate(ODD[:9])}
 
 
@@ -43,17 +54,51 @@ def test_without_dropout_pieces_are_the_librarys():
     import sentencepiece
 
     path = vocabulary_file("piece_bpe_32k.model")
-    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path, 1, 0.0, 1)
-    for t in (t or "" for t in ODD if t is None or "▁" not in t):
-        assert np.frombuffer(own.encode([t], ["1"])[0], "<u4").tolist() == library.encode(t), t[:40]
-
-
-def test_dropout_by_rounds_is_the_agenda_and_varies():
-    own = pieces.Pieces(vocabulary_file("piece_bpe_32k.model"), 5, 0.2, 3)
-    words = ["understanding", "a▁b", "é\nx", "tokenisation", "", "123456", "   indent", "straße"]
-    for v in range(3):
-        assert own.by_rounds(words, v) == [np.array(own.by_agenda(w, v), "<u4").tobytes() for w in words]
-    assert len({own.by_rounds(["understanding"], v)[0] for v in range(3)} | {pieces.Pieces(vocabulary_file("piece_bpe_32k.model"), 6, 0.5, 1).by_rounds(["understanding"], 0)[0]}) > 1
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path, 1, 0.0)
+    texts = [t or "" for t in ODD if t is None or "▁" not in t]
+    for t, found in zip(texts, own.encode(texts, ["1"] * len(texts)), strict=True):
+        assert found.tolist() == library.encode(t), t[:40]
+
+
+def naive_pieces(model, word, key):
+    """Looks at every pair anew after each merge."""
+    parts = [(i, i + 1, int(model.single[ord(c)])) for i, c in enumerate(word)]
+    while True:
+        best = None
+        for (a, b, x), (_, c, y) in zip(parts, parts[1:], strict=False):
+            merge = model.merges.get(x << 20 | y) if x >= 0 and y >= 0 else None
+            if merge and not model._skips(key, a, b, c) and (best is None or (merge[0], a) < best[:2]):
+                best = (merge[0], a, b, c, merge[1])
+        if best is None:
+            break
+        _, a, b, c, piece = best
+        parts = [p for p in parts if not a <= p[0] < c] + [(a, c, piece)]
+        parts.sort()
+    return [x for a, _, s in parts for x in ([s] if s >= 0 else model.byte[list(word[a].encode())].tolist())]
+
+
+@pytest.mark.parametrize("long", [0, 5, 96])
+def test_dropout_is_the_naive_agenda_for_each_occurrence(long, monkeypatch):
+    monkeypatch.setattr(pieces, "LONG_WORD", long)
+    own = pieces.Pieces(vocabulary_file("piece_bpe_32k.model"), 5, 0.3)
+    text = "understanding a▁b é\nx understanding tokenisation  123456   indent straße understanding " + "longwordrepeated" * 7 + " understanding"
+    for doc, t in (("7", text), ("8", text), ("9", "x"), ("10", "  "), ("11", "")):
+        got = own.encode(["other words", t], ["3", doc])[1].tolist()
+        words = re.findall(" +[^ ]*", " " + t) if t else []
+        want = [x for k, w in enumerate(words) for x in naive_pieces(own, w, own.word_key(own.doc_key(doc), k))]
+        assert got == want
+    made = {tuple(naive_pieces(own, " understanding", own.word_key(own.doc_key("7"), k))) for k in range(200)}
+    assert len(made) > 20  # no bound on the segmentations of a word
+    assert own.encode([text], ["7"])[0].tolist() != own.encode([text], ["8"])[0].tolist()
+
+
+def test_parts_of_a_long_text_are_encoded_as_the_whole(monkeypatch):
+    own = pieces.Pieces(vocabulary_file("piece_bpe_32k.model"), 5, 0.1)
+    text = "  some words of   a text é " * 40 + "x" * 300 + " end "
+    whole = own.encode([text], ["7"])[0]
+    monkeypatch.setattr(pieces, "CHUNK", 50)
+    assert own.encode([text], ["7"])[0].tolist() == whole.tolist() and own.decode(whole) == text
+    assert "".join(text[a:b] for a, b in pieces.cuts(text)) == text and len(list(pieces.cuts(text))) > 10
 
 
 def test_pieces_round_trip(spark):
@@ -118,6 +163,17 @@ def test_disclosing_terms(spark):
     assert pii.report(pii.found_spans(df.where("false"))).count() == 0
 
 
+def test_repeated_rows_count_as_rows_and_null_ids_not_at_all(spark):
+    text, filler = "ask Bobster at bob@corp.example", [(i, "filler text", 1, "c") for i in range(100, 160)]
+    made = lambda ids: spark.createDataFrame([(i, text, 1, "c") for i in ids] + filler, "doc_id long, text string, row int, cuts string")
+    terms = lambda ids: [r.n_terms for r in pii.report(pii.found_spans(made(ids))).where("n_email > 0").collect()]
+    assert set(terms([1, 1, 1, 1, 2])) == set(terms([1, 2, 3, 4, 5])) == set(terms([1, 1])) == {2}  # ask, Bobster; "at" is too short
+    assert set(terms([1, None, None, None])) == {0}
+    assert set(terms([1, 2, None])) == {2}  # a row without an id is read like any other
+    clean = pii.sanitise(made([1, 1, None, 2]))
+    assert clean.columns == ["doc_id", "text", "row", "cuts"] and clean.where("text like '%[EMAIL]%'").count() == 4 and clean.count() == 64
+
+
 def test_every_entity_of_a_term_is_rated(spark):
     # half the documents with the term have the entity, which is in 2 of 4,000: 0.91 of its information
     texts = ["see Quill at q@r.st", "the Quill wrote q@r.st", "Quill once", "Quill twice", *["filler text"] * 3996]
@@ -161,7 +217,7 @@ def test_resampling_is_a_convolution():
 
 def test_media_round_trip(spark):
     texts = [None, "", "a" * 64, "b" * 65, "long " * 60_000, "ü", "a" * 64]
-    got = {r.doc_id: r for r in audio.media(table(spark, texts)).collect()}
+    got = {r.doc_id: r for r in audio.media(table(spark, texts), stored=True).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
@@ -170,7 +226,51 @@ def test_media_round_trip(spark):
         assert audio.from_wave(bytes(r.media)) == (payload, audio.RATE) and r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
         assert len(r.log_mel) == audio.SPANS * audio.BANDS and len(r.spans) == audio.SPANS and len(r.segments) == r.n_segments
     assert got[2].feature == got[6].feature and got[2].feature != got[3].feature
-    assert audio.media(table(spark, texts), outputs=False).columns[-2:] == ["feature", "n_segments"]
+    assert audio.media(table(spark, texts)).columns[-3:] == ["log_mel", "spans", "segments"] and audio.media(table(spark, texts).where("false")).count() == 0
+
+
+def naive_features(samples):
+    """The whole signal at once, with dense sums in place of transforms."""
+    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
+    h = np.zeros(audio.TAPS * audio.UP)
+    for p in range(audio.UP):
+        h[p :: audio.UP] = audio._phases()[p]
+    n = -(-len(x) * audio.UP // audio.DOWN)
+    y = np.zeros(n)
+    for k in range(n):
+        phase, at = k * audio.DOWN % audio.UP, k * audio.DOWN // audio.UP
+        for i in range(audio.TAPS):
+            if 0 <= (j := at - audio.TAPS // 2 + i) < len(x):
+                y[k] += x[j] * h[phase + audio.UP * (audio.TAPS - 1 - i)]
+    y = np.concatenate([y, np.zeros(max(0, audio.WINDOW - len(y)))])
+    t = np.arange(audio.WINDOW)
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(audio.WINDOW // 2 + 1), t) / audio.WINDOW)
+    mel, energy = [], []
+    for at in range(0, len(y) - audio.WINDOW + 1, audio.HOP):
+        part = y[at : at + audio.WINDOW]
+        mel.append(np.log(np.abs(wave @ (part * np.hanning(audio.WINDOW))) ** 2 @ audio._mel() + 1e-6))
+        energy.append(np.sqrt((part**2).mean()))
+    rows = [[m for k, m in enumerate(mel) if k * audio.SPANS // len(mel) == s] for s in range(audio.SPANS)]
+    on, found = False, []
+    for k, e in enumerate([*energy, -1.0]):
+        if not on and max(energy) > 1e-4 and e >= audio.OPEN * max(energy):
+            on, begin = True, k
+        elif on and e < audio.CLOSE * max(energy):
+            on = False
+            found.append((begin, k))
+    return np.array([np.mean(r, 0) if r else np.zeros(audio.BANDS) for r in rows]), found
+
+
+@pytest.mark.parametrize(("size", "block"), [(64, 1 << 18), (320, 1 << 18), (5000, 1 << 18), (5000, 512), (4801, 333)])
+def test_features_match_dense_sums(size, block, monkeypatch):
+    monkeypatch.setattr(audio, "BLOCK", block)
+    r = np.random.default_rng(size)
+    loud = 120 * np.abs(np.sin(np.arange(size) / 700))
+    samples = (128 + loud * np.sin(np.arange(size) * 0.4) + r.normal(0, 2, size)).clip(0, 255).astype(np.uint8).tobytes()
+    tensor, found, _ = audio.features(samples)
+    want, stretches = naive_features(samples)
+    assert np.abs(tensor - want).max() < 0.02
+    assert [(round(a * audio.NEW_RATE / audio.HOP), round((b - audio.WINDOW / audio.NEW_RATE) * audio.NEW_RATE / audio.HOP) + 1) for a, b in found] == stretches
 
 
 def test_segments_have_hysteresis():

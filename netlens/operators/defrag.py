@@ -3,6 +3,7 @@
 Only fragments are shuffled, by (source, destination, identification, protocol), and run
 through an assembler in order of arrival; its state is one datagram. The fragment that
 completes a datagram brings the rebuilt one. Earlier bytes win where fragments overlap.
+Frames that are plainly no fragments are told by expressions and never read for this.
 """
 
 from __future__ import annotations
@@ -66,34 +67,50 @@ def rebuilt(version: int, src: bytes, dst: bytes, proto: int, payload: bytes) ->
 
 
 def reassemble(dissected: DataFrame, options: Options | None = None) -> DataFrame:
-    """(ord, ts_us, dlt, pkt): datagrams made of the fragments in ``dissected`` (status 1), as RAW packets."""
+    """(ord, ts_us, dlt, pkt[, file]): datagrams made of the fragments in ``dissected`` (status 1), as RAW packets."""
     options = options or Options()
     key = F.struct("l3_version", "src", "dst", "frag_id", "frag_proto")
-    pieces = dissected.where("is_fragment AND status = 1").select("ord", "ts_us", key.alias("k"), "frag_offset", "frag_more", "payload")
+    with_file = ["file"] if "file" in dissected.columns else []
+    pieces = dissected.where("is_fragment AND status = 1").select("ord", "ts_us", *with_file, key.alias("k"), "frag_offset", "frag_more", "payload")
     w = Window.partitionBy("k").orderBy("ord")
     limit = F.when(F.col("k.l3_version") == 4, options.timeout_v4_us).otherwise(options.timeout_v6_us)
-    late = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) > limit, F.lit(False))
-    pieces = pieces.withColumn("late", late).sortWithinPartitions("k", "ord")
+    # the first fragment of a key or after a pause; the window also states by what, and in which order, rows must lie
+    fresh = (F.row_number().over(w) == 1) | F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) > limit, F.lit(False))
+    pieces = pieces.withColumn("fresh", fresh)
+    names = ["ord", "ts_us", "k", "frag_offset", "frag_more", "payload", "fresh"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, whole = None, None
+        whole = Datagram(options.most_bytes)
         for batch in batches:
-            out = []
-            for o, ts, k, start, more, data, gap in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ord", "ts_us", "k", "frag_offset", "frag_more", "payload", "late")), strict=True):
-                if k != current or gap:
-                    current, whole = k, Datagram(options.most_bytes)
+            out, at = [], []
+            rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True)
+            for i, (o, ts, k, start, more, data, fresh) in enumerate(rows):
+                if fresh:
+                    whole = Datagram(options.most_bytes)
                 found = whole.add(start, more, data or b"")
                 if found is not None:
+                    at.append(i)
                     out.append((o, ts, "RAW", rebuilt(k["l3_version"], k["src"], k["dst"], k["frag_proto"], found)))
                     whole = Datagram(options.most_bytes)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["ord", "ts_us", "dlt", "pkt"])
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
+            columns += [batch.column(batch.schema.get_field_index(c)).take(pa.array(at, pa.int64())) for c in with_file]
+            yield pa.RecordBatch.from_arrays(columns, ["ord", "ts_us", "dlt", "pkt", *with_file])
+
+    return pieces.mapInArrow(run, "ord long, ts_us long, dlt string, pkt binary" + ", file string" * len(with_file))
+
 
-    return pieces.mapInArrow(run, "ord long, ts_us long, dlt string, pkt binary")
+def maybe_fragment(packets: DataFrame) -> DataFrame:
+    """Without the Ethernet frames that are plainly no fragments: IPv4 that has no fragment bits or tunnel, IPv6 that begins with TCP or UDP."""
+    at = lambda off, n: headers.number("pkt", off, n)
+    plain4 = (at(12, 2) == 0x0800) & (at(20, 2) % 0x4000 == 0) & ~at(23, 1).isin(4, 41)
+    plain6 = (at(12, 2) == 0x86DD) & at(20, 1).isin(6, 17)
+    return packets.where(~F.coalesce((F.col("dlt") == "EN10MB") & (plain4 | plain6), F.lit(False)))
 
 
 def dissect(packets: DataFrame, options: Options | None = None) -> DataFrame:
-    """Dissection of whole packets and of rebuilt datagrams (status 2); fragments stay with status 1."""
-    first = headers.dissect(packets.select("ord", "ts_us", "dlt", "pkt"))
-    again = headers.dissect(reassemble(first, options), "L3").withColumn("status", F.when(F.col("status") == 0, 2).otherwise(F.col("status")))
-    return first.unionByName(again)
+    """Dissection of whole packets and of rebuilt datagrams (status 2); fragments stay with status 1. ``file`` is kept where it is given."""
+    own = packets.select("ord", "ts_us", "dlt", "pkt", *(["file"] if "file" in packets.columns else []))
+    again = headers.dissect(reassemble(headers.dissect(maybe_fragment(own)), options), "L3")
+    again = again.withColumn("status", F.when(F.col("status") == 0, 2).otherwise(F.col("status")))
+    return headers.dissect(own).unionByName(again)

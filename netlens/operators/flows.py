@@ -23,6 +23,15 @@ def flow_key(src="src", sport="sport", dst="dst", dport="dport", proto="proto")
     return F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.col(proto).alias("proto"))
 
 
+#: Name of the column that numbers the packets of a flow from 1.
+PLACE = "__place"
+
+
+def with_place(rows: DataFrame) -> DataFrame:
+    """Sessionized rows as a pass over flows needs them: a flow lies together, in order, and ``PLACE`` tells where it begins."""
+    return rows.withColumn(PLACE, F.row_number().over(Window.partitionBy("flow_key", "seg").orderBy("ord")))
+
+
 def has(flag: int) -> Column:
     return F.coalesce(F.col("tcp_flags").bitwiseAND(flag) != 0, F.lit(False))
 
@@ -48,13 +57,7 @@ def sessionize(packets: DataFrame, idle_us: int = IDLE_US, fin_closes: bool = Fa
     rows = rows.withColumn("__break", F.col("__gap") | F.coalesce(reopened, F.lit(False)))
     rows = rows.withColumn("seg", F.sum(F.col("__break").cast("int")).over(so_far).cast("int"))
     if fin_closes:
-        s = Window.partitionBy("flow_key", "seg").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-        forward = F.struct(F.col("src"), F.col("sport")) == F.col("flow_key.lo")
-        both = F.coalesce(F.max(has(FIN) & forward).over(s), F.lit(False)) & F.coalesce(F.max(has(FIN) & ~forward).over(s), F.lit(False))
-        rows = rows.withColumn("__done", both)
-        first_after = F.col("__done") & ~F.coalesce(F.lag("__done").over(Window.partitionBy("flow_key", "seg").orderBy("ord")), F.lit(False))
-        rows = rows.withColumn("__cut", first_after)
-        rows = rows.withColumn("seg", (F.col("seg") + F.sum(F.col("__cut").cast("int")).over(so_far)).cast("int")).drop("__done", "__cut")
+        rows = _closed(rows)
     flow = Window.partitionBy("flow_key", "seg").orderBy("ord")
     first = F.first(F.struct("src", "sport", "ord")).over(flow)
     rows = rows.withColumn("__first", first)
@@ -64,6 +67,33 @@ def sessionize(packets: DataFrame, idle_us: int = IDLE_US, fin_closes: bool = Fa
     }).drop("__gap", "__from", "__rst", "__syn", "__break", "__first")
 
 
+def _closed(rows: DataFrame) -> DataFrame:
+    """Raises ``seg`` after each packet that completes a FIN in both directions, in one pass over the packets of a key."""
+    w = Window.partitionBy("flow_key").orderBy("ord")
+    forward = F.struct(F.col("src"), F.col("sport")) == F.col("flow_key.lo")
+    rows = rows.withColumns({PLACE: F.row_number().over(w), "__way": F.when(has(FIN) & (F.col("proto") == 6), F.when(forward, 1).otherwise(2)).otherwise(0)})
+    kept = [f for f in rows.schema.fields if f.name not in (PLACE, "__way")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, fins, last = 0, 0, 0
+        for batch in batches:
+            segs = []
+            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
+            for place, way, seg in zip(get(PLACE), get("__way"), get("seg"), strict=True):
+                if place == 1:
+                    cuts, fins, last = 0, 0, seg
+                if fins == 3:
+                    cuts, fins = cuts + (seg == last), 0
+                if seg != last:
+                    fins, last = 0, seg
+                fins |= way
+                segs.append(seg + cuts)
+            columns = [pa.array(segs, pa.int32()) if f.name == "seg" else batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept))
+
+
 def round_trips(rows: DataFrame) -> DataFrame:
     """Adds rtt (us) and rtt_of (direction) where a packet measures one.
 
@@ -126,23 +156,29 @@ def packet_times(rows: DataFrame, most: int = 10) -> DataFrame:
     return out.select("flow_id", "dir", F.transform("p", lambda x: x["len"]).alias("lengths"), F.transform("p", lambda x: x["dt"]).alias("times"))
 
 
-def cap(rows: DataFrame, most: int, strategy: str = "skip", idle_us: int = IDLE_US) -> DataFrame:
+def cap(rows: DataFrame, most: int, strategy: str = "skip", idle_us: int = IDLE_US, slices: int = 16) -> DataFrame:
     """ord, admitted, evicted: what a table of at most ``most`` live flows does with each packet.
 
     ``skip`` refuses packets of new flows when the table is full; ``evict`` removes the
     flow that was idle longest (earliest created on ties) and ``evicted`` names it by the
-    ord of its first packet. The rule depends on the order of all packets, so this runs in
-    one task by nature; it reads three narrow columns and holds ``most`` flows.
+    ord of its first packet. The rule depends on the order of all packets of a table, so the
+    table is divided among ``slices`` by the hash of the flow key, each with its share of
+    ``most`` and a task of its own, as among workers. ``slices=1`` is one table for all: one
+    task, which reads three narrow columns in order and holds ``most`` flows.
     """
     if strategy not in ("skip", "evict"):
         raise ValueError(strategy)
-    narrow = rows.select("ord", "ts_us", F.xxhash64("flow_key").alias("key")).repartition(1).sortWithinPartitions("ord")
+    share = -(-most // slices)
+    narrow = rows.select("ord", "ts_us", F.xxhash64("flow_key").alias("key")).withColumn("slice", F.pmod("key", F.lit(slices)).cast("int"))
+    narrow = narrow.withColumn(PLACE, F.row_number().over(Window.partitionBy("slice").orderBy("ord")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live: dict[int, tuple[int, int]] = {}  # key: last time, first ord; in order of last use
         for batch in batches:
             admitted, evicted = [], []
-            for o, ts, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for o, ts, key, _, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place == 1:
+                    live = {}
                 gone = None
                 while live:
                     oldest = next(iter(live))
@@ -150,7 +186,7 @@ def cap(rows: DataFrame, most: int, strategy: str = "skip", idle_us: int = IDLE_
                         break
                     del live[oldest]
                 known = live.pop(key, None)
-                if known is None and len(live) >= most:
+                if known is None and len(live) >= share:
                     if strategy == "skip":
                         admitted.append(False)
                         evicted.append(None)
@@ -162,3 +198,9 @@ def cap(rows: DataFrame, most: int, strategy: str = "skip", idle_us: int = IDLE_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(admitted, pa.bool_()), pa.array(evicted, pa.int64())], ["ord", "admitted", "evicted"])
 
     return narrow.mapInArrow(run, "ord long, admitted boolean, evicted long")
+
+
+def refused(rows: DataFrame, most: int, idle_us: int = IDLE_US, slices: int = 16) -> DataFrame:
+    """The rows with status -4 where a full table of flows refused them."""
+    out = cap(rows, most, "skip", idle_us, slices).where("NOT admitted").select("ord", F.lit(True).alias("__refused"))
+    return rows.join(out, "ord", "left").withColumn("status", F.when(F.col("__refused"), -4).otherwise(F.col("status"))).drop("__refused")

@@ -83,7 +83,7 @@ def _l2(b: _Bytes, dlt: list[str | None], status: np.ndarray) -> tuple[np.ndarra
         tap = np.where(radio, b.u8(zero + 2) | b.u8(zero + 3) << 8, 0)
         control = b.u8(tap)
         qos = (control & 0x80) != 0
-        header = tap + 24 + np.where(qos, 2, 2)
+        header = tap + 24 + np.where(qos, 2, 0)
         data_frame = ((control >> 2) & 3) == 2
         bad_fcs = radio & ((b.u8(zero + 4) & 2) != 0) & ((b.u8(zero + 16) & 0x40) != 0)
         good = either & data_frame & ~bad_fcs & (b.u8(header) == 0xAA)

@@ -1,7 +1,8 @@
 """Identification of application protocols, per flow and in order of arrival.
 
-One pass over packets that lie by flow and in order (which they do after
-``flows.sessionize``) keeps a small state for the flow it is in: the protocols that are
+One pass over packets that lie by flow and in order (a window says so, so that the planner
+keeps the distribution of ``flows.sessionize`` or makes it anew) keeps a small state for the
+flow it is in: the protocols that are
 still possible, those found so far, and what stateful dissectors remember. The protocols
 found belong to the flow, so every later packet reports them too. With ``reorder``, TCP
 payloads pass through the tracker of ``tcp`` first.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from netlens import catalog
 from netlens.operators import dissectors as d
-from netlens.operators import fieldwork
+from netlens.operators import fieldwork, flows
 from netlens.operators.tcp import Tracker
 
 SCHEMA = "protocols array<string>, tcp_status string, l7_length int, fields map<string,string>, http_headers array<struct<key:string,value:string>>"
@@ -101,18 +102,18 @@ def classify(rows: DataFrame, config: Config | None = None) -> DataFrame:
     """
     config = config or Config()
     wanted = frozenset(config.fields)
-    ordered = rows.sortWithinPartitions("flow_key", "seg", "ord")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields), SCHEMA])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), SCHEMA])
+    ordered = flows.with_place(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, current, flow = config.tops(), None, None
+        tops, flow = config.tops(), Flow([])
         pairs = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
             stacks, statuses, lengths, fields, headers = [], [], [], [], []
-            for flow_id, way, proto, sport, dport, src, dst, payload, flags, seq, ack in zip(*map(get, ("flow_id", "dir", "proto", "sport", "dport", "src", "dst", "payload", "tcp_flags", "seq", "ack")), strict=True):
-                if flow_id != current:
-                    current, flow = flow_id, Flow(list(tops))
+            for place, way, proto, sport, dport, src, dst, payload, flags, seq, ack in zip(*map(get, (flows.PLACE, "dir", "proto", "sport", "dport", "src", "dst", "payload", "tcp_flags", "seq", "ack")), strict=True):
+                if place == 1:
+                    flow = Flow(list(tops))
                 payload, status, found = payload or b"", None, {}
                 if proto == 6:
                     flow.seen_syn |= bool(flags & 2)
@@ -136,7 +137,8 @@ def classify(rows: DataFrame, config: Config | None = None) -> DataFrame:
                 headers.append(found.pop("HTTP_HEADERS", None))
                 fields.append(list(found.items()))
             added = [pa.array(stacks, pa.list_(pa.string())), pa.array(statuses, pa.string()), pa.array(lengths, pa.int32()), pa.array(fields, pa.map_(pa.string(), pa.string())), pa.array([None if x is None else [{"key": k, "value": v} for k, v in x] for x in headers], pairs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "protocols", "tcp_status", "l7_length", "fields", "http_headers"])
+            kept = [c for c in batch.schema.names if c != flows.PLACE]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *added], [*kept, "protocols", "tcp_status", "l7_length", "fields", "http_headers"])
 
     return ordered.mapInArrow(run, schema)
 

@@ -96,15 +96,17 @@ def streams(rows):
     """ord, flow_id, dir, status, data of TCP packets in sessionized rows; ``data`` is what is now in order."""
     import pyarrow as pa
 
-    ordered = rows.where("proto = 6").sortWithinPartitions("flow_key", "seg", "ord").select("ord", "flow_id", "dir", "seq", "ack", "tcp_flags", "payload")
+    from netlens.operators import flows
+
+    ordered = flows.with_place(rows.where("proto = 6")).select("ord", "flow_id", "dir", flows.PLACE, "seq", "ack", "tcp_flags", "payload")
 
     def run(batches):
-        current, tracker = None, Tracker()
+        tracker = Tracker()
         for batch in batches:
             statuses, data = [], []
-            for _, flow, way, seq, ack, flags, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if flow != current:
-                    current, tracker = flow, Tracker()
+            for way, place, seq, ack, flags, payload in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                if place == 1:
+                    tracker = Tracker()
                 status, fresh = tracker.take(way, seq, ack, flags, payload or b"")
                 statuses.append(status)
                 data.append(fresh)

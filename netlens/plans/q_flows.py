@@ -45,10 +45,11 @@ ORACLE_SQL["flow_direction"] = f"WITH {_KEYED} SELECT flow_id, count(*) FILTER (
 
 def flow_summary(spark, sf_dir):
     """One row per flow: who, what and how much, in both directions."""
-    rows = flows.statistics(_rows(spark, sf_dir), ["packets", "bytes", "l7_packets", "l7_bytes", "timestamp_first", "timestamp_last"])
+    links = {"l2": F.min_by("dlt", "ord"), "l3": F.min_by(F.when(F.col("l3_version") == 4, "IPv4").otherwise("IPv6"), "ord")}
+    rows = flows.statistics(_rows(spark, sf_dir), ["packets", "bytes", "l7_packets", "l7_bytes", "timestamp_first", "timestamp_last"], links)
     rows = rows.withColumns({"addr_src": names.ip_text(F.col("src")), "addr_dst": names.ip_text(F.col("dst")), "l4": names.l4_name(F.col("proto"))})
     counts = [c for c in rows.columns if c.endswith(("_0", "_1"))]
-    return rows.select("flow_id", F.lit("EN10MB").alias("l2"), F.lit("IPv4").alias("l3"), "l4", "addr_src", "addr_dst", F.col("sport").alias("port_src"), F.col("dport").alias("port_dst"), *counts)
+    return rows.select("flow_id", "l2", "l3", "l4", "addr_src", "addr_dst", F.col("sport").alias("port_src"), F.col("dport").alias("port_dst"), *counts)
 
 
 QUERIES["flow_summary"] = flow_summary
@@ -115,18 +116,38 @@ FROM ({fx.PACKETS_SQL}) WHERE proto = 6
 """
 
 
-def flow_cap(strategy):
-    def run(spark, sf_dir):
-        rows = headers.dissect(fx.packets(spark, sf_dir)).where("status = 0").withColumn("flow_key", flows.flow_key())
-        found = flows.cap(rows, 1000, strategy)
-        return found.agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"), F.count("evicted").alias("evicted"))
+_LIVE, _CAP, _PAUSE = 8, 5, 1000
+
+
+def round_robin(spark, sf_dir):
+    """Packets of ``_LIVE`` flows in turn, with a pause that ends all of them after each ``_PAUSE``."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ord"))
+    rows = rows.withColumns({
+        "ts_us": F.col("ord") * 1000 + F.floor(F.col("ord") / _PAUSE) * 31_000_000, "src": F.lit(167772161) + F.col("ord") % _LIVE, "dst": F.lit(3232235777), "sport": F.lit(4000), "dport": F.lit(7000),
+        "proto": F.lit(17), "flags": F.lit(0), "win": F.lit(0),
+    })
+    return headers.dissect(fx.payload_packets(rows, F.lit(bytearray(b"x")))).withColumn("flow_key", flows.flow_key())
+
 
-    return run
+def flow_cap(strategy):
+    return lambda spark, sf_dir: flows.cap(round_robin(spark, sf_dir), _CAP, strategy, slices=1)
 
 
 QUERIES |= {"flow_cap_skip": flow_cap("skip"), "flow_cap_evict": flow_cap("evict")}
-for _k in ("flow_cap_skip", "flow_cap_evict"):
-    ORACLE_SQL[_k] = f"SELECT count(*) AS n, count(*) AS admitted, 0 AS evicted FROM ({fx.PACKETS_SQL})"
+ORACLE_SQL["flow_cap_skip"] = f"SELECT event_id AS ord, event_id % {_LIVE} < {_CAP} AS admitted, NULL::BIGINT AS evicted FROM events"
+# the flow whose turn it is was always evicted by then, so each packet needs a place, and takes that of the packet _CAP before
+ORACLE_SQL["flow_cap_evict"] = f"SELECT event_id AS ord, true AS admitted, CASE WHEN event_id % {_PAUSE} >= {_CAP} THEN event_id - {_CAP} END AS evicted FROM events"
+
+
+def flow_refused(spark, sf_dir):
+    found = flows.refused(round_robin(spark, sf_dir), _CAP, slices=1)
+    return found.groupBy("status", names.status_message(F.col("status")).alias("message")).agg(F.count("*").alias("n"))
+
+
+QUERIES["flow_cap_status"] = flow_refused
+ORACLE_SQL["flow_cap_status"] = f"""
+SELECT CASE WHEN event_id % {_LIVE} < {_CAP} THEN 0 ELSE -4 END AS status, CASE WHEN event_id % {_LIVE} < {_CAP} THEN 'Everything is ok' ELSE 'The maximum number of flows has been reached' END AS message, count(*) AS n FROM events GROUP BY 1, 2
+"""
 
 
 def top_talkers(spark, sf_dir):
@@ -176,11 +197,3 @@ ORACLE_SQL["request_response_join"] = f"""
 WITH {_KEYED}, q AS (SELECT ord, flow_id, ts_us FROM r WHERE d = 0)
 SELECT a.ord, q.ord AS request, a.ts_us - q.ts_us AS wait_us FROM (SELECT * FROM r WHERE d = 1) a ASOF JOIN q ON a.flow_id = q.flow_id AND a.ord > q.ord
 """
-
-
-def light_termination(spark, sf_dir):
-    rows = headers.dissect(fx.packets(spark, sf_dir)).where("status = 0 AND proto = 6")
-    return flows.sessionize(rows, fin_closes=True).groupBy("flow_id").agg(F.count("*").alias("packets"))
-
-
-QUERIES["tcp_light_termination"] = light_termination

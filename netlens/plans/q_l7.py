@@ -143,22 +143,37 @@ SELECT stack, count(*) AS flows FROM events JOIN (VALUES {", ".join(str((_IDS[k]
 
 def protocol_enable(spark, sf_dir):
     """With two protocols enabled, all else is guessed by port or unknown."""
-    found = _last(_classified(conversations(spark, sf_dir), Config(protocols=("STUN", "SSH"), reorder=False)))
-    return found.where("stack in ('STUN', 'SSH')").groupBy("stack").agg(F.count("*").alias("flows"))
+    found = _last(_classified(conversations(spark, sf_dir), Config(protocols=("STUN", "BGP"), reorder=False)))
+    return found.groupBy((F.col("event_id") % _KINDS).alias("kind"), "stack").agg(F.count("*").alias("flows"))
+
+
+def _guessed() -> list[tuple[int, int, int, str]]:
+    """By kind: transport, direction of its first packet, and what its server port stands for."""
+    out = []
+    for name, (proto, cport, sport, packets) in CONVERSATIONS.items():
+        found = l7.guess(proto, sport, cport or 0)
+        shown = catalog.DISPLAY[name] if name in ("STUN", "BGP") else catalog.DISPLAY[found] if found else "Unknown"
+        out.append((_IDS[name], proto, packets[0][0] if name not in ("STUN", "BGP") and cport is None else 9, shown))
+    return [*out, (_KINDS - 1, 17, 0, "Unknown")]
 
 
 QUERIES["protocol_enable"] = protocol_enable
-ORACLE_SQL["protocol_enable"] = f"SELECT CASE event_id % {_KINDS} WHEN {_IDS['SSH']} THEN 'SSH' ELSE 'STUN' END AS stack, count(*) AS flows FROM events WHERE event_id % {_KINDS} IN ({_IDS['SSH']}, {_IDS['STUN']}) GROUP BY 1"
+# a client's own port may stand for a protocol too (28080 and 28081, TCP): the port of the sender counts first
+ORACLE_SQL["protocol_enable"] = f"""
+SELECT event_id % {_KINDS} AS kind, CASE WHEN proto = 6 AND 20000 + event_id % 9000 IN (28080, 28081) AND (way = 0 OR (way = 1 AND shown = 'Unknown')) THEN 'Monero' ELSE shown END AS stack, count(*) AS flows
+FROM events JOIN (VALUES {", ".join(map(str, _guessed()))}) AS t(kind, proto, way, shown) ON event_id % {_KINDS} = kind GROUP BY 1, 2
+"""
 
 
 def max_trials(spark, sf_dir):
-    """One trial: conversations that need more are guessed by their ports."""
-    found = _last(_classified(conversations(spark, sf_dir), Config(max_trials=1, reorder=False)))
-    return found.where(F.col("event_id") % _KINDS == _IDS["SMTP"])
+    """A conversation that needs two packets, with and without a limit of one trial."""
+    rows = conversations(spark, sf_dir, _IDS["WHATSAPP"])
+    both = [_last(_classified(rows, Config(max_trials=n, reorder=False))).withColumn("trials", F.lit(n)) for n in (0, 1)]
+    return both[0].unionByName(both[1])
 
 
 QUERIES["max_trials"] = max_trials
-ORACLE_SQL["max_trials"] = f"SELECT event_id, 'SMTP' AS stack FROM events WHERE event_id % {_KINDS} = {_IDS['SMTP']}"
+ORACLE_SQL["max_trials"] = f"SELECT event_id, CASE trials WHEN 0 THEN 'WhatsApp' ELSE 'Unknown' END AS stack, trials FROM events, (VALUES (0), (1)) AS t(trials) WHERE event_id % {_KINDS} = {_IDS['WHATSAPP']}"
 
 
 # -- fields ------------------------------------------------------------------
@@ -192,15 +207,41 @@ QUERIES["http_request"] = http_request
 ORACLE_SQL["http_request"] = f"SELECT n AS page_id, '/' || regexp_replace(path, '^/', '') AS http_url, '1' AS http_method, '0' AS http_msg_type, '1' AS http_version_minor, host AS host_header FROM {_PAGES_SQL}"
 
 
-def http_response(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("n"), F.encode(F.col("html"), "UTF-8").alias("html")).withColumn("html", F.substring("html", 1, 20000))
+def exchanges(spark, sf_dir, size: int = 1400):
+    """Handshake, request and response of every page: its whole html in segments of ``size`` bytes, of which each two come in the wrong order."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("n"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
     head = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: "), F.length("html").cast("string"), F.lit("\r\n\r\n")), "UTF-8")
-    found, fields = _carried(pages, F.concat(head, F.col("html")), 6, 80, ["HTTP_STATUS_CODE", "HTTP_MSG_TYPE", "HTTP_BODY"])
-    return found.select(F.col("ord").alias("page_id"), *fields[:2], F.md5(F.encode(F.col("fields")["HTTP_BODY"], "ISO-8859-1")).alias("body_md5"))
+    pages = pages.select("n", F.concat(head, "html").alias("message"))
+    ask = b"GET / HTTP/1.1\r\nHost: a.example\r\n\r\n"
+    steps = [(0, 0, 2, 100, 0, b""), (1, 1, 18, 9000, 101, b""), (2, 0, 16, 101, 9001, b""), (3, 0, 24, 101, 9001, ask)]
+    cells = [F.struct(*(F.lit(x if not isinstance(x, bytes) else bytearray(x)).alias(k) for k, x in zip(("step", "way", "flags", "seq", "ack", "payload"), row, strict=True))) for row in steps]
+    opening = pages.select("n", F.explode(F.array(*cells)).alias("s")).select("n", "s.*")
+    k = F.explode(F.sequence(F.lit(0), F.floor((F.length("message") - 1) / size).cast("int"))).alias("k")
+    data = pages.select("n", "message", k)
+    data = data.select(
+        "n", (F.col("k").bitwiseXOR(1) + 4).alias("step"), F.lit(1).alias("way"), F.lit(24).alias("flags"), (F.lit(9001) + F.col("k") * size).alias("seq"),
+        F.lit(101 + len(ask)).alias("ack"), F.substring("message", F.col("k") * size + 1, F.lit(size)).alias("payload"),
+    )
+    rows, out = opening.unionByName(data), F.col("way") == 0
+    client, server, port = F.lit(167772161) + F.col("n") % 1000000, F.lit(3232235777), 20000 + F.col("n") % 8000
+    return fx.payload_packets(
+        rows.select(
+            (F.col("n") * 1_000_000 + F.col("step")).alias("ord"), (F.col("n") * 1000).alias("ts_us"), "n", F.when(out, client).otherwise(server).alias("src"), F.when(out, server).otherwise(client).alias("dst"),
+            F.when(out, port).otherwise(F.lit(80)).alias("sport"), F.when(out, F.lit(80)).otherwise(port).alias("dport"), F.lit(6).alias("proto"), "flags", F.lit(8192).alias("win"), "seq", "ack", "payload",
+        ), F.col("payload"),
+    )
+
+
+def http_response(spark, sf_dir):
+    """Bodies over as many segments as they need, put in order first."""
+    wanted = ("HTTP_STATUS_CODE", "HTTP_MSG_TYPE", "HTTP_VERSION_MAJOR", "HTTP_BODY")
+    found = _classified(exchanges(spark, sf_dir), Config(fields=wanted, reorder=True)).where(F.col("fields")["HTTP_BODY"].isNotNull())
+    fields = [F.col("fields")[f].alias(f.lower()) for f in wanted[:3]]
+    return found.select(F.col("n").alias("page_id"), *fields, F.md5(F.encode(F.col("fields")["HTTP_BODY"], "ISO-8859-1")).alias("body_md5"))
 
 
 QUERIES["http_response"] = http_response
-ORACLE_SQL["http_response"] = "SELECT page_id, '200' AS http_status_code, '1' AS http_msg_type, md5(html) AS body_md5 FROM pages"
+ORACLE_SQL["http_response"] = "SELECT page_id, '200' AS http_status_code, '1' AS http_msg_type, '1' AS http_version_major, md5(coalesce(html, '')) AS body_md5 FROM pages"
 
 
 def dns_fields(spark, sf_dir):
@@ -236,13 +277,13 @@ SELECT n AS page_id, 'SSL' AS stack, host AS ssl_sni, '769' AS ssl_version, '771
 
 
 def quic_fields(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 50 = 0").select(F.col("event_id").alias("n"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("n"))
     found, fields = _carried(rows, F.lit(bytearray(quic_initial())), 17, 443, ["QUIC_VERSION", "QUIC_SNI", "QUIC_JA3"])
     return found.select(F.col("ord").alias("event_id"), F.array_join("protocols", ",").alias("stack"), *fields)
 
 
 QUERIES["quic5_initial"] = quic_fields
-ORACLE_SQL["quic5_initial"] = "SELECT event_id, 'QUIC5' AS stack, 'v1' AS quic_version, 'q.example.com' AS quic_sni, md5('771,4865-49199,0,,') AS quic_ja3 FROM events WHERE event_id % 50 = 0"
+ORACLE_SQL["quic5_initial"] = "SELECT event_id, 'QUIC5' AS stack, 'v1' AS quic_version, 'q.example.com' AS quic_sni, md5('771,4865-49199,0,,') AS quic_ja3 FROM events"
 
 
 def stun_address(spark, sf_dir):

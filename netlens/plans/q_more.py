@@ -47,13 +47,33 @@ QUERIES["flow_rst_reopen"] = rst_reopen
 ORACLE_SQL["flow_rst_reopen"] = f"WITH {_KEYED.replace('30000000', '1000000000000000')} SELECT proto, count(DISTINCT flow_id) AS flows, max(seg) AS most FROM r GROUP BY 1"
 
 
-def light(spark, sf_dir):
-    rows = headers.dissect(fx.packets(spark, sf_dir)).where("status = 0 AND proto = 17")
-    return flows.sessionize(rows, fin_closes=True).groupBy("flow_id").agg(F.count("*").alias("packets"))
+_CLOSING = [(0, 2), (0, 17), (1, 17), (0, 24), (1, 17), (0, 17), (1, 24)]
 
 
-QUERIES["flow_fin_closes_udp"] = light
-ORACLE_SQL["flow_fin_closes_udp"] = f"WITH {_KEYED} SELECT flow_id, count(*) AS packets FROM r WHERE proto = 17 GROUP BY 1"
+def closings(spark, sf_dir):
+    """Per event a conversation that is closed by both sides twice and goes on; as UDP the same packets close nothing."""
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(w).alias("way"), F.lit(f).alias("flags")) for i, (w, f) in enumerate(_CLOSING)])
+    rows = fx.columns(spark, sf_dir).select(F.col("ord").alias("n"), F.col("proto").cast("int").alias("proto"), F.explode(steps).alias("s")).select("n", "proto", "s.*")
+    out, mine = F.col("way") == 0, F.lit(20000) + F.col("n") % 9000
+    client, server = F.lit(167772161) + F.col("n"), F.lit(3232235777)
+    made = rows.select(
+        (F.col("n") * 8 + F.col("step")).alias("ord"), (F.col("n") * 1000).alias("ts_us"), F.when(out, client).otherwise(server).alias("src"), F.when(out, server).otherwise(client).alias("dst"),
+        F.when(out, mine).otherwise(F.lit(7000)).alias("sport"), F.when(out, F.lit(7000)).otherwise(mine).alias("dport"), "proto", "flags", F.lit(8192).alias("win"), F.lit(bytearray(b"ab")).alias("payload"),
+    )
+    return headers.dissect(fx.payload_packets(made, F.col("payload")))
+
+
+def _light(proto: int):
+    def run(spark, sf_dir):
+        rows = closings(spark, sf_dir).where(F.col("proto") == proto)
+        return flows.sessionize(rows, fin_closes=True).groupBy("flow_id").agg(F.count("*").alias("packets"), F.max("seg").alias("seg"))
+
+    return run
+
+
+QUERIES |= {"tcp_light_termination": _light(6), "flow_fin_closes_udp": _light(17)}
+ORACLE_SQL["tcp_light_termination"] = f"SELECT ord * 8 + first AS flow_id, n AS packets, seg FROM ({fx.PACKETS_SQL}), (VALUES (0, 3, 0), (3, 3, 1), (6, 1, 2)) AS t(first, n, seg) WHERE proto = 6"
+ORACLE_SQL["flow_fin_closes_udp"] = f"SELECT ord * 8 AS flow_id, 7 AS packets, 0 AS seg FROM ({fx.PACKETS_SQL}) WHERE proto = 17"
 
 
 def sticky(spark, sf_dir):
@@ -135,7 +155,7 @@ ORACLE_SQL["rtcp_receiver"] = "SELECT event_id, user_id::VARCHAR AS rtcp_receive
 def accuracy(spark, sf_dir):
     """A SIP request without From and To is one at low accuracy only."""
     text = b"INVITE sip:b@b SIP/2.0\r\nCall-ID: 1\r\n\r\n"
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 20 = 0").select(F.col("event_id").alias("n"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("n"))
     rows = rows.withColumns({"ord": F.col("n"), "ts_us": F.col("n"), "src": F.lit(167772161) + F.col("n"), "dst": F.lit(3232235777), "sport": F.lit(900), "dport": F.lit(7000), "proto": F.lit(17), "flags": F.lit(0), "win": F.lit(0)})
     packets = fx.payload_packets(rows, F.lit(bytearray(text)))
     both = [_classified(packets, Config(accuracy=a, protocols=("SIP",), reorder=False)).select(F.lit(a).alias("accuracy"), F.array_join("protocols", ",").alias("stack")) for a in ("low", "high")]
@@ -143,4 +163,4 @@ def accuracy(spark, sf_dir):
 
 
 QUERIES["accuracy_levels"] = accuracy
-ORACLE_SQL["accuracy_levels"] = "SELECT accuracy, CASE accuracy WHEN 'low' THEN 'SIP' ELSE 'Unknown' END AS stack, count(*) AS n FROM events, (VALUES ('low'), ('high')) AS t(accuracy) WHERE event_id % 20 = 0 GROUP BY 1"
+ORACLE_SQL["accuracy_levels"] = "SELECT accuracy, CASE accuracy WHEN 'low' THEN 'SIP' ELSE 'Unknown' END AS stack, count(*) AS n FROM events, (VALUES ('low'), ('high')) AS t(accuracy) GROUP BY 1"

@@ -179,6 +179,59 @@ def test_capture_files(spark, tmp_path):
     assert spark.table("captured").count() == 5
 
 
+def test_flows_run_on_over_files_in_any_order_of_writing(spark, tmp_path):
+    """Two flows that begin with the same number within their file, one of them going on in the next file."""
+    udp = lambda data, src, port: ip(struct.pack(">HHHH", 4000, port, 8 + len(data), 0) + data, 17, src=src)
+    stun = bytes.fromhex("000100002112a442") + b"transaction1"
+    ntp = b"\x23".ljust(48, b"\0")
+    a, b = b"\x0a\0\0\x07", b"\x0a\0\0\x08"
+    files = {"b.pcap": [(2_000_000, udp(ntp, b, 123)), (2_000_001, udp(b"\xff" * 9, a, 3478))], "a.pcap": [(1_000_000, udp(stun, a, 3478)), (1_500_000, udp(stun, a, 3478))]}
+    for name, rows in files.items():  # the first by name is written last
+        (tmp_path / name).write_bytes(pcap.build(rows, 101))
+    pcap.register(spark)
+    for packets in (pcap.read(spark, str(tmp_path)), spark.read.format("pcap").load(str(tmp_path))):
+        rows = flows.sessionize(defrag.dissect(packets).where("status in (0, 2)"))
+        found = l7.classify(rows.repartition(3, "sport")).orderBy("ord").collect()
+        assert [(bytes(r.src), r.protocols[0]) for r in found] == [(a, "STUN"), (a, "STUN"), (b, "NTP"), (a, "STUN")]
+        assert len({r.ord for r in found}) == 4 and len({r.flow_id for r in found}) == 2 and {r.file.split("/")[-1] for r in found} == set(files)
+
+
+def test_a_capture_stream_takes_every_file_once(spark, tmp_path):
+    """Files that come later sort before, and are moved in with an old date."""
+    import os
+
+    folder, away = tmp_path / "in", tmp_path / "away"
+    folder.mkdir()
+    away.mkdir()
+    pcap.register(spark)
+
+    def put(name, ts):
+        (away / name).write_bytes(pcap.build([(ts, b"x" * ts)]))
+        os.utime(away / name, (1, 1))
+        os.rename(away / name, folder / name)
+
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for name, ts in (("m.pcap", 5), ("a.pcap", 6), ("k.pcap", 7)):
+        put(name, ts)
+        tracker.to_files(spark.readStream.format("pcap").load(str(folder)), out, state).awaitTermination()
+        rows = spark.read.parquet(out).collect()
+        assert len(rows) == len({r.ord for r in rows}) == ts - 4
+    assert sorted(r.ts_us for r in spark.read.parquet(out).collect()) == [5, 6, 7]
+    (folder / "m.pcap").unlink()
+    put("z.pcap", 8)
+    with pytest.raises(Exception, match="removed or changed"):
+        tracker.to_files(spark.readStream.format("pcap").load(str(folder)), out, state).awaitTermination()
+
+
+def test_captures_are_written_and_read_back(spark, tmp_path):
+    pcap.register(spark)
+    rows = spark.createDataFrame([(i, i * 1000, bytes([i % 256]) * (i % 70)) for i in range(500)], "n long, ts_us long, pkt binary")
+    for _ in range(2):
+        rows.repartitionByRange(3, "n").sortWithinPartitions("n").write.format("pcap").mode("overwrite").save(str(tmp_path / "w"))
+    found = pcap.read(spark, str(tmp_path / "w")).orderBy("ord").collect()
+    assert [(r.ts_us, bytes(r.pkt)) for r in found] == [(i * 1000, bytes([i % 256]) * (i % 70)) for i in range(500)] and len({r.file for r in found}) == 3
+
+
 def flow_rows(spark, rows):
     return spark.createDataFrame(rows, "ord long, ts_us long, src binary, sport int, dst binary, dport int, proto int, tcp_flags int, payload_length int")
 
@@ -214,18 +267,25 @@ def test_sessions_follow_the_sequential_rule(spark):
 
 def test_fins_close_a_flow(spark):
     a, b = (b"\1\1\1\1", 1), (b"\2\2\2\2", 2)
-    rows = [(0, 0, *a, *b, 6, 2, 0), (1, 1, *a, *b, 6, 17, 0), (2, 2, *b, *a, 6, 17, 0), (3, 3, *a, *b, 6, 16, 0), (4, 4, *a, *b, 6, 16, 0)]
-    assert [x.seg for x in flows.sessionize(flow_rows(spark, rows), fin_closes=True).orderBy("ord").collect()] == [0, 0, 0, 1, 1]
+    flags = [(a, 2), (a, 17), (b, 17), (a, 16), (b, 17), (a, 17), (a, 16), (a, 17), (a, 17), (b, 16)]
+    rows = [(i, i, *x, *(b if x == a else a), 6, f, 0) for i, (x, f) in enumerate(flags)]
+    closed = flows.sessionize(flow_rows(spark, rows), fin_closes=True).orderBy("ord").collect()
+    assert [x.seg for x in closed] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 2] and [x.flow_id for x in closed] == [0, 0, 0, 3, 3, 3, 6, 6, 6, 6]
     assert {x.seg for x in flows.sessionize(flow_rows(spark, rows)).collect()} == {0}
+    late = [(*r[:1], r[1] + 40_000_000 * (i > 1), *r[2:]) for i, r in enumerate(rows)]  # a pause between the two sides
+    assert [x.seg for x in flows.sessionize(flow_rows(spark, late), fin_closes=True).orderBy("ord").collect()] == [0, 0, 1, 1, 1, 1, 2, 2, 2, 2]
 
 
 def test_caps(spark):
     rows = [(i, i * 1000, bytes([1, 1, 1, i % 4]), 1, b"\2\2\2\2", 2, 17, 0, 1) for i in range(8)]
     keyed = flow_rows(spark, rows).withColumn("flow_key", flows.flow_key())
-    skip = {x.ord: x.admitted for x in flows.cap(keyed, 2, "skip").collect()}
+    skip = {x.ord: x.admitted for x in flows.cap(keyed, 2, "skip", slices=1).collect()}
     assert skip == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: False}
-    evict = {x.ord: x.evicted for x in flows.cap(keyed, 2, "evict").collect()}
+    evict = {x.ord: x.evicted for x in flows.cap(keyed, 2, "evict", slices=1).collect()}
     assert evict == {0: None, 1: None, 2: 0, 3: 1, 4: 2, 5: 3, 6: 4, 7: 5}
+    sliced = flows.cap(keyed, 4, "skip", slices=4)  # a place for each slice
+    assert sliced.where("admitted").count() >= 2 and sliced.count() == 8
+    assert {x.status for x in flows.refused(keyed.withColumn("status", F.lit(0)), 2, slices=1).collect()} == {0, -4}
 
 
 def test_directions_are_symmetric(spark):

@@ -11,7 +11,9 @@ payloads pass through the tracker of ``tcp`` first.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -143,6 +145,31 @@ def classify(rows: DataFrame, config: Config | None = None) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
+def tagged(rows: DataFrame, rules: dict[str, DataFrame], config: Config | None = None) -> DataFrame:
+    """``classify`` with ``tags``: of each packet those of its fields by the rules of a field, in the order of fields, 128 at most.
+
+    Rules of a field imply that it is extracted. ``HTTP_HEADERS`` is looked up by the key of its rules.
+    """
+    from netlens.operators import tags
+
+    config = config or Config()
+    found = classify(rows, replace(config, fields=tuple(dict.fromkeys([*config.fields, *rules]))))
+    order = [f"{p}_{f}" for p, f, _ in catalog.fields()]
+    parts = []
+    for name, own in rules.items():
+        if name == "HTTP_HEADERS":
+            part = tags.of_pairs(found.where("http_headers is not null"), own, "http_headers", ["ord"])
+            part = part.select("ord", F.posexplode("tags").alias("at", "tag"))
+        else:
+            values = found.select("ord", F.col("fields")[name].alias("value")).where("value is not null")
+            part = tags.lookup(values, own, "value", ["ord"]).select("ord", F.lit(0).alias("at"), "tag")
+        parts.append(part.select("ord", F.lit(order.index(name)).alias("field"), "at", "tag"))
+    each = reduce(DataFrame.unionByName, parts)
+    listed = F.array_sort(F.collect_list(F.struct("field", "at", "tag")))  # of one packet
+    by_packet = each.groupBy("ord").agg(F.slice(F.transform(listed, lambda x: x["tag"]), 1, tags.MOST_TAGS).alias("tags"))
+    return found.join(by_packet, "ord", "left")
+
+
 def protocol_counts(classified: DataFrame) -> DataFrame:
     """Packets per protocol of the stack; those of flows without one count as unknown."""
     shown = F.when(F.size("protocols") > 0, F.col("protocols")).otherwise(F.array(F.lit(catalog.UNKNOWN)))
@@ -164,3 +191,27 @@ def bodies(classified: DataFrame, content_type: str) -> DataFrame:
     """ord, flow_id and body (BINARY) of HTTP messages of a content type; needs the fields HTTP_BODY and HTTP_HEADERS."""
     found = classified.where(F.lower(header("content-type")).startswith(content_type.lower()))
     return found.select("ord", "flow_id", F.encode(F.col("fields")["HTTP_BODY"], "ISO-8859-1").alias("body")).where(F.col("body").isNotNull())
+
+
+_SQL_TYPES = {"N": "bigint", "S": "string"}
+
+
+def typed(classified: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Adds a STRUCT column for each protocol of ``fields`` (PROTOCOL_FIELD), in lower case: numbers as BIGINT, bodies as BINARY, headers as pairs.
+
+    A struct is null where none of its fields was found.
+    """
+    kinds = {f"{p}_{f}": (p, f, t) for p, f, t in catalog.fields()}
+    columns: dict[str, list] = {}
+    for name in fields:
+        protocol, field_, kind = kinds[name]
+        raw = F.col("fields")[name]
+        if kind == "M":
+            value = F.col("http_headers")
+        elif field_ == "BODY":
+            value = F.encode(raw, "ISO-8859-1")
+        else:
+            value = raw.cast(_SQL_TYPES[kind])
+        columns.setdefault(protocol.lower(), []).append(value.alias(field_.lower()))
+    found = {p: F.when(reduce(or_, [c.isNotNull() for c in cs]), F.struct(*cs)) for p, cs in columns.items()}
+    return classified.withColumns(found)

@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from netlens.functions import names
 from netlens.operators import defrag, flows, headers, l7
 from netlens.operators.l7 import Config
+from netlens.plans import fixtures as fx
+from netlens.plans.q_flows import _ADDR, _KEYED
 from netlens.plans.q_l7 import _KINDS, CONVERSATIONS, STACKS, _ID_NAMES, conversations
 from netlens.plans.q_streams import shared_folder
 from netlens.sources import pcap
@@ -88,3 +91,28 @@ ORACLE_SQL["flow_summary_l7"] = f"""
 SELECT event_id, 'EN10MB' AS l2, 'IPv4' AS l3, proto AS l4, stack AS l7, n AS packets, size AS l7_bytes
 FROM events JOIN (VALUES {", ".join(f"({k}, {proto}, '{stack}', {len(CONVERSATIONS[name][3]) if name else 1}, {size})" for (k, proto, stack, _, size), name in zip(_SIZES, [*CONVERSATIONS, None], strict=True))}) AS t(kind, proto, stack, n, size) ON event_id % {_KINDS} = kind
 """
+
+
+def stream_flow_records(spark, sf_dir):
+    """Flows of a stream of capture files as they end. Packets of the far future let the watermark pass them all, in runs that go on from the checkpoint."""
+    folder = f"{shared_folder(spark)}/flows-{uuid.uuid4().hex}"
+    pcap.register(spark)
+    schema = "ord long, ts_us long, src long, dst long, sport int, dport int, proto int, flags int, win int"
+    later = [spark.createDataFrame([(0, (1 << 50) + k, 1, 2, 3, 4, 17, 0, 0)], schema) for k in range(2)]
+    for rows in (fx.packets(spark, sf_dir), *(fx.payload_packets(x, F.lit(bytearray(b"end"))) for x in later)):
+        rows.repartitionByRange(_FILES, "ord").sortWithinPartitions("ord").select("ts_us", "pkt").write.format("pcap").mode("append").save(folder)
+        found = headers.dissect(spark.readStream.format("pcap").load(folder)).where("status = 0")
+        size = (F.col("l3_length") + F.col("l4_bytes")).cast("long").alias("size")
+        ends = [names.ip_text(F.col(c)).alias(c) for c in ("src", "dst")]
+        records = tracker.flow_records(found.select("ord", "ts_us", *ends, "sport", "dport", "proto", F.coalesce("tcp_flags", F.lit(0)).alias("flags"), size))
+        tracker.to_files(records, f"{folder}-out/rows", f"{folder}-out/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}-out/rows").drop("flow_id", "reason")
+
+
+QUERIES["stream_flow_records"] = stream_flow_records
+ORACLE_SQL["stream_flow_records"] = f"""
+WITH {_KEYED}
+SELECT {_ADDR.format("arg_min(src, ord)")} AS src, arg_min(sport, ord)::INT AS sport, {_ADDR.format("arg_min(dst, ord)")} AS dst, arg_min(dport, ord)::INT AS dport, proto, count(*) FILTER (d = 0) AS packets_0,
+  count(*) FILTER (d = 1) AS packets_1, coalesce(sum(bytes) FILTER (d = 0), 0)::BIGINT AS bytes_0, coalesce(sum(bytes) FILTER (d = 1), 0)::BIGINT AS bytes_1, min(ts_us) AS first_us, max(ts_us) AS last_us
+FROM r GROUP BY flow_id, proto
+"""

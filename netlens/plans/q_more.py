@@ -9,7 +9,7 @@ from netlens.operators import flows, headers, l7
 from netlens.operators.l7 import Config
 from netlens.plans import fixtures as fx
 from netlens.plans.q_flows import _KEYED
-from netlens.plans.q_l7 import _ID_NAMES, _KINDS, _PAGES_SQL, _carried, _classified, _pages, conversations
+from netlens.plans.q_l7 import _ID_NAMES, _KINDS, _PAGES_SQL, _carried, _classified, _pages, conversations, exchanges
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -164,3 +164,47 @@ def accuracy(spark, sf_dir):
 
 QUERIES["accuracy_levels"] = accuracy
 ORACLE_SQL["accuracy_levels"] = "SELECT accuracy, CASE accuracy WHEN 'low' THEN 'SIP' ELSE 'Unknown' END AS stack, count(*) AS n FROM events, (VALUES ('low'), ('high')) AS t(accuracy) GROUP BY 1"
+
+
+def typed_fields(spark, sf_dir):
+    """Responses with their fields as typed columns."""
+    wanted = ("HTTP_STATUS_CODE", "HTTP_VERSION_MAJOR", "HTTP_VERSION_MINOR", "HTTP_BODY", "HTTP_HEADERS", "SSL_SNI")
+    found = l7.typed(_classified(exchanges(spark, sf_dir), Config(fields=wanted, reorder=True)), wanted).where("http.body is not null")
+    return found.select(
+        F.col("n").alias("page_id"), (F.col("http.status_code") + 1).alias("next_code"), (F.col("http.version_major") * 10 + F.col("http.version_minor")).alias("version"), F.length("http.body").alias("size"),
+        F.sha2("http.body", 256).alias("sha256"), F.col("http.headers")[0]["value"].alias("first_header"), F.col("ssl").isNull().alias("no_ssl"), F.typeof("http.status_code").alias("kind"), F.typeof("http.body").alias("body_kind"),
+    )
+
+
+QUERIES["typed_fields"] = typed_fields
+ORACLE_SQL["typed_fields"] = """
+SELECT page_id, 201 AS next_code, 11 AS version, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS sha256, 'text/html' AS first_header, true AS no_ssl, 'bigint' AS kind, 'binary' AS body_kind FROM pages
+"""
+
+
+def tagged_packets(spark, sf_dir):
+    """Requests tagged by URL and by headers; only the rules say which fields are read."""
+    schema = "seq long, key string, value string, matchingType string, tag string"
+    urls = spark.createDataFrame([(0, None, "/e", "PREFIX", "english"), (1, None, ".html", "SUFFIX", "page"), (2, None, "/", "SUFFIX", "folder")], schema)
+    names_ = spark.createDataFrame([(0, "host", "blog.", "PREFIX", "blog"), (1, "HOST", ".org", "SUFFIX", "org"), (2, "user-agent", "t", "EXACT", "agent")], schema)
+    rows = flows.sessionize(headers.dissect(_requests(spark, sf_dir)))
+    found = l7.tagged(rows, {"HTTP_HEADERS": names_, "HTTP_URL": urls}, Config(reorder=False))
+    return found.select(F.col("ord").alias("page_id"), F.array_join("tags", ",").alias("tags"))
+
+
+def _requests(spark, sf_dir):
+    rows = _pages(spark, sf_dir)
+    text = F.concat(F.lit("GET /"), F.regexp_replace("path", "^/", ""), F.lit(" HTTP/1.1\r\nHost: "), F.col("host"), F.lit("\r\nUser-Agent: t\r\n\r\n"))
+    rows = rows.withColumns({
+        "ord": F.col("n"), "ts_us": F.col("n") * 1000, "src": F.lit(167772161) + F.col("n") % 1000000, "dst": F.lit(3232235777), "sport": 20000 + F.col("n") % 8000, "dport": F.lit(80),
+        "proto": F.lit(6), "flags": F.lit(24), "win": F.lit(8192),
+    })
+    return fx.payload_packets(rows, F.encode(text, "UTF-8"))
+
+
+QUERIES["tags_on_packets"] = tagged_packets
+ORACLE_SQL["tags_on_packets"] = f"""
+SELECT n AS page_id, concat_ws(',', CASE WHEN starts_with(lower(url_), '/e') THEN 'english' WHEN ends_with(lower(url_), '.html') THEN 'page' WHEN ends_with(url_, '/') THEN 'folder' END,
+  CASE WHEN starts_with(lower(host), 'blog.') THEN 'blog' WHEN ends_with(lower(host), '.org') THEN 'org' END, 'agent') AS tags
+FROM (SELECT *, '/' || regexp_replace(path, '^/', '') AS url_ FROM {_PAGES_SQL})
+"""

@@ -210,6 +210,7 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, link: int, overwrite: bool):
         self.path, self.link, self.overwrite = path, link, overwrite
         os.makedirs(path, exist_ok=True)
+        self.first = 0 if overwrite else len(_listed(path))  # files that are added come after those that are there
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         number = TaskContext.get().partitionId()
@@ -220,7 +221,7 @@ class _Writer(DataSourceArrowWriter):
                 times, packets = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ts_us", "pkt"))
                 for ts, b in zip(times, packets, strict=True):
                     f.write(_record(ts or 0, b or b""))
-        return _Written(temporary, f"part-{number:05d}.pcap")
+        return _Written(temporary, f"part-{self.first + number:05d}.pcap")
 
     def commit(self, messages) -> None:
         if self.overwrite:

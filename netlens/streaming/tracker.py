@@ -1,7 +1,9 @@
 """Flows of a packet stream.
 
-``track`` keeps a few numbers per flow key in the state store and gives every packet its
-flow and direction, by the same rule as ``flows.sessionize`` in batch. ``sessions`` sums up
+``track`` keeps a few numbers per live flow in the state store and gives every packet its
+flow and direction, by the same rule as ``flows.sessionize`` in batch; ``flow_records`` gives
+each flow when it ends. State goes when its flow has been idle for long enough by event time,
+so it holds the flows of the last minutes and not all that ever were. ``sessions`` sums up
 flows with Spark's session windows, where order does not matter.
 """
 
@@ -27,10 +29,28 @@ def _key():
     return F.when(a <= b, F.concat_ws("|", text("src", "sport"), text("dst", "dport"), "proto")).otherwise(F.concat_ws("|", text("dst", "dport"), text("src", "sport"), "proto"))
 
 
+def _timed(packets: DataFrame, delay_us: int) -> DataFrame:
+    """With the flow key, and the event time that lets the state of idle flows go (a millisecond on, since time 0 counts as late from the start)."""
+    return packets.withColumns({"key": _key(), "ts": F.timestamp_micros(F.col("ts_us") + 1000)}).withWatermark("ts", f"{max(1, delay_us // 1000)} milliseconds")
+
+
+def _until(state: GroupState, last_us: int, idle_us: int) -> None:
+    """Sets the time at which the flow has been idle for long enough; it must lie behind the watermark."""
+    state.setTimeoutTimestamp(max(-(-(last_us + idle_us) // 1000), state.getCurrentWatermarkMs()) + 2)
+
+
 def track(packets: DataFrame, idle_us: int = flows.IDLE_US) -> DataFrame:
-    """Streaming (ord, ts_us, src, sport, dst, dport, proto, flags, size), addresses as numbers, to ``OUTPUT``: the running counts of each packet's flow."""
+    """Streaming (ord, ts_us, src, sport, dst, dport, proto, flags, size), addresses as numbers, to ``OUTPUT``: the running counts of each packet's flow.
+
+    The state of a key is dropped when the watermark (``idle_us`` behind the latest packet) passes
+    the time at which its flow ends by idleness; ``seg`` then counts from 0 again, ``flow_id`` still
+    tells flows apart. Packets that come later than the watermark are dropped, as late data is.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, seg, flow, src, sport, rst, n, size = state.get if state.exists else (None, 0, None, None, None, False, 0, 0)
         rows = pd.concat(list(frames)).sort_values("ord")
         out = []
@@ -47,9 +67,51 @@ def track(packets: DataFrame, idle_us: int = flows.IDLE_US) -> DataFrame:
             rst = rst or bool(r.proto == 6 and r.flags & flows.RST)
             out.append((r.ord, seg, flow, 0 if (r.src, r.sport) == (src, sport) else 1, n, size))
         state.update((int(last), int(seg), int(flow), int(src), int(sport), bool(rst), int(n), int(size)))
+        _until(state, int(last), idle_us)
         yield pd.DataFrame(out, columns=["ord", "seg", "flow_id", "dir", "packets", "bytes"])
 
-    return packets.withColumn("key", _key()).groupBy("key").applyInPandasWithState(step, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return _timed(packets, idle_us).groupBy("key").applyInPandasWithState(step, OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+RECORD = (
+    "flow_id long, src string, sport int, dst string, dport int, proto int, packets_0 long, packets_1 long, bytes_0 long, bytes_1 long, first_us long, last_us long, reason string"
+)
+
+
+def flow_records(packets: DataFrame, idle_us: int = flows.IDLE_US) -> DataFrame:
+    """Streaming (ord, ts_us, src, sport, dst, dport, proto, flags, size), addresses as text, to ``RECORD``: one row per flow, when it ends.
+
+    A flow ends by a packet after a pause (``idle``) or a SYN after an RST (``reopened``), or, when no
+    packet comes, as soon as the watermark has passed its idle time (``expired``); then its state is dropped.
+    """
+    names = ["flow_id", "src", "sport", "dst", "dport", "proto", "packets_0", "packets_1", "bytes_0", "bytes_1", "first_us", "last_us"]
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            *flow, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(*flow, "expired")], columns=[*names, "reason"])
+            return
+        *flow, rst = state.get if state.exists else (False,)
+        out = []
+        for r in pd.concat(list(frames)).sort_values("ord").itertuples(index=False):
+            syn = r.proto == 6 and bool(r.flags & flows.SYN)
+            idle = bool(flow) and r.ts_us - flow[11] > idle_us
+            if not flow or idle or (syn and rst):
+                if flow:
+                    out.append((*flow, "idle" if idle else "reopened"))
+                flow, rst = [r.ord, r.src, r.sport, r.dst, r.dport, r.proto, 0, 0, 0, 0, r.ts_us, r.ts_us], False
+            way = 0 if (r.src, r.sport) == (flow[1], flow[2]) else 1
+            flow[6 + way] += 1
+            flow[8 + way] += r.size
+            flow[11] = r.ts_us
+            rst = (rst and not syn) or bool(r.proto == 6 and r.flags & flows.RST)
+        state.update(tuple(x if isinstance(x, str) else int(x) for x in flow) + (bool(rst),))
+        _until(state, int(flow[11]), idle_us)
+        yield pd.DataFrame(out, columns=[*names, "reason"])
+
+    kept = RECORD.replace(", reason string", ", rst boolean")
+    return _timed(packets, idle_us).groupBy("key").applyInPandasWithState(step, RECORD, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(packets: DataFrame, idle: str = "30 seconds") -> DataFrame:

@@ -320,3 +320,45 @@ def test_a_stream_in_many_batches(spark, tmp_path):
     got = {x.ord: (x.seg, x.flow_id, x.dir) for x in spark.table("followed").collect()}
     want = sequential([(o, ts, s, sp, d, dp, p, f, z) for o, ts, s, sp, d, dp, p, f, z in rows])
     assert got == want
+
+
+def test_state_of_idle_flows_goes(spark, tmp_path):
+    schema = "ord long, ts_us long, src string, sport int, dst string, dport int, proto int, flags int, size long"
+    second = 1_000_000
+    batches = [[(i, i, f"a{i}", 1, "b", 2, 17, 0, 10) for i in range(20)], [(30, 100 * second, "c", 1, "d", 2, 17, 0, 10)], [(40, 200 * second, "e", 1, "f", 2, 17, 0, 10)], [(50, 201 * second, "e", 1, "f", 2, 17, 0, 10)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = tracker.flow_records(stream).writeStream.format("memory").queryName("ended").start()
+    query.processAllAvailable()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    query.stop()
+    assert max(held) >= 20 and held[-1] <= 2
+    got = {(r.src, r.packets_0, r.reason) for r in spark.table("ended").collect()}
+    assert {(f"a{i}", 1, "expired") for i in range(20)} <= got
+
+
+def test_http_messages_of_any_length_in_pieces():
+    body = bytes(i * 7 % 251 for i in range(3 << 20))
+    work, found = {}, []
+    sized = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"".join(b"%x\r\n" % len(c) + c + b"\r\n" for c in (body[i : i + 50_000] for i in range(0, len(body), 50_000))) + b"0\r\n\r\n"
+    stream = sized + chunked + b"HTTP/1.1 204 No\r\nX: 1\r\n\r\n"
+    for at in range(0, len(stream), 1460):
+        found.append(fieldwork.http_message(stream[at : at + 1460], 1, work))
+    found = [m for m in found if m]
+    assert [m["STATUS_CODE"] for m in found] == [200, 200] and all(m["BODY"] == body for m in found)
+    assert fieldwork.http_message(b"", 1, work)["STATUS_CODE"] == 204
+
+
+def test_tls_records_longer_than_a_segment():
+    hello = q_l7.client_hello()
+    record = b"\x16\x03\x01" + len(hello).to_bytes(2, "big") + hello
+    rest = b"".join(b"\x16\x03\x03" + (16000).to_bytes(2, "big") + b"\x0b" + (15996).to_bytes(3, "big") + bytes(15996) for _ in range(20))
+    state, outcomes = {}, []
+    for at in range(0, len(record + rest), 1460):
+        p = dissectors.Packet((record + rest)[at : at + 1460], 6, 50000, 443)
+        outcomes.append(dissectors.REGISTRY["SSL"](p, state))
+        if outcomes[-1] != dissectors.MORE:
+            break
+    assert outcomes[-1] == dissectors.MATCH and dissectors.NO not in outcomes

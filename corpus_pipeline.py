@@ -46,7 +46,9 @@ STAGES = [
     ("pieces", segment),
 ]
 
-#: Regressions, components and segmentation are beyond SQL; the tests hold each stage against a brute-force version.
+#: Regressions, components and segmentation are beyond SQL. The tests hold the parts of each stage against brute force: the
+#: lattice of toxicity path by path, near copies by all pairs of shingle sets, decontamination by all windows, base spans and
+#: counts of terms by the stated rules, pieces by an agenda that looks at every pair anew.
 ORACLE_SQL: str | None = None
 
 

@@ -113,9 +113,9 @@ def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     Also asks the session for batches of ``BATCH_BYTES``, which bounds the memory of both sides.
     """
     session, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
-    with suppress(Exception):  # releases without the setting count rows only
-        if session is not None and int(session.conf.get(key).rstrip("b")) == _DEFAULT:
-            session.conf.set(key, str(BATCH_BYTES))
+    given = session.conf.get(key, None) if session is not None else None  # releases without the setting count rows only
+    if given and given.rstrip("b") == str(_DEFAULT):
+        session.conf.set(key, str(BATCH_BYTES))
 
     @wraps(run)
     def inner(batches: Batches) -> Batches:

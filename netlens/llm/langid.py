@@ -107,14 +107,14 @@ def _document_frequency(texts: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     own = own.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    place = F.xxhash64("lang", "text")
+    sizes = {r.lang: r.n for r in own.select("lang", place.alias("place")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     df = _document_frequency(own.select("text"))
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1.0
     share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))]), F.col("lang"))
-    place = F.xxhash64("lang", "text")
     # about per_language rows of a language come through; copies are one, and the least of the rest are taken
     chosen = own.where(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text").distinct()
     order = Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(1 << 30)), "text")

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 
 import numpy as np
@@ -34,6 +35,37 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(df.where("false"), none).count() == 0
 
 
+def test_prediction_is_a_dense_softmax_over_grams(spark):
+    """One gram at a time, and all languages' sums written out."""
+    rows = [(i, "le chat est sur la table et le chien" if i % 2 else "the cat sat on the mat and the dog", "fr" if i % 2 else "en") for i in range(20, 60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["the dog", "le chien É", "x", "The CAT, 12 le!", "\u00df \u0130"]
+
+    def naive(text):
+        code = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()}  "]
+        sums, n = [0.0] * len(model.languages), 0
+        for at in range(len(code) - 2):
+            h = 0
+            for k in range(langid.ORDERS):
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (code[at + k] * 0x85EBCA6B & 0xFFFFFFFF) ^ k
+                bucket = ((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 8
+                sums = [s + float(w) for s, w in zip(sums, model.weights[bucket % langid.BUCKETS], strict=True)]
+                n += 1
+        e = [math.exp((s / n + b) / model.heat) for s, b in zip(sums, model.bias, strict=True)]
+        return model.languages[e.index(max(e))], max(e) / sum(e)
+
+    got = zip(*model.predict(texts), strict=True)
+    for (name, score), text in zip(got, texts, strict=True):
+        assert name == naive(text)[0] and abs(score - naive(text)[1]) < 1e-4, text
+
+
+def test_the_language_sample_is_bounded_whatever_repeats(spark):
+    rows = [(1, "le chat", "fr")] * 500 + [(i, f"the cat number {chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(2, 400)] + [(3, "the mat", "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table, per_language=20)
+    assert model.languages == ["en", "fr"] and model.predict(["le chat"])[0] == ["fr"]
+
+
 def test_ftrl_learns_and_stays_sparse():
     r = np.random.default_rng(0)
     model = ftrl.Ftrl(50, 2, l1=0.5)

@@ -103,7 +103,7 @@ def classify(rows: DataFrame, config: Config | None = None) -> DataFrame:
     tcp_status: in_order, rebuilt, out_of_order, retransmission, or null where there is no tracking.
     """
     config = config or Config()
-    wanted = frozenset(config.fields)
+    wanted = fieldwork.expanded(config.fields)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), SCHEMA])
     ordered = flows.with_place(rows)
 

@@ -208,3 +208,69 @@ SELECT n AS page_id, concat_ws(',', CASE WHEN starts_with(lower(url_), '/e') THE
   CASE WHEN starts_with(lower(host), 'blog.') THEN 'blog' WHEN ends_with(lower(host), '.org') THEN 'org' END, 'agent') AS tags
 FROM (SELECT *, '/' || regexp_replace(path, '^/', '') AS url_ FROM {_PAGES_SQL})
 """
+
+
+def sip_answers(spark, sf_dir):
+    """Responses with two identities and a quality report as body."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("n"))
+    n = F.col("n").cast("string")
+    text = F.concat(
+        F.lit("SIP/2.0 486 Busy Here\r\nVia: SIP/2.0/UDP a.example;branch=z"), n, F.lit("\r\nFrom: \"A\" <sip:al@a.example>;tag=f\r\nTo: <sip:u"), n, F.lit("@b.example>;tag=t"), n,
+        F.lit("\r\nCall-ID: c"), n, F.lit("\r\nCSeq: 2 INVITE\r\nP-Asserted-Identity: <sip:x@p.example>\r\nP-Preferred-Identity: <sip:y@q.example>\r\n\r\nVQSessionReport\r\nCallID: x"), n, F.lit("\r\n"),
+    )
+    wanted = "METHOD REASON VIA FROM_URI TO_DOMAIN TO_TAG PAI_DOMAIN PID_URI RTCPXR_CALLID RURI_URI".split()
+    found, fields = _carried(rows, F.encode(text, "UTF-8"), 17, 5060, [f"SIP_{x}" for x in wanted])
+    return found.select(F.col("ord").alias("c_custkey"), *fields)
+
+
+QUERIES["sip_answers"] = sip_answers
+ORACLE_SQL["sip_answers"] = """
+SELECT c_custkey, '486' AS sip_method, 'Busy Here' AS sip_reason, 'SIP/2.0/UDP a.example;branch=z' || c_custkey AS sip_via, 'sip:al@a.example' AS sip_from_uri, 'b.example' AS sip_to_domain, 't' || c_custkey AS sip_to_tag,
+  'p.example' AS sip_pai_domain, 'sip:y@q.example' AS sip_pid_uri, 'x' || c_custkey AS sip_rtcpxr_callid, NULL::VARCHAR AS sip_ruri_uri FROM customer
+"""
+
+
+def dns_answers(spark, sf_dir):
+    """Two addresses and the server that answers for the zone."""
+    labels = F.expr("aggregate(split(host, '[.]'), '', (a, x) -> concat(a, lpad(hex(length(x)), 2, '0'), hex(x)))")
+    address = lambda first: F.concat(F.lit("c00c" + "00010001" + "00000e10" + "0004" + first), fx.h(F.col("n") % 16777216, 6))
+    zone = F.lit("c00c" + "00020001" + "00000e10" + "0005" + "026e73c00c")
+    body = F.concat(fx.h(F.col("n") % 65536, 4), F.lit("8180" + "0001000200010000"), labels, F.lit("00" + "00010001"), address("0a"), address("0b"), zone)
+    found, fields = _carried(_pages(spark, sf_dir), F.unhex(body), 17, 53, ["DNS_NS_IP_1", "DNS_NS_IP_2", "DNS_AUTH_SRV"])
+    return found.select(F.col("ord").alias("page_id"), *fields)
+
+
+QUERIES["dns_answers"] = dns_answers
+_IP = "concat_ws('.', {0}, (n // 65536) % 256, (n // 256) % 256, n % 256)"
+ORACLE_SQL["dns_answers"] = f"SELECT n AS page_id, {_IP.format(10)} AS dns_ns_ip_1, {_IP.format(11)} AS dns_ns_ip_2, 'ns.' || host AS dns_auth_srv FROM {_PAGES_SQL}"
+
+
+def rtcp_all(spark, sf_dir):
+    """One name that asks for all fields of a sender's report."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("n"), "user_id")
+    body = F.concat(F.lit("81c8000c"), fx.h("user_id", 8), *[fx.h(F.col("n") + i, 8) for i in range(1, 12)])
+    found, _ = _carried(rows, F.unhex(body), 17, 5005, ["RTCP_SENDER_ALL"])
+    wanted = {"TIME_LSW": 2, "TIME_RTP": 3, "FLCNPL": 7, "EXT_SEQN_RCV": 8, "LSR": 10, "DELAY_LSR": 11}
+    return found.select(F.col("ord").alias("event_id"), *[F.col("fields")[f"RTCP_SENDER_{k}"].alias(k.lower()) for k in wanted])
+
+
+QUERIES["rtcp_all"] = rtcp_all
+ORACLE_SQL["rtcp_all"] = """
+SELECT event_id, (event_id + 2)::VARCHAR AS time_lsw, (event_id + 3)::VARCHAR AS time_rtp, (event_id + 7)::VARCHAR AS flcnpl, (event_id + 8)::VARCHAR AS ext_seqn_rcv, (event_id + 10)::VARCHAR AS lsr, (event_id + 11)::VARCHAR AS delay_lsr FROM events
+"""
+
+
+def jsonrpc_answers(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("n"), "event_type", "user_id")
+    good = F.concat(F.lit('"result": [1, '), F.col("user_id").cast("string"), F.lit("]"))
+    bad = F.concat(F.lit('"error": {"code": -1, "message": "'), F.col("event_type"), F.lit('"}'))
+    text = F.concat(F.lit('{"jsonrpc": "2.0", '), F.when(F.col("n") % 2 == 0, good).otherwise(bad), F.lit(', "id": '), F.col("n").cast("string"), F.lit("}"))
+    found, fields = _carried(rows, F.encode(text, "UTF-8"), 6, 4000, ["JSON_RPC_MSG_TYPE", "JSON_RPC_ID", "JSON_RPC_RESULT", "JSON_RPC_ERROR"])
+    return found.select(F.col("ord").alias("event_id"), *fields)
+
+
+QUERIES["jsonrpc_answers"] = jsonrpc_answers
+ORACLE_SQL["jsonrpc_answers"] = """
+SELECT event_id, '1' AS json_rpc_msg_type, event_id::VARCHAR AS json_rpc_id, CASE WHEN event_id % 2 = 0 THEN '[1,' || user_id || ']' END AS json_rpc_result,
+  CASE WHEN event_id % 2 = 1 THEN '{"code":-1,"message":"' || event_type || '"}' END AS json_rpc_error FROM events
+"""

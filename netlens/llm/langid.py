@@ -15,6 +15,7 @@ of a prediction, and only id, text and, to learn, language are read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -133,10 +134,13 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         data.append((b.tobytes(), np.append(b, BUCKETS), np.append(n / n.sum() * idf[b] * SCALE, 1.0), languages.index(r.lang)))
     data = [d[1:] for d in sorted(data, key=lambda d: (d[3], d[0]))]
     order = np.random.default_rng(5).permutation(len(data))
-    kept, back = [data[i] for i in order if i % 5], [data[i] for i in order if i % 5 == 0]
+    kept, back, seen = [], [], Counter()
+    for i in order:  # every fifth example of a language is held back
+        seen[data[i][2]] += 1
+        (back if seen[data[i][2]] % 5 == 0 else kept).append(data[i])
     model = Ftrl(BUCKETS + 1, len(languages), alpha=1.0, l1=1e-3, l2=1e-3)
     for _ in range(EPOCHS):
-        for example in kept or back:
+        for example in kept:
             model.learn(*example)
     w = model.weights()
     logits = np.array([v @ w[b] for b, v, _ in back])

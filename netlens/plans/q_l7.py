@@ -176,6 +176,43 @@ QUERIES["max_trials"] = max_trials
 ORACLE_SQL["max_trials"] = f"SELECT event_id, CASE trials WHEN 0 THEN 'WhatsApp' ELSE 'Unknown' END AS stack, trials FROM events, (VALUES (0), (1)) AS t(trials) WHERE event_id % {_KINDS} = {_IDS['WHATSAPP']}"
 
 
+def _moved(spark, sf_dir, change):
+    """The conversations on a port that stands for nothing, with their payloads changed."""
+    rows = [(_IDS[name], step, way, proto, 7777, change(payload)) for name, (proto, _, _, packets) in CONVERSATIONS.items() for step, (way, payload) in enumerate(packets)]
+    table = spark.createDataFrame(rows, "kind int, step int, way int, proto int, server_port int, payload binary")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % _KINDS).cast("int").alias("kind"))
+    met, out = events.join(F.broadcast(table), "kind"), F.col("way") == 0
+    client, mine = F.lit(167772160) + F.col("event_id") % 16777215 + 1, 20000 + F.col("event_id") % 8000
+    return fx.payload_packets(
+        met.select(
+            (F.col("event_id") * 8 + F.col("step")).alias("ord"), (F.col("event_id") * 1000 + F.col("step")).alias("ts_us"), "kind", "event_id", "proto",
+            F.when(out, client).otherwise(F.lit(3232235777)).alias("src"), F.when(out, F.lit(3232235777)).otherwise(client).alias("dst"), F.when(out, mine).otherwise(F.lit(7777)).alias("sport"),
+            F.when(out, F.lit(7777)).otherwise(mine).alias("dport"), F.lit(24).alias("flags"), F.lit(8192).alias("win"), (F.lit(1000) + F.col("step")).alias("seq"), F.lit(0).alias("ack"), "payload",
+        ), F.col("payload"),
+    )
+
+
+def _own(found):
+    """By kind: how many of its conversations have its own protocol in the stack."""
+    shown = F.element_at(F.create_map(*[x for n, i in _IDS.items() for x in (F.lit(i), F.lit(catalog.DISPLAY[n]))]), F.col("kind"))
+    last = found.groupBy("event_id", "kind").agg(F.max_by(F.array_contains("protocols", shown), "ord").alias("own"))
+    return last.groupBy("kind").agg(F.count("*").alias("flows"), F.count_if("own").alias("own"))
+
+
+#: Near misses: the first byte of each payload inverted, and payloads of one byte.
+_MISSES = {"l7_first_byte_wrong": lambda b: bytes([b[0] ^ 0xFF]) + b[1:], "l7_one_byte": lambda b: b[:1], "l7_other_port": lambda b: b}
+for _name, _change in _MISSES.items():
+    QUERIES[_name] = lambda spark, sf_dir, change=_change: _own(_classified(_moved(spark, sf_dir, change)))
+#: What is still found: rules that do not read the first byte; a first byte that may begin HTTP; rules that do not ask for a port.
+_STILL = {
+    "l7_first_byte_wrong": "SKYPE SSDP MQTT VIBER", "l7_one_byte": "HTTP",
+    "l7_other_port": "SIP RTP RTCP SSH SKYPE HTTP SMTP POP3 IMAP SSL WHATSAPP BITCOIN ETHEREUM ZCASH MONERO STRATUM JSON_RPC SSDP STUN QUIC QUIC5 MQTT MYSQL VIBER KERBEROS",
+}
+for _name, _found in _STILL.items():
+    _kinds = ", ".join(str(_IDS[n]) for n in _found.split())
+    ORACLE_SQL[_name] = f"SELECT (event_id % {_KINDS})::INT AS kind, count(*) AS flows, CASE WHEN event_id % {_KINDS} IN ({_kinds}) THEN count(*) ELSE 0 END AS own FROM events WHERE event_id % {_KINDS} < {_KINDS - 1} GROUP BY event_id % {_KINDS}"
+
+
 # -- fields ------------------------------------------------------------------
 
 

@@ -20,9 +20,20 @@ from netlens.operators import headers
 
 @dataclass(frozen=True)
 class Options:
+    """Limits of reassembly. A datagram that is not whole ``timeout`` after its first fragment is dropped.
+
+    With ``per_source_bytes``, a source that holds more than that in unfinished datagrams loses the
+    oldest of them until it does not, and the fragment that came if none is left. With ``total_bytes``
+    the same holds for all sources together; the total is divided among ``slices`` by the hash of the
+    source, each with a task of its own. Without limits a task holds one datagram at a time.
+    """
+
     timeout_v4_us: int = 30_000_000
     timeout_v6_us: int = 60_000_000
     most_bytes: int = 65535
+    per_source_bytes: int | None = None
+    total_bytes: int | None = None
+    slices: int = 16
 
 
 class Datagram:
@@ -72,26 +83,26 @@ def reassemble(dissected: DataFrame, options: Options | None = None) -> DataFram
     key = F.struct("l3_version", "src", "dst", "frag_id", "frag_proto")
     with_file = ["file"] if "file" in dissected.columns else []
     pieces = dissected.where("is_fragment AND status = 1").select("ord", "ts_us", *with_file, key.alias("k"), "frag_offset", "frag_more", "payload")
-    w = Window.partitionBy("k").orderBy("ord")
-    limit = F.when(F.col("k.l3_version") == 4, options.timeout_v4_us).otherwise(options.timeout_v6_us)
-    # the first fragment of a key or after a pause; the window also states by what, and in which order, rows must lie
-    fresh = (F.row_number().over(w) == 1) | F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) > limit, F.lit(False))
-    pieces = pieces.withColumn("fresh", fresh)
-    names = ["ord", "ts_us", "k", "frag_offset", "frag_more", "payload", "fresh"]
+    if options.total_bytes is not None:
+        pieces = pieces.withColumn("group", F.pmod(F.xxhash64("k.src"), F.lit(options.slices)))
+    else:
+        pieces = pieces.withColumn("group", F.col("k") if options.per_source_bytes is None else F.struct("k.l3_version", "k.src"))
+    # the window states by what, and in which order, rows must lie, and tells where a group begins
+    pieces = pieces.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("ord"))).drop("group")
+    names = ["ord", "ts_us", "k", "frag_offset", "frag_more", "payload", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = Datagram(options.most_bytes)
+        held = _Held(options)
         for batch in batches:
             out, at = [], []
             rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True)
-            for i, (o, ts, k, start, more, data, fresh) in enumerate(rows):
-                if fresh:
-                    whole = Datagram(options.most_bytes)
-                found = whole.add(start, more, data or b"")
+            for i, (o, ts, k, start, more, data, place) in enumerate(rows):
+                if place == 1:
+                    held = _Held(options)
+                found = held.add(ts, k, start, more, data or b"")
                 if found is not None:
                     at.append(i)
                     out.append((o, ts, "RAW", rebuilt(k["l3_version"], k["src"], k["dst"], k["frag_proto"], found)))
-                    whole = Datagram(options.most_bytes)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
             columns += [batch.column(batch.schema.get_field_index(c)).take(pa.array(at, pa.int64())) for c in with_file]
@@ -100,6 +111,43 @@ def reassemble(dissected: DataFrame, options: Options | None = None) -> DataFram
     return pieces.mapInArrow(run, "ord long, ts_us long, dlt string, pkt binary" + ", file string" * len(with_file))
 
 
+class _Held:
+    """Unfinished datagrams of a group, oldest first, and what they hold by source."""
+
+    def __init__(self, options: Options):
+        self.options, self.whole, self.used = options, {}, {}  # key: (time it expires, bytes, datagram)
+
+    def _drop(self, key: tuple) -> None:
+        _, size, _ = self.whole.pop(key)
+        self.used[key[:2]] -= size
+
+    def add(self, ts: int, k: dict, start: int, more: bool, data: bytes) -> bytes | None:
+        options = self.options
+        key = (k["l3_version"], k["src"], k["dst"], k["frag_id"], k["frag_proto"])
+        source, limit = key[:2], options.per_source_bytes
+        if limit is not None and self.used.get(source, 0) > limit:
+            for old in [x for x in self.whole if x[:2] == source]:
+                if self.used[source] <= limit:
+                    break
+                self._drop(old)
+            if not any(x[:2] == source for x in self.whole):
+                return None
+        timeout = options.timeout_v4_us if key[0] == 4 else options.timeout_v6_us
+        share = None if options.total_bytes is None else -(-options.total_bytes // options.slices)
+        while self.whole and ((oldest := next(iter(self.whole.items())))[1][0] < ts or (share is not None and sum(self.used.values()) >= share)):
+            self._drop(oldest[0])
+        if key in self.whole and self.whole[key][0] < ts:
+            self._drop(key)
+        expires, size, datagram = self.whole.get(key) or (ts + timeout, 0, Datagram(options.most_bytes))
+        found = datagram.add(start, more, data)
+        held = sum(len(x) for _, x in datagram.parts)
+        self.whole[key] = (expires, held, datagram)
+        self.used[source] = self.used.get(source, 0) + held - size
+        if found is not None:
+            self._drop(key)
+        return found
+
+
 def maybe_fragment(packets: DataFrame) -> DataFrame:
     """Without the Ethernet frames that are plainly no fragments: IPv4 that has no fragment bits or tunnel, IPv6 that begins with TCP or UDP."""
     at = lambda off, n: headers.number("pkt", off, n)

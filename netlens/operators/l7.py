@@ -98,12 +98,13 @@ def identify(flow: Flow, p: d.Packet, config: Config) -> None:
 
 
 def classify(rows: DataFrame, config: Config | None = None) -> DataFrame:
-    """Adds the columns of ``SCHEMA`` to sessionized packets.
+    """Adds the columns of ``SCHEMA`` to sessionized packets; their frames (``pkt``) are left behind, so they are not shuffled.
 
     tcp_status: in_order, rebuilt, out_of_order, retransmission, or null where there is no tracking.
     """
     config = config or Config()
     wanted = fieldwork.expanded(config.fields)
+    rows = rows.drop("pkt")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), SCHEMA])
     ordered = flows.with_place(rows)
 

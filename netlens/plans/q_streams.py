@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from netlens.operators import defrag, flows, headers, search, tags, tcp
+from netlens.operators import defrag, flows, headers, l7, search, tags, tcp
 from netlens.plans import fixtures as fx
-from netlens.plans.q_l7 import _pages
+from netlens.plans.q_l7 import _pages, exchanges
 from netlens.streaming import tracker
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -183,6 +183,21 @@ SELECT doc_id, item_id::VARCHAR AS name, octet_length(encode(substr(d.text, 1, s
 """
 
 
+def http_patterns(spark, sf_dir):
+    """Signatures in the bodies of pages, put together from all segments of their flows."""
+    found = l7.classify(flows.sessionize(headers.dissect(exchanges(spark, sf_dir))), l7.Config(fields=("HTTP_BODY", "HTTP_HEADERS"), reorder=True))
+    known = spark.createDataFrame([(n, bytearray(p.encode())) for n, p in _SIGNATURES], "name string, pattern binary")
+    hits = search.search(l7.bodies(found, "text/html"), "ord", "body", known)
+    return hits.select(F.floor(F.col("ord") / 1_000_000).alias("page_id"), "name", F.col("at").alias("first"))
+
+
+_SIGNATURES = [("article", "<article>"), ("end", "</html>"), ("script", "track(1"), ("word", "the "), ("umlaut", "über"), ("none", "<blink>")]
+QUERIES["http_pattern_matching"] = http_patterns
+ORACLE_SQL["http_pattern_matching"] = f"""
+SELECT page_id, name, octet_length(encode(substr(html, 1, strpos(html, pattern) - 1)))::BIGINT AS first FROM pages JOIN (VALUES {", ".join(map(str, _SIGNATURES))}) AS t(name, pattern) ON contains(html, pattern)
+"""
+
+
 def stream_flows(spark, sf_dir):
     """The flow tracker over a file stream of events, run to the end; written as files and read back."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

@@ -362,3 +362,31 @@ def test_tls_records_longer_than_a_segment():
         if outcomes[-1] != dissectors.MORE:
             break
     assert outcomes[-1] == dissectors.MATCH and dissectors.NO not in outcomes
+
+
+def _pieces(source, ident, count, size=8, base=0):
+    return [ip(bytes([ident]) * size, 17, src=source, ident=ident, frag=(k * size // 8) | (0x2000 if k < count - 1 else 0)) for k in range(count)]
+
+
+def test_datagrams_expire_after_their_first_fragment(spark):
+    a, (x, y, z) = b"\x0a\0\0\1", _pieces(b"\x0a\0\0\1", 7, 3)
+    times = {"kept": (0, 20_000_000, 29_000_000), "lost": (0, 20_000_000, 31_000_000)}  # each pause is short
+    for name, ts in times.items():
+        rows = spark.createDataFrame([(i, t, "RAW", bytearray(b)) for i, (t, b) in enumerate(zip(ts, (x, y, z), strict=True))], "ord long, ts_us long, dlt string, pkt binary")
+        assert defrag.dissect(rows).where("is_fragment = false").count() == (name == "kept"), (a, name)
+
+
+def test_sources_that_hold_too_much_lose_their_oldest_datagrams(spark):
+    a, b = b"\x0a\0\0\1", b"\x0a\0\0\2"
+    first, second, other = _pieces(a, 1, 2, 800), _pieces(a, 2, 2, 800), _pieces(b, 3, 2, 800)
+    order = [first[0], second[0], other[0], other[1], second[1], first[1]]
+    rows = spark.createDataFrame([(i, i, "RAW", bytearray(p)) for i, p in enumerate(order)], "ord long, ts_us long, dlt string, pkt binary")
+
+    def whole(**limits):
+        found = defrag.reassemble(headers.dissect(rows), defrag.Options(**limits)).collect()
+        return {bytes(r.pkt)[-1] for r in found}
+
+    assert whole() == whole(per_source_bytes=1600) == whole(total_bytes=1 << 20) == {1, 2, 3}
+    assert whole(per_source_bytes=1500) == {2, 3}  # the first of two is dropped when the source's next fragment comes
+    assert whole(per_source_bytes=100) == set()  # what is left of a source with nothing but too much is the fragment, which goes too
+    assert whole(total_bytes=1500, slices=1) == {3}

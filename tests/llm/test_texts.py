@@ -174,6 +174,54 @@ def test_repeated_rows_count_as_rows_and_null_ids_not_at_all(spark):
     assert clean.columns == ["doc_id", "text", "row", "cuts"] and clean.where("text like '%[EMAIL]%'").count() == 4 and clean.count() == 64
 
 
+def naive_terms(rows, support=2, disclosure=0.9):
+    """Spans of disclosing terms by document, counted pair by pair: a row's id is null where it does not count."""
+    import regex
+
+    word = regex.compile(r"[\p{L}\p{N}_'-]+")
+    usable = lambda w: len(w) > 2 and bool(re.search(r"[a-zA-Z]|[^\x00-\x7f]", w))
+    found = [[(name, a, b) for a, _, b, name in brute_spans(t)] for _, t in rows]
+    entity = lambda k, v: f"{k}:{v.lower() if k in ('email', 'ip') else re.sub('[^0-9]', '', v)}"
+    counts = [i is not None for i, _ in rows]
+    own = [{entity(k, t[a:b]) for k, a, b in f} for (_, t), f in zip(rows, found, strict=True)]
+    apart = lambda m, f: all(m.end() <= a or b <= m.start() for _, a, b in f)
+    beside = [{m[0].lower() for m in word.finditer(t) if usable(m[0]) and all(m.end() < a or b < m.start() for _, a, b in f)} if f else set() for (_, t), f in zip(rows, found, strict=True)]
+    words = [{m[0].lower() for m in word.finditer(t) if usable(m[0])} for _, t in rows]
+    total, terms = sum(counts), set()
+    for e in set().union(*own):
+        n_e = sum(e in o for o, c in zip(own, counts, strict=True) if c)
+        if not support <= n_e < total:
+            continue
+        for t in set().union(*beside):
+            n = sum(e in o and t in b for o, b, c in zip(own, beside, counts, strict=True) if c)
+            n_t = sum(t in w for w, c in zip(words, counts, strict=True) if c)
+            if n >= support and np.log(n / max(n_t, n) / (n_e / total)) / -np.log(n_e / total) >= disclosure:
+                terms.add(t)
+    return [[(m.start(), m.end()) for m in word.finditer(t) if m[0].lower() in terms and apart(m, f)] for (_, t), f in zip(rows, found, strict=True)]
+
+
+def test_added_spans_match_counting_pair_by_pair(spark):
+    r = random.Random(12)
+    people = [(f"Name{i}", f"n{i}@corp.example", f"10.0.0.{i}") for i in range(8)]
+    filler = ["the", "office", "is", "far", "weather", "é́tude", "well-known", "x1", "2024", "don't"]
+    rows = []
+    for i in range(150):
+        words = r.choices(filler, k=8)
+        if r.random() < 0.4:
+            name, mail, ip = r.choice(people)
+            words += [name] * (r.random() < 0.95) + [r.choice([mail, mail.upper(), mail, f"{mail} {ip}"])] + [r.choice([p[0] for p in people])] * (r.random() < 0.04)
+        elif r.random() < 0.04:
+            words.append(r.choice(people)[0].lower())
+        r.shuffle(words)
+        rows.append((None if i % 29 == 0 else i % 120, " ".join(words)))
+    rows += [rows[5], rows[5], rows[7]]
+    got = pii.found_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = got.select("doc_id", F.expr("transform(coalesce(added, array()), x -> concat(x.s, ':', x.e))").alias("spans")).collect()
+    want = [(i, [f"{a}:{b}" for a, b in spans]) for (i, _), spans in zip(rows, naive_terms(rows), strict=True)]
+    assert sorted((str(x.doc_id), x.spans) for x in got) == sorted((str(i), s) for i, s in want)
+    assert 10 < sum(bool(s) for _, s in want) < len(rows) - 10
+
+
 def test_every_entity_of_a_term_is_rated(spark):
     # half the documents with the term have the entity, which is in 2 of 4,000: 0.91 of its information
     texts = ["see Quill at q@r.st", "the Quill wrote q@r.st", "Quill once", "Quill twice", *["filler text"] * 3996]

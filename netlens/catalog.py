@@ -54,12 +54,19 @@ STATISTICS = [
 
 # Application fields by protocol; S text or bytes, N number, M list of (key, value).
 FIELDS = {
-    "SIP": "REQUEST_URI:S METHOD:S CALLID:S REASON:S RTCPXR_CALLID:S CSEQ:S CSEQ_METHOD_STRING:S VIA:S CONTACT_URI:S RURI_USER:S RURI_DOMAIN:S FROM_USER:S FROM_DOMAIN:S TO_USER:S TO_DOMAIN:S PAI_USER:S PAI_DOMAIN:S PID_URI:S FROM_URI:S TO_URI:S RURI_URI:S TO_TAG:S FROM_TAG:S",
+    "SIP": (
+        "REQUEST_URI:S METHOD:S CALLID:S REASON:S RTCPXR_CALLID:S CSEQ:S CSEQ_METHOD_STRING:S VIA:S CONTACT_URI:S RURI_USER:S RURI_DOMAIN:S FROM_USER:S "
+        "FROM_DOMAIN:S TO_USER:S TO_DOMAIN:S PAI_USER:S PAI_DOMAIN:S PID_URI:S FROM_URI:S TO_URI:S RURI_URI:S TO_TAG:S FROM_TAG:S"
+    ),
     "DNS": "NAME_SRV:S NS_IP_1:S NS_IP_2:S AUTH_SRV:S",
     "SSL": "VERSION:N VERSION_HANDSHAKE:N HANDSHAKE_TYPE:N CIPHER_SUITES:S EXTENSIONS:S ELLIPTIC_CURVES:S ELLIPTIC_CURVES_POINT_FMTS:S SNI:S CERTIFICATE:S JA3:S",
     "HTTP": "VERSION_MAJOR:N VERSION_MINOR:N METHOD:N STATUS_CODE:N MSG_TYPE:N BODY:S URL:S HEADERS:M",
     "RTP": "PTYPE:N SEQNUM:N TIMESTP:N SSRC:N",
-    "RTCP": "SENDER_ALL:N SENDER_SSRC:N SENDER_TIME_MSW:N SENDER_TIME_LSW:N SENDER_TIME_RTP:N SENDER_PKT_COUNT:N SENDER_OCT_COUNT:N SENDER_ID:N SENDER_FLCNPL:N SENDER_EXT_SEQN_RCV:N SENDER_INT_JITTER:N SENDER_LSR:N SENDER_DELAY_LSR:N RECEIVER_ALL:N RECEIVER_SSRC:N RECEIVER_ID:N RECEIVER_FLCNPL:N RECEIVER_EXT_SEQN_RCV:N RECEIVER_INT_JITTER:N RECEIVER_LSR:N RECEIVER_DELAY_LSR:N SDES_CSRC:N SDES_TEXT:S",
+    "RTCP": (
+        "SENDER_ALL:N SENDER_SSRC:N SENDER_TIME_MSW:N SENDER_TIME_LSW:N SENDER_TIME_RTP:N SENDER_PKT_COUNT:N SENDER_OCT_COUNT:N SENDER_ID:N SENDER_FLCNPL:N "
+        "SENDER_EXT_SEQN_RCV:N SENDER_INT_JITTER:N SENDER_LSR:N SENDER_DELAY_LSR:N RECEIVER_ALL:N RECEIVER_SSRC:N RECEIVER_ID:N RECEIVER_FLCNPL:N "
+        "RECEIVER_EXT_SEQN_RCV:N RECEIVER_INT_JITTER:N RECEIVER_LSR:N RECEIVER_DELAY_LSR:N SDES_CSRC:N SDES_TEXT:S"
+    ),
     "JSON_RPC": "FIRST:S VERSION:N MSG_TYPE:N ID:S METHOD:S PARAMS:S RESULT:S ERROR:S LAST:S",
     "QUIC": "VERSION:S SNI:S UAID:S JA3:S",
     "STUN": "MAPPED_ADDRESS:S MAPPED_ADDRESS_PORT:N",

@@ -138,7 +138,8 @@ def statistics(rows: DataFrame, only: list[str] | None = None, extra: dict[str,
         "l7_packets": lambda d: count(payload, d),
         "l7_bytes": lambda d: total(F.when(payload, F.col("payload_length")).cast("long"), d),
     }
-    chosen = only or [k for k in every if (k != "rtt_syn_ack" or "rtt" in rows.columns) and (k != "retransmissions" or "tcp_status" in rows.columns) and (k != "window_scaling" or "tcp_window_scale" in rows.columns)]
+    needs = {"rtt_syn_ack": "rtt", "retransmissions": "tcp_status", "window_scaling": "tcp_window_scale"}
+    chosen = only or [k for k in every if needs.get(k, "ord") in rows.columns]
     first = lambda c: F.min_by(c, "ord").alias(c)
     aggregates = [first(c) for c in ("src", "sport", "dst", "dport", "proto")]
     aggregates += [every[k](d).alias(f"{k}_{d}") for k in chosen for d in (0, 1)]

@@ -227,10 +227,13 @@ def parse(packets: pa.Array, dlt: list[str | None], start: str = "L2") -> dict[s
         "status": pa.array(status, pa.int32()), "l2_length": number(l2, ok2), "src_mac": b.cut(zero + 6, zero + 6, eth), "dst_mac": b.cut(zero, zero + 6, eth),
         "l3_version": number(shown, ok3 | l4), "l3_offset": number(outer, ok2), "l3_length": number(off - outer, ok3),
         "src": b.cut(src, np.where(shown == 4, 4, 16), (shown > 0) & ok3), "dst": b.cut(dst, np.where(shown == 4, 4, 16), (shown > 0) & ok3),
-        "is_fragment": pa.array(fragment), "frag_offset": number(frag_off, fragment), "frag_more": pa.array(frag_more, mask=~fragment), "frag_id": number(frag_id, fragment, pa.int64()), "frag_proto": number(frag_proto, fragment),
+        "is_fragment": pa.array(fragment), "frag_offset": number(frag_off, fragment), "frag_more": pa.array(frag_more, mask=~fragment),
+        "frag_id": number(frag_id, fragment, pa.int64()), "frag_proto": number(frag_proto, fragment),
         "proto": number(proto, l4), "l4_offset": number(off, ok3), "l4_length": number(l4_length, l4),
-        "sport": number(np.where(ports, b.be(off, 2), 0), l4), "dport": number(np.where(ports, b.be(off + 2, 2), 0), l4), "seq": number(b.be(off + 4, 4), tcp, pa.int64()), "ack": number(b.be(off + 8, 4), tcp, pa.int64()),
-        "tcp_flags": number(b.u8(off + 13), tcp), "tcp_window": number(b.be(off + 14, 2), tcp), "tcp_window_scale": number(scale, tcp & (scale >= 0)), "l4_bytes": number(left, l4), "payload_length": number(payload, l4),
+        "sport": number(np.where(ports, b.be(off, 2), 0), l4), "dport": number(np.where(ports, b.be(off + 2, 2), 0), l4),
+        "seq": number(b.be(off + 4, 4), tcp, pa.int64()), "ack": number(b.be(off + 8, 4), tcp, pa.int64()),
+        "tcp_flags": number(b.u8(off + 13), tcp), "tcp_window": number(b.be(off + 14, 2), tcp),
+        "tcp_window_scale": number(scale, tcp & (scale >= 0)), "l4_bytes": number(left, l4), "payload_length": number(payload, l4),
         "payload": b.cut(np.where(fragment, off, off + l4_length), np.where(fragment, left, payload), l4 | (fragment & (status == 1))),
     }
 

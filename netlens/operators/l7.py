@@ -114,7 +114,8 @@ def classify(rows: DataFrame, config: Config | None = None) -> DataFrame:
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
             stacks, statuses, lengths, fields, headers = [], [], [], [], []
-            for place, way, proto, sport, dport, src, dst, payload, flags, seq, ack in zip(*map(get, (flows.PLACE, "dir", "proto", "sport", "dport", "src", "dst", "payload", "tcp_flags", "seq", "ack")), strict=True):
+            read = (flows.PLACE, "dir", "proto", "sport", "dport", "src", "dst", "payload", "tcp_flags", "seq", "ack")
+            for place, way, proto, sport, dport, src, dst, payload, flags, seq, ack in zip(*map(get, read), strict=True):
                 if place == 1:
                     flow = Flow(list(tops))
                 payload, status, found = payload or b"", None, {}
@@ -139,7 +140,11 @@ def classify(rows: DataFrame, config: Config | None = None) -> DataFrame:
                 lengths.append(len(payload))
                 headers.append(found.pop("HTTP_HEADERS", None))
                 fields.append(list(found.items()))
-            added = [pa.array(stacks, pa.list_(pa.string())), pa.array(statuses, pa.string()), pa.array(lengths, pa.int32()), pa.array(fields, pa.map_(pa.string(), pa.string())), pa.array([None if x is None else [{"key": k, "value": v} for k, v in x] for x in headers], pairs)]
+            listed = [None if x is None else [{"key": k, "value": v} for k, v in x] for x in headers]
+            added = [
+                pa.array(stacks, pa.list_(pa.string())), pa.array(statuses, pa.string()), pa.array(lengths, pa.int32()),
+                pa.array(fields, pa.map_(pa.string(), pa.string())), pa.array(listed, pairs),
+            ]
             kept = [c for c in batch.schema.names if c != flows.PLACE]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *added], [*kept, "protocols", "tcp_status", "l7_length", "fields", "http_headers"])
 

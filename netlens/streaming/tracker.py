@@ -117,7 +117,8 @@ def flow_records(packets: DataFrame, idle_us: int = flows.IDLE_US) -> DataFrame:
 def sessions(packets: DataFrame, idle: str = "30 seconds") -> DataFrame:
     """Packets and bytes of each flow, closed by the watermark; ``ts`` is the event time."""
     timed = packets.withColumn("key", _key()).withWatermark("ts", idle)
-    return timed.groupBy("key", F.session_window("ts", idle).alias("w")).agg(F.count("*").alias("packets"), F.sum("size").alias("bytes")).select("key", F.col("w.start").alias("start"), "packets", "bytes")
+    sums = timed.groupBy("key", F.session_window("ts", idle).alias("w")).agg(F.count("*").alias("packets"), F.sum("size").alias("bytes"))
+    return sums.select("key", F.col("w.start").alias("start"), "packets", "bytes")
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str):

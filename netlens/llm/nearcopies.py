@@ -22,8 +22,9 @@ another member. Such leftovers and the members of their blocks are compared by a
 prefix filter: shingles are put into one order for all (rarest first, by a count sketch of
 these documents), and two sets of the stated similarity share one of the first
 n - ceil(similarity * n) + 1. Keys whose documents are linked already are dropped, pairs are
-formed only between documents not yet linked, and they are verified as above. Classes are
-the connected components of verified links.
+formed only between documents not yet linked that have enough shingles left behind the shared
+one (so a passage that many documents share pairs only those that are little else), and they
+are verified as above. Classes are the connected components of verified links.
 
 Defined results for odd input: as for ``simhash``; texts whose lower-case words agree are
 exact copies; texts without words are copies of each other; a null id is never dropped. Of a
@@ -201,12 +202,15 @@ def _leftover_pairs(parts: DataFrame, docs: DataFrame, doc_id: str, text: str, w
             yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "root", "left", "size", "keys"])
 
     found = texts.mapInArrow(tidied(run), "node long, root long, left boolean, size long, keys array<long>")
-    found = checkpointed(found.select("node", "root", "left", "size", F.explode("keys").alias("key")))
+    found = checkpointed(found.select("node", "root", "left", "size", F.posexplode("keys").alias("pos", "key")))
     # a key without a leftover, or whose documents are linked already, has nothing to add
     open_keys = found.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("left").alias("left")).where("a <> b AND left").select("key")
     found = found.join(open_keys, "key")
-    a, b = (found.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "left", "size")]) for x in "ab")
+    a, b = (found.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "left", "size", "pos")]) for x in "ab")
     fits = (F.col("size_a") >= similarity * F.col("size_b") - 1e-6) & (F.col("size_b") >= similarity * F.col("size_a") - 1e-6)
+    # shingles lie in one order for all: at the first one that two sets share, no more can be common than what follows it in both
+    follow = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    fits &= follow >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
     once = F.col("left_a") & (~F.col("left_b") | (F.col("node_a") > F.col("node_b")))
     met = a.join(b, "key").where((F.col("root_a") != F.col("root_b")) & once & fits)
     return met.select(F.col("node_a").alias("node"), F.col("node_b").alias("head")).distinct()

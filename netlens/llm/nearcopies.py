@@ -21,7 +21,8 @@ A member that does not verify against the representative of a block may still be
 another member. Such leftovers and the members of their blocks are compared by an exact
 prefix filter: shingles are put into one order for all (rarest first, by a count sketch of
 these documents), and two sets of the stated similarity share one of the first
-n - ceil(similarity * n) + 1. Keys whose documents are linked already are dropped, pairs are
+n - ceil(similarity * n) + 1. Keys whose documents are linked already are dropped; the
+documents of a key are compared with one of them first, and what that links is linked; pairs are then
 formed only between documents not yet linked that have enough shingles left behind the shared
 one (so a passage that many documents share pairs only those that are little else), and they
 are verified as above. Classes are the connected components of verified links.
@@ -36,7 +37,8 @@ itself, and all stay that are not copies of anything.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlens.llm.common import by_bytes, checkpointed, free_name, texts_of, tidied
+from netlens.llm.common import by_bytes, checkpointed, free_name, released, texts_of, tidied
 from netlens.llm.simhash import SEED, components, with_least
 
 WORDS, SIMILARITY, LANES, BLOCKS = 5, 0.8, 16, 32
@@ -57,6 +59,8 @@ SMALL = 200
 _STEP = 1 << 15
 #: Cells of the sketch that orders shingles by how many documents have them.
 CELLS = 1 << 20
+#: Cells of the filter that tells which rows to move, 16 bytes each as they are broadcast: 8 MB at most.
+SIEVE = 1 << 19
 
 
 def radius(similarity: float, bits: int = 64 * LANES) -> int:
@@ -139,12 +143,34 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     return kept.mapInArrow(tidied(run), T.StructType(schema))
 
 
-def _compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """The (node, head) pairs whose texts have this Jaccard similarity of shingles. Only their texts are moved."""
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("head").alias("node"))).distinct().join(reps, "node")
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(wanted, "rep").groupBy("node").agg(F.min("text").alias("text"))
-    texts = checkpointed(texts)
-    met = pairs.join(texts, "node").join(texts.select(F.col("node").alias("head"), F.col("text").alias("other")), "head")
+def sifted(df: DataFrame, keys: list[str], wanted: DataFrame, mark: str) -> DataFrame:
+    """``df`` with a boolean ``mark`` that is true where its keys are in ``wanted``, and seldom elsewhere.
+
+    A Bloom filter, two bits a key in 64-bit cells of four keys, of at most ``SIEVE`` cells: it may mark too many rows, so an exact
+    join has to follow, but it never misses one, and what is not marked need not be moved.
+    """
+    cells = 1 << min(max(4, (wanted.count() // 4).bit_length()), SIEVE.bit_length() - 1)
+    cell, mask, bits = (free_name(df, n) for n in ("cell", "mask", "bits"))
+    h = f"xxhash64({', '.join(keys)})"
+    places = [
+        F.expr(f"{h} & {cells - 1}L").alias(cell),
+        F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, 52) & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned({h}, 58) & 63 as int))").alias(mask),
+    ]
+    filled = wanted.select(*places).groupBy(cell).agg(F.bit_or(mask).alias(bits))
+    met = df.select("*", *places).join(F.broadcast(filled), cell, "left")
+    return met.select(*df.columns, F.coalesce(F.col(bits).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False)).alias(mark))
+
+
+def _texts(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``wanted`` (node, digest and more, a row per node) with the text of that digest. Only these texts are moved."""
+    wanted = checkpointed(wanted)
+    texts = sifted(docs.select(digest(text).alias("digest"), F.col(text).alias("text")), ["digest"], wanted, "near").where("near").drop("near")
+    return checkpointed(texts.join(wanted, "digest").dropDuplicates(["digest"]).drop("digest"))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (node, head) pairs whose texts have this Jaccard similarity of shingles. ``texts`` has node and text of them at least."""
+    met = pairs.join(texts.select("node", "text"), "node").join(texts.select(F.col("node").alias("head"), F.col("text").alias("other")), "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 2 << 20):
@@ -170,13 +196,16 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARIT
     return hashes[order[:kept]].view(np.int64)
 
 
-def _leftover_pairs(parts: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """(node, head) of documents not linked yet that may have this similarity, where at least one is a leftover.
+def _open(found: DataFrame) -> DataFrame:
+    """The entries of keys that can add a link: a leftover is among their documents, and not all are linked already."""
+    return found.join(found.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("left").alias("l")).where("a <> b AND l").select("key"), "key")
+
+
+def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, node, root, left, size, pos): the prefixes of leftovers and of the members of their blocks, by open keys.
 
-    ``parts`` has node, rep, root, left: leftovers and the members of their blocks.
+    ``texts`` has node, text, root, left.
     """
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(parts, "rep")
-    texts = checkpointed(texts.groupBy("node").agg(F.min("text").alias("text"), F.min("root").alias("root"), F.max("left").alias("left")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(CELLS, np.int64)
@@ -203,15 +232,26 @@ def _leftover_pairs(parts: DataFrame, docs: DataFrame, doc_id: str, text: str, w
 
     found = texts.mapInArrow(tidied(run), "node long, root long, left boolean, size long, keys array<long>")
     found = checkpointed(found.select("node", "root", "left", "size", F.posexplode("keys").alias("pos", "key")))
-    # a key without a leftover, or whose documents are linked already, has nothing to add
-    open_keys = found.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("left").alias("left")).where("a <> b AND left").select("key")
-    found = found.join(open_keys, "key")
-    a, b = (found.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "left", "size", "pos")]) for x in "ab")
+    kept = checkpointed(_open(found))
+    released(found)
+    return kept
+
+
+def _leftover_pairs(found: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(node, head) of documents not linked yet that may have this similarity, where at least one is a leftover.
+
+    Of prefix entries by open keys: every pair of a key, or the members of a key with one representative.
+    """
+    entry = ("node", "root", "left", "size", "pos")
+    a, b = (found.select("key", *[F.col(c).alias(f"{c}_{x}") for c in entry]) for x in "ab")
+    if not every:
+        point = F.col("node").bitwiseXOR(F.xxhash64("key"))
+        b = found.groupBy("key").agg(F.min(F.struct(point.alias("o"), *entry)).alias("head")).select("key", *[F.col(f"head.{c}").alias(f"{c}_b") for c in entry])
     fits = (F.col("size_a") >= similarity * F.col("size_b") - 1e-6) & (F.col("size_b") >= similarity * F.col("size_a") - 1e-6)
     # shingles lie in one order for all: at the first one that two sets share, no more can be common than what follows it in both
     follow = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     fits &= follow >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    once = F.col("left_a") & (~F.col("left_b") | (F.col("node_a") > F.col("node_b")))
+    once = F.col("left_a") & (~F.col("left_b") | (F.col("node_a") > F.col("node_b"))) if every else F.col("left_a") | F.col("left_b")
     met = a.join(b, "key").where((F.col("root_a") != F.col("root_b")) & once & fits)
     return met.select(F.col("node_a").alias("node"), F.col("node_b").alias("head")).distinct()
 
@@ -220,52 +260,87 @@ def _named(distinct: DataFrame, root: DataFrame) -> DataFrame:
     return distinct.select("node", "rep").join(root, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
 
 
+def _tidy(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of many checkpoints, whose queries drop their shuffle files as they end; the session's setting is put back."""
+
+    @wraps(step)
+    def inner(docs: DataFrame, *args, **named) -> DataFrame:
+        conf, key = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        given = conf.get(key, None)
+        conf.set(key, "true")
+        try:
+            made = step(docs, *args, **named)
+        finally:
+            if given is None:
+                conf.unset(key)
+            else:
+                conf.set(key, given)
+        return made.select("*")  # a plan of its own, under the setting as it was
+
+    return inner
+
+
+@_tidy
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, digest, root, component_id), one row per input row: its text, its class and the smallest id of that."""
     rows = checkpointed(signatures(docs, doc_id, text, words, similarity))
     lanes = [F.expr(f"cast(conv(hex(substring(wide, {8 * i + 1}, 8)), 16, -10) as bigint)") for i in range(LANES)]
-    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("wide").alias("wide"), F.min("keys").alias("keys"))
-    distinct = checkpointed(distinct.select("node", "rep", "size", F.array(*lanes).alias("wide"), "keys"))
+    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest"), F.min("size").alias("size"), F.min("wide").alias("wide"), F.min("keys").alias("keys"))
+    distinct = checkpointed(distinct.select("node", "rep", "digest", "size", F.array(*lanes).alias("wide"), "keys"))
     wide = distinct.select("node", "size", "wide")
     far = F.expr(" + ".join(f"bit_count(wide[{i}] ^ other[{i}])" for i in range(LANES)))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those (node, head) that have the similarity."""
+    def verified(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """Those (node, head) that have the similarity; texts that are at hand already need not be fetched."""
         both = pairs.join(wide, "node").join(wide.select(F.col("node").alias("head"), F.col("size").alias("size_o"), F.col("wide").alias("other")), "head")
         least, most = F.least("size", "size_o"), F.greatest("size", "size_o")
         both = both.where(least >= similarity * most - 1e-6).select("node", "head", far.alias("far"), (least <= SMALL).alias("small"))
         both = checkpointed(both.where(F.col("small") | (F.col("far") <= radius(similarity) + DOUBT)))
         sure = ~F.col("small") & (F.col("far") <= radius(similarity) - DOUBT)
         sure, doubted = both.where(sure).select("node", "head"), both.where(~sure).select("node", "head")
-        return checkpointed(sure.unionByName(_compared(doubted, distinct.select("node", "rep"), docs, doc_id, text, words, similarity)))
+        if texts is None:
+            nodes = doubted.select("node").unionByName(doubted.select(F.col("head").alias("node"))).distinct()
+            texts = _texts(nodes.join(distinct.select("node", "digest"), "node"), docs, text)
+        return checkpointed(sure.unionByName(_compared(doubted, texts, words, similarity)))
 
     entries = distinct.select("node", F.explode("keys").alias("key"))
-    heads = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = entries.join(heads.select("key", F.col("head.node").alias("head"), "n"), "key").where(F.col("node") != F.col("head"))
+    # the representative is the member nearest to a point that differs from block to block, by exclusive or
+    point = F.xxhash64("key")
+    heads = entries.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(point)).alias("o"), F.count("*").alias("n")).where("n > 1")
+    heads = heads.select("key", F.col("o").bitwiseXOR(point).alias("head"), (F.col("n") > 2).alias("many"))
+    met = checkpointed(entries.join(heads, "key").where(F.col("node") != F.col("head")))
     agreed = verified(met.select("node", "head").distinct())
     edges = agreed.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct()
     named = checkpointed(_named(distinct, components(edges)))
     # members of blocks of three or more, where one of them did not verify against the head
-    members = met.where("n > 2").select("node", "head", "key").join(agreed.withColumn("ok", F.lit(True)), ["node", "head"], "left")
+    members = met.where("many").select("node", "head", "key").join(agreed.withColumn("ok", F.lit(True)), ["node", "head"], "left")
     members = checkpointed(members.select("node", "key", F.col("ok").isNull().alias("left")))
     parts = members.join(members.where("left").select("key").distinct(), "key", "left_semi").groupBy("node").agg(F.max("left").alias("left"))
-    parts = checkpointed(parts.join(named, "node"))
+    parts = checkpointed(parts.join(named.select("node", "root"), "node"))
     if not parts.isEmpty():
-        more = verified(_leftover_pairs(parts, docs, doc_id, text, words, similarity))
-        linked = more.join(named.select("node", "root"), "node").join(named.select(F.col("node").alias("head"), F.col("root").alias("to")), "head")
-        again = components(linked.select(F.greatest("root", "to").alias("u"), F.least("root", "to").alias("v")).where("u <> v").distinct())
-        again = again.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        named = named.join(again, "root", "left").select("node", "rep", F.coalesce("top", "root").alias("root"))
+        texts = _texts(parts.join(distinct.select("node", "digest"), "node"), docs, text)
+        found = _prefixes(texts, words, similarity)
+        for every in (False, True):  # what the representatives link need not be paired
+            more = verified(_leftover_pairs(found, similarity, every), texts)
+            linked = more.join(named.select("node", "root"), "node").join(named.select(F.col("node").alias("head"), F.col("root").alias("to")), "head")
+            again = components(linked.select(F.greatest("root", "to").alias("u"), F.least("root", "to").alias("v")).where("u <> v").distinct())
+            again = checkpointed(again.select(F.col("node").alias("root"), F.col("root").alias("top")))
+            named = checkpointed(named.join(again, "root", "left").select("node", "rep", F.coalesce("top", "root").alias("root")))
+            if not every:
+                found = checkpointed(_open(found.join(again, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")))
     by_node = checkpointed(with_least(named, "root", "rep", "component_id").select("node", "root", "component_id"))
     return rows.select("doc_id", "digest", "node").join(by_node, "node").select("doc_id", "digest", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, and the rows without an id. Columns are unchanged."""
-    found = classes(docs, doc_id, text, words, similarity).where(F.col("doc_id") == F.col("component_id"))
+    found = checkpointed(classes(docs, doc_id, text, words, similarity).where(F.col("doc_id").isNotNull()))
     key, mark = free_name(docs, "digest"), free_name(docs, "kept")
-    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias(mark))
-    kept = kept.select(F.col(f"{mark}.doc_id").alias(doc_id), F.col(f"{mark}.digest").alias(key)).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).withColumn(key, digest(text))
-    named = named.join(kept, [doc_id, key], "left_semi").dropDuplicates([doc_id, key])
-    return named.select(docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias(mark))
+    kept = checkpointed(kept.select(F.col(f"{mark}.doc_id").alias(doc_id), F.col(f"{mark}.digest").alias(key)).distinct())
+    # rows that are kept and stand alone stay where they are; only the others, which may go, are moved
+    alone = found.groupBy(F.col("doc_id").alias(doc_id), F.col("digest").alias(key)).agg(F.count("*").alias(mark))
+    may_go = checkpointed(alone.join(kept.withColumn("stays", F.lit(True)), [doc_id, key], "left").where(F.col("stays").isNull() | (F.col(mark) > 1)).select(doc_id, key))
+    named = sifted(docs.where(F.col(doc_id).isNotNull()).withColumn(key, digest(text)), [f"`{doc_id}`", f"`{key}`"], may_go, mark)
+    moved = named.where(F.col(mark)).join(kept, [doc_id, key], "left_semi").dropDuplicates([doc_id, key])
+    return named.where(~F.col(mark)).select(docs.columns).unionByName(moved.select(docs.columns)).unionByName(docs.where(F.col(doc_id).isNull()))

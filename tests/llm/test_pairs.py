@@ -118,6 +118,22 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     assert nearcopies.keep_one(kept.where("false")).count() == 0
 
 
+def test_copies_of_rows_that_share_an_id_are_verified_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, c), (4, c + " end")]
+    got = {tuple(x) for x in nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, a), (1, b), (None, c), (4, c + " end")}
+
+
+def test_only_rows_that_may_be_wanted_are_moved(spark):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20_000)] + [(None, None)] * 3, "doc_id long, text string")
+    wanted = rows.where("doc_id % 20 = 0 or doc_id is null").distinct()
+    got = nearcopies.sifted(rows, ["doc_id", "text"], wanted, "near").collect()
+    assert len(got) == 20_003 and all(x.near for x in got if x.doc_id is None or x.doc_id % 20 == 0)
+    assert sum(x.near for x in got) < 1.1 * 1_003 + 0.05 * 19_000
+    assert not any(x.near for x in nearcopies.sifted(rows, ["doc_id"], rows.where("false"), "near").collect())
+
+
 def test_a_hub_is_dealt_over_parts(spark):
     edges = spark.createDataFrame([(i, 0) for i in range(1, 3000)] + [(i, i - 1) for i in range(5000, 5100)], "u long, v long")
     assert {r.root for r in simhash.components(edges).collect()} == {0, 4999}

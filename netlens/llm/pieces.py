@@ -336,7 +336,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(vocabulary, seed, dropout)
-        for batch in by_bytes(batches, "text", 1 << 20):
+        for batch in by_bytes(batches, "text", 1 << 19):
             texts = texts_of(batch, "text")
             found = model.encode(texts, ["null" if i is None else str(i) for i in batch.column(0).to_pylist()])
             columns = [

@@ -111,22 +111,24 @@ def count_characters(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(ORDER * BUCKETS, np.int64)
-        for batch in by_bytes(batches, "text", 1 << 20):
+        for batch in by_bytes(batches, "text", 1 << 19):
             joined = (" " + " ".join(texts_of(batch, "text")).lower() + " ").encode("utf-32-le")
             c = np.frombuffer(joined, np.uint32)
-            c = np.where(_letters()[c], c, 32).astype(np.int64)
-            past = [np.concatenate([np.full(k, 32), c[: len(c) - k]])[: len(c)] for k in range(1, ORDER)]
+            c = np.where(_letters()[c], c, np.uint32(32))
+            past = [np.concatenate([np.full(k, 32, np.uint32), c[: len(c) - k]])[: len(c)] for k in range(1, ORDER)]
             for k in range(1, ORDER - 1):
-                past[k] = np.where(past[k - 1] == 32, 32, past[k])
+                past[k] = np.where(past[k - 1] == 32, np.uint32(32), past[k])
             kept = (c != 32) | (past[0] != 32)
             c, past = c[kept], [p[kept] for p in past]
             for k in range(ORDER):
                 symbols = [*reversed(past[:k]), c]
                 for start, part in ((k + 1, symbols), *(((100 + k, symbols[:-1]),) if k else ())):
-                    h = np.full(len(c), start, np.int64)
+                    h = np.full(len(c), start, np.uint32)  # arithmetic modulo 2 ** 32, as in _fold
                     for x in part:
-                        h = (h * 1000003 ^ x) & 0xFFFFFFFF
-                    table[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(h & (BUCKETS - 1), minlength=BUCKETS)
+                        h *= np.uint32(1000003)
+                        h ^= x
+                    h &= np.uint32(BUCKETS - 1)
+                    table[k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(h, minlength=BUCKETS)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], ["cell", "n"])
 

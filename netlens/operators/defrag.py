@@ -93,7 +93,7 @@ def reassemble(dissected: DataFrame, options: Options | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(options)
-        for batch in batches:
+        for batch in (part for whole in batches for part in headers.blocks(whole, "payload")):
             out, at = [], []
             rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True)
             for i, (o, ts, k, start, more, data, place) in enumerate(rows):

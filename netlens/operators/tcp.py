@@ -96,13 +96,13 @@ def streams(rows):
     """ord, flow_id, dir, status, data of TCP packets in sessionized rows; ``data`` is what is now in order."""
     import pyarrow as pa
 
-    from netlens.operators import flows
+    from netlens.operators import flows, headers
 
     ordered = flows.with_place(rows.where("proto = 6")).select("ord", "flow_id", "dir", flows.PLACE, "seq", "ack", "tcp_flags", "payload")
 
     def run(batches):
         tracker = Tracker()
-        for batch in batches:
+        for batch in (part for whole in batches for part in headers.blocks(whole, "payload")):
             statuses, data = [], []
             for way, place, seq, ack, flags, payload in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 if place == 1:

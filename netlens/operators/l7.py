@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from netlens import catalog
 from netlens.operators import dissectors as d
-from netlens.operators import fieldwork, flows
+from netlens.operators import fieldwork, flows, headers
 from netlens.operators.tcp import Tracker
 
 SCHEMA = "protocols array<string>, tcp_status string, l7_length int, fields map<string,string>, http_headers array<struct<key:string,value:string>>"
@@ -111,9 +111,9 @@ def classify(rows: DataFrame, config: Config | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops, flow = config.tops(), Flow([])
         pairs = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in headers.blocks(whole, "payload")):
             get = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
-            stacks, statuses, lengths, fields, headers = [], [], [], [], []
+            stacks, statuses, lengths, fields, pairs_found = [], [], [], [], []
             read = (flows.PLACE, "dir", "proto", "sport", "dport", "src", "dst", "payload", "tcp_flags", "seq", "ack")
             for place, way, proto, sport, dport, src, dst, payload, flags, seq, ack in zip(*map(get, read), strict=True):
                 if place == 1:
@@ -138,9 +138,9 @@ def classify(rows: DataFrame, config: Config | None = None) -> DataFrame:
                 stacks.append(list(flow.stack))
                 statuses.append(status)
                 lengths.append(len(payload))
-                headers.append(found.pop("HTTP_HEADERS", None))
+                pairs_found.append(found.pop("HTTP_HEADERS", None))
                 fields.append(list(found.items()))
-            listed = [None if x is None else [{"key": k, "value": v} for k, v in x] for x in headers]
+            listed = [None if x is None else [{"key": k, "value": v} for k, v in x] for x in pairs_found]
             added = [
                 pa.array(stacks, pa.list_(pa.string())), pa.array(statuses, pa.string()), pa.array(lengths, pa.int32()),
                 pa.array(fields, pa.map_(pa.string(), pa.string())), pa.array(listed, pairs),

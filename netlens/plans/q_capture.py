@@ -17,6 +17,7 @@ from netlens.sources import pcap
 from netlens.streaming import tracker
 
 QUERIES, ORACLE_SQL = {}, {}
+#: Files that small tables are written to; larger ones make a file of what a task takes.
 _FILES = 5
 #: By kind: transport, stack and number of packets in each direction.
 _SIZES = [(_ID_NAMES[k], v[0], STACKS[k], sum(1 for w, _ in v[3] if w == 0), sum(len(b) for _, b in v[3])) for k, v in CONVERSATIONS.items()]
@@ -24,18 +25,23 @@ _SIZES.append((_KINDS - 1, 17, "Unknown", 1, len(b"\x30noise that is no protocol
 _TABLE = ", ".join(f"({k}, {proto}, '{stack}', {forth}, {size})" for k, proto, stack, forth, size in _SIZES)
 
 
-def captured(spark, sf_dir) -> str:
-    """A folder of ``_FILES`` capture files of the conversations, in order of arrival; files end anywhere in a flow."""
+def _written(packets, folder: str) -> int:
+    """Adds capture files of packets to a folder, in order of arrival; how many."""
+    files = max(_FILES, flows.parts_for(packets))
+    packets.repartitionByRange(files, "ord").sortWithinPartitions("ord").select("ts_us", "pkt").write.format("pcap").mode("append").save(folder)
+    return files
+
+
+def captured(spark, sf_dir) -> tuple[str, int]:
+    """A folder of capture files of the conversations, in order of arrival, and their number; files end anywhere in a flow."""
     folder = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
     pcap.register(spark)
-    rows = conversations(spark, sf_dir).repartitionByRange(_FILES, "ord").sortWithinPartitions("ord").select("ts_us", "pkt")
-    rows.write.format("pcap").mode("append").save(folder)
-    return folder
+    return folder, _written(conversations(spark, sf_dir), folder)
 
 
-def _flows(packets):
+def _flows(packets, parts: int):
     """Stack and number of packets of each flow, by the event that its client's address encodes."""
-    rows = flows.sessionize(defrag.dissect(packets).where("status in (0, 2)"))
+    rows = flows.sessionize(defrag.dissect(packets).where("status in (0, 2)"), parts=parts)
     found = l7.classify(rows, Config(reorder=False))
     stack = F.max_by(F.array_join("protocols", ","), "ord")
     client = F.conv(F.hex(F.least("src", "dst")), 16, 10).cast("long") - 167772161
@@ -44,11 +50,13 @@ def _flows(packets):
 
 
 def capture_files(spark, sf_dir):
-    return _flows(pcap.read(spark, captured(spark, sf_dir)))
+    folder, parts = captured(spark, sf_dir)
+    return _flows(pcap.read(spark, folder), parts)
 
 
 def capture_source(spark, sf_dir):
-    return _flows(spark.read.format("pcap").load(captured(spark, sf_dir)))
+    folder, parts = captured(spark, sf_dir)
+    return _flows(spark.read.format("pcap").load(folder), parts)
 
 
 QUERIES |= {"capture_files": capture_files, "capture_source": capture_source}
@@ -60,7 +68,7 @@ SELECT event_id, stack, n AS packets, 1 AS flows FROM events JOIN (VALUES {_N},
 
 def capture_stream(spark, sf_dir):
     """The same files as a stream, dissected on the way and written as files."""
-    folder = captured(spark, sf_dir)
+    folder, _ = captured(spark, sf_dir)
     rows = headers.dissect(spark.readStream.format("pcap").load(folder)).select("ord", "file", "proto", "payload_length")
     tracker.to_files(rows, f"{folder}-out/rows", f"{folder}-out/checkpoint").awaitTermination()
     found = spark.read.parquet(f"{folder}-out/rows")
@@ -100,7 +108,7 @@ def stream_flow_records(spark, sf_dir):
     schema = "ord long, ts_us long, src long, dst long, sport int, dport int, proto int, flags int, win int"
     later = [spark.createDataFrame([(0, (1 << 50) + k, 1, 2, 3, 4, 17, 0, 0)], schema) for k in range(2)]
     for rows in (fx.packets(spark, sf_dir), *(fx.payload_packets(x, F.lit(bytearray(b"end"))) for x in later)):
-        rows.repartitionByRange(_FILES, "ord").sortWithinPartitions("ord").select("ts_us", "pkt").write.format("pcap").mode("append").save(folder)
+        _written(rows, folder)
         found = headers.dissect(spark.readStream.format("pcap").load(folder)).where("status = 0")
         size = (F.col("l3_length") + F.col("l4_bytes")).cast("long").alias("size")
         ends = [names.ip_text(F.col(c)).alias(c) for c in ("src", "dst")]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,22 @@ def _until(state: GroupState, last_us: int, idle_us: int) -> None:
     state.setTimeoutTimestamp(max(-(-(last_us + idle_us) // 1000), state.getCurrentWatermarkMs()) + 2)
 
 
+def _breaks(rows: pd.DataFrame, last: int | None, rst: bool, idle_us: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of the packets of a key in order: where a flow begins, where because of a pause, and whether an RST waits for a SYN at the end.
+
+    ``last`` is the time of the packet before (None where there is none), ``rst`` whether an RST waits.
+    """
+    ts, flags, tcp = rows["ts_us"].to_numpy(np.int64), rows["flags"].to_numpy(np.int64), rows["proto"].to_numpy(np.int64) == 6
+    syn, reset = tcp & (flags & flows.SYN != 0), tcp & (flags & flows.RST != 0)
+    idle = np.diff(ts, prepend=ts[0] if last is None else last) > idle_us
+    latest = lambda test: np.maximum.accumulate(np.where(test, np.arange(len(ts)), -1))
+    set_at, cleared_at = latest(reset), latest(syn | idle)
+    waits = np.where(np.maximum(set_at, cleared_at) < 0, rst, (set_at >= 0) & (set_at >= cleared_at))
+    begins = idle | (syn & np.concatenate([[rst], waits[:-1]]))
+    begins[0] |= last is None
+    return begins, idle, bool(waits[-1])
+
+
 def track(packets: DataFrame, idle_us: int = flows.IDLE_US) -> DataFrame:
     """Streaming (ord, ts_us, src, sport, dst, dport, proto, flags, size), addresses as numbers, to ``OUTPUT``: the running counts of each packet's flow.
 
@@ -51,24 +68,20 @@ def track(packets: DataFrame, idle_us: int = flows.IDLE_US) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        last, seg, flow, src, sport, rst, n, size = state.get if state.exists else (None, 0, None, None, None, False, 0, 0)
+        last, seg, flow, src, sport, rst, n, size = state.get if state.exists else (None, -1, 0, 0, 0, False, 0, 0)
         rows = pd.concat(list(frames)).sort_values("ord")
-        out = []
-        for r in rows.itertuples(index=False):
-            gap = last is not None and r.ts_us - last > idle_us
-            syn = r.proto == 6 and bool(r.flags & flows.SYN)
-            if last is None or gap or (syn and rst):
-                seg = seg + 1 if last is not None else 0
-                flow, src, sport, n, size = r.ord, r.src, r.sport, 0, 0
-                rst = False
-            elif syn:
-                rst = False
-            last, n, size = r.ts_us, n + 1, size + r.size
-            rst = rst or bool(r.proto == 6 and r.flags & flows.RST)
-            out.append((r.ord, seg, flow, 0 if (r.src, r.sport) == (src, sport) else 1, n, size))
-        state.update((int(last), int(seg), int(flow), int(src), int(sport), bool(rst), int(n), int(size)))
-        _until(state, int(last), idle_us)
-        yield pd.DataFrame(out, columns=["ord", "seg", "flow_id", "dir", "packets", "bytes"])
+        begins, _, rst = _breaks(rows, last, rst, idle_us)
+        first, which = np.flatnonzero(begins), np.cumsum(begins)  # 0 is the flow of the state
+        own = lambda kept, values: np.concatenate([[kept], values[first]])[which]
+        ords, sizes, at = rows["ord"].to_numpy(np.int64), rows["size"].to_numpy(np.int64), np.arange(len(rows))
+        flow_ids = own(flow, ords)
+        srcs, sports = own(src, rows["src"].to_numpy(np.int64)), own(sport, rows["sport"].to_numpy(np.int64))
+        back = (rows["src"].to_numpy(np.int64) != srcs) | (rows["sport"].to_numpy(np.int64) != sports)
+        counts, total = at + 1 - own(-n, at), np.cumsum(sizes)
+        sums = total - own(-size, total - sizes)
+        state.update((int(rows["ts_us"].iloc[-1]), int(seg + which[-1]), int(flow_ids[-1]), int(srcs[-1]), int(sports[-1]), rst, int(counts[-1]), int(sums[-1])))
+        _until(state, int(rows["ts_us"].iloc[-1]), idle_us)
+        yield pd.DataFrame({"ord": ords, "seg": seg + which, "flow_id": flow_ids, "dir": back.astype(int), "packets": counts, "bytes": sums})
 
     return _timed(packets, idle_us).groupBy("key").applyInPandasWithState(step, OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -78,6 +91,31 @@ RECORD = (
 )
 
 
+def _ended(flow: list, rst: bool, rows: pd.DataFrame, idle_us: int) -> tuple[list[tuple], list, bool]:
+    """Records of the flows of a key that end, the one that goes on, and whether an RST waits. ``flow``: the one so far (empty where there is none)."""
+    begins, idle, rst = _breaks(rows, flow[11] if flow else None, rst, idle_us)
+    first, which, ts = np.flatnonzero(begins), np.cumsum(begins), rows["ts_us"].to_numpy(np.int64)
+    src, sport = rows["src"].to_numpy(object), rows["sport"].to_numpy(np.int64)
+    heads = [(flow or [None] * 6)[:6], *(list(r) for r in rows.iloc[first][["ord", "src", "sport", "dst", "dport", "proto"]].itertuples(index=False, name=None))]
+    owner = np.empty(len(heads), object)
+    owner[:] = [h[1] for h in heads]
+    back = (src != owner[which]) | (sport != np.array([h[2] or 0 for h in heads])[which])
+    cell = which * 2 + back
+    counts = np.bincount(cell, minlength=2 * len(heads)).reshape(-1, 2)
+    sums = np.bincount(cell, rows["size"].to_numpy(np.float64), 2 * len(heads)).astype(np.int64).reshape(-1, 2)  # exact below 2^53
+    out = []
+    for k, head in enumerate(heads):
+        begin, end = (int(first[k - 1]) if k else 0), (int(first[k]) if k < len(first) else len(ts))
+        if k == 0 and not flow:
+            continue
+        before = flow[6:11] if k == 0 else [0, 0, 0, 0, int(ts[begin])]
+        last = int(ts[end - 1]) if end > begin else flow[11]
+        own = [*head, before[0] + int(counts[k, 0]), before[1] + int(counts[k, 1]), before[2] + int(sums[k, 0]), before[3] + int(sums[k, 1]), before[4], last]
+        if k < len(first):
+            out.append((*own, "idle" if idle[end] else "reopened"))
+    return out, own, rst
+
+
 def flow_records(packets: DataFrame, idle_us: int = flows.IDLE_US) -> DataFrame:
     """Streaming (ord, ts_us, src, sport, dst, dport, proto, flags, size), addresses as text, to ``RECORD``: one row per flow, when it ends.
 
@@ -93,19 +131,7 @@ def flow_records(packets: DataFrame, idle_us: int = flows.IDLE_US) -> DataFrame:
             yield pd.DataFrame([(*flow, "expired")], columns=[*names, "reason"])
             return
         *flow, rst = state.get if state.exists else (False,)
-        out = []
-        for r in pd.concat(list(frames)).sort_values("ord").itertuples(index=False):
-            syn = r.proto == 6 and bool(r.flags & flows.SYN)
-            idle = bool(flow) and r.ts_us - flow[11] > idle_us
-            if not flow or idle or (syn and rst):
-                if flow:
-                    out.append((*flow, "idle" if idle else "reopened"))
-                flow, rst = [r.ord, r.src, r.sport, r.dst, r.dport, r.proto, 0, 0, 0, 0, r.ts_us, r.ts_us], False
-            way = 0 if (r.src, r.sport) == (flow[1], flow[2]) else 1
-            flow[6 + way] += 1
-            flow[8 + way] += r.size
-            flow[11] = r.ts_us
-            rst = (rst and not syn) or bool(r.proto == 6 and r.flags & flows.RST)
+        out, flow, rst = _ended(flow, rst, pd.concat(list(frames)).sort_values("ord"), idle_us)
         state.update(tuple(x if isinstance(x, str) else int(x) for x in flow) + (bool(rst),))
         _until(state, int(flow[11]), idle_us)
         yield pd.DataFrame(out, columns=[*names, "reason"])

@@ -88,30 +88,26 @@ def sessionize(packets: DataFrame, idle_us: int = IDLE_US, fin_closes: bool = Fa
 
 
 def _closed(rows: DataFrame) -> DataFrame:
-    """Raises ``seg`` after each packet that completes a FIN in both directions, in one pass over the packets of a key."""
+    """Raises ``seg`` after each packet that completes a FIN in both directions.
+
+    FINs of a flow come in runs of one direction. A run finds the flow half closed if the
+    run before left it so: one of several FINs always does, a single FIN only if it did not
+    complete a pair itself. So single runs take turns from the last ``anchor`` on, a run that
+    begins a flow or has several FINs, and all this is windows over one order.
+    """
     w = Window.partitionBy("flow_key").orderBy("ord")
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    fin = has(FIN) & (F.col("proto") == 6)
     forward = F.struct(F.col("src"), F.col("sport")) == F.col("flow_key.lo")
-    rows = rows.withColumns({PLACE: F.row_number().over(w), "__way": F.when(has(FIN) & (F.col("proto") == 6), F.when(forward, 1).otherwise(2)).otherwise(0)})
-    kept = [f for f in rows.schema.fields if f.name not in (PLACE, "__way")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, fins, last = 0, 0, 0
-        for batch in batches:
-            segs = []
-            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
-            for place, way, seg in zip(get(PLACE), get("__way"), get("seg"), strict=True):
-                if place == 1:
-                    cuts, fins, last = 0, 0, seg
-                if fins == 3:
-                    cuts, fins = cuts + (seg == last), 0
-                if seg != last:
-                    fins, last = 0, seg
-                fins |= way
-                segs.append(seg + cuts)
-            columns = [pa.array(segs, pa.int32()) if f.name == "seg" else batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept])
-
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept))
+    fresh, same = ~F.coalesce(F.col("__last.seg") == F.col("seg"), F.lit(False)), F.col("__last.forward") == F.col("__fin.forward")
+    rows = rows.withColumn("__fin", F.when(fin, F.struct("seg", forward.alias("forward"))))
+    rows = rows.withColumns({"__last": F.last("__fin", True).over(before), "__next": F.lead("seg").over(w)})
+    rows = rows.withColumn("__begins", fin & (fresh | ~same))
+    rows = rows.withColumn("__run", F.sum(F.col("__begins").cast("long")).over(so_far))
+    rows = rows.withColumn("__anchor", F.max(F.when(fin & (fresh | same), F.col("__run"))).over(before))
+    closes = F.col("__begins") & ~fresh & ((F.col("__run") - F.col("__anchor")) % 2 == 1) & (F.col("__next") == F.col("seg"))
+    cuts = F.coalesce(F.sum(F.coalesce(closes, F.lit(False)).cast("int")).over(before), F.lit(0))
+    return rows.withColumn("seg", (F.col("seg") + cuts).cast("int")).drop("__fin", "__last", "__next", "__begins", "__run", "__anchor")
 
 
 def round_trips(rows: DataFrame) -> DataFrame:

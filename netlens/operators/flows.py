@@ -8,8 +8,10 @@ the arrival order; ties cannot occur in it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,6 +175,29 @@ def packet_times(rows: DataFrame, most: int = 10) -> DataFrame:
     return out.select("flow_id", "dir", F.transform("p", lambda x: x["len"]).alias("lengths"), F.transform("p", lambda x: x["dt"]).alias("times"))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (ord, ts_us, key) in order, one for each slice in a batch: differences, byte by byte, compressed."""
+    for batch in batches:
+        if any(c.null_count for c in batch.columns[:2]):
+            raise ValueError("packets need ord and ts_us")
+        ords, times, keys, slices = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        rows = []
+        for one in np.unique(slices):
+            own = slices == one
+            columns = np.stack([np.diff(ords[own], prepend=0), np.diff(times[own], prepend=0), keys[own]]).astype(np.int64)
+            rows.append((int(one), int(ords[own][0]), int(own.sum()), zlib.compress(columns.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes(), 1)))
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["slice", "first", "n", "data"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """ord, ts_us and key of the blocks of ``_pack``, and the place of each block."""
+    for n, data, place in zip(*(batch.column(c) for c in ("n", "data", PLACE)), strict=True):
+        columns = np.frombuffer(zlib.decompress(data.as_py()), np.uint8).reshape(3, 8, n.as_py()).transpose(0, 2, 1)
+        ords, times, keys = np.ascontiguousarray(columns).view(np.int64)[:, :, 0]
+        yield np.cumsum(ords), np.cumsum(times), keys, place.as_py()
+
+
 def cap(rows: DataFrame, most: int, strategy: str = "skip", idle_us: int = IDLE_US, slices: int = 16) -> DataFrame:
     """ord, admitted, evicted: what a table of at most ``most`` live flows does with each packet.
 
@@ -181,21 +206,24 @@ def cap(rows: DataFrame, most: int, strategy: str = "skip", idle_us: int = IDLE_
     ord of its first packet. The rule depends on the order of all packets of a table, so the
     table is divided among ``slices`` by the hash of the flow key, each with its share of
     ``most`` and a task of its own, as among workers. ``slices=1`` is one table for all: one
-    task, which reads three narrow columns in order and holds ``most`` flows.
+    task, which reads three narrow columns in order and holds ``most`` flows. Packets are put
+    in order by many tasks and come to that of their table packed, some bytes for each.
     """
     if strategy not in ("skip", "evict"):
         raise ValueError(strategy)
     share = -(-most // slices)
     narrow = rows.select("ord", "ts_us", F.xxhash64("flow_key").alias("key")).withColumn("slice", F.pmod("key", F.lit(slices)).cast("int"))
-    narrow = narrow.withColumn(PLACE, F.row_number().over(Window.partitionBy("slice").orderBy("ord")))
+    parts = max(parts_for(rows), rows.sparkSession.sparkContext.defaultParallelism)
+    packed = narrow.repartitionByRange(parts, "ord").sortWithinPartitions("ord").mapInArrow(_pack, "slice int, first long, n int, data binary")
+    packed = packed.withColumn(PLACE, F.row_number().over(Window.partitionBy("slice").orderBy("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live: dict[int, tuple[int, int]] = {}  # key: last time, first ord; in order of last use
-        for batch in batches:
+        for ords, times, keys, place in (block for batch in batches for block in _unpacked(batch)):
+            if place == 1:
+                live = {}
             admitted, evicted = [], []
-            for o, ts, key, _, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if place == 1:
-                    live = {}
+            for o, ts, key in zip(ords.tolist(), times.tolist(), keys.tolist(), strict=True):
                 gone = None
                 while live:
                     oldest = next(iter(live))
@@ -212,12 +240,12 @@ def cap(rows: DataFrame, most: int, strategy: str = "skip", idle_us: int = IDLE_
                 live[key] = (ts, known[1] if known else o)
                 admitted.append(True)
                 evicted.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(admitted, pa.bool_()), pa.array(evicted, pa.int64())], ["ord", "admitted", "evicted"])
+            yield pa.RecordBatch.from_arrays([pa.array(ords), pa.array(admitted, pa.bool_()), pa.array(evicted, pa.int64())], ["ord", "admitted", "evicted"])
 
-    return narrow.mapInArrow(run, "ord long, admitted boolean, evicted long")
+    return packed.mapInArrow(run, "ord long, admitted boolean, evicted long")
 
 
 def refused(rows: DataFrame, most: int, idle_us: int = IDLE_US, slices: int = 16) -> DataFrame:
     """The rows with status -4 where a full table of flows refused them."""
     out = cap(rows, most, "skip", idle_us, slices).where("NOT admitted").select("ord", F.lit(True).alias("__refused"))
-    return rows.join(out, "ord", "left").withColumn("status", F.when(F.col("__refused"), -4).otherwise(F.col("status"))).drop("__refused")
+    return dealt(rows, "ord").join(out, "ord", "left").withColumn("status", F.when(F.col("__refused"), -4).otherwise(F.col("status"))).drop("__refused")
